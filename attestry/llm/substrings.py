@@ -6,7 +6,8 @@ many times the input, so only anchors are ranked: in each window of the full
 length the position whose 8-byte gram hashes lowest. Equal strings of the full
 length have their anchors at equal places, so none is missed.
 
-For an anchor p a node [a, b] stands for the full-length strings that start
+The full-length string that starts d bytes before its anchor p belongs to p
+alone. For an anchor p a node [a, b] stands for the full-length strings that start
 d bytes before p, a <= d <= b. They all hold its core, bytes p - a up to
 p - b + length, and together they are its hull, bytes p - b up to
 p - a + length. Nodes are grouped by core: a core that is alone is dropped.
@@ -19,6 +20,7 @@ a 128-bit hash of their bytes.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,17 +50,22 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(data: bytes, length: int = LENGTH) -> np.ndarray:
-    """Positions that hash lowest in some window of ``length`` bytes."""
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions p that hash lowest (of equals the first) in some window of ``length`` bytes, and the
+    least and greatest d for which p is that of the window that starts at p - d."""
     grams = len(data) - GRAM + 1
     width = length - GRAM + 1
     if len(data) < length:
-        return np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, none
     x = np.ndarray(grams, "<u8", data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
-    x = ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-    least = _sliding(x, width, np.minimum)
-    around = np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)])
-    return np.flatnonzero(_sliding(around, width, np.maximum) == x)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
+    least = (_sliding(x, width, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    last = np.r_[first[1:], len(least)] - 1
+    p = least[first]
+    return p, p - last, p - first
 
 
 def _rows_of(data: bytes, p: int, a: int, b: int, length: int) -> tuple[int, bytes] | None:
@@ -71,26 +78,28 @@ def _rows_of(data: bytes, p: int, a: int, b: int, length: int) -> tuple[int, byt
     return xxhash.xxh3_64_intdigest(data[p - a : p - b + length]), xxhash.xxh3_128_digest(hull + b"%d:%d" % (max(0, b - p), max(0, p - a + length - n)))
 
 
-_NAMES = ["id", "key", "n", "p", "a", "b", "core", "hull"]
+_NAMES = ["id", "key", "n", "p", "a", "b", "lo", "hi", "core", "hull"]
 
 
 def _hash_rows(length: int, nodes_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, found, cores, hulls = [], [], [], []
-            rest = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(batch)
+            rest = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * len(batch)
+            if batch.num_columns > 4:  # keys may collide, ids tell
+                rest = [jobs if a == b else () for jobs, a, b in zip(rest, batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             for i, (text, own) in enumerate(zip(batch.column(2).to_pylist(), rest, strict=True)):
                 data = (text or "").encode()
-                for p, a, b in nodes_of(data, own):
+                for p, a, b, lo, hi in nodes_of(data, own):
                     hashed = _rows_of(data, p, a, b, length)
                     if hashed:
                         row.append(i)
-                        found.append((len(data), p, a, b))
+                        found.append((len(data), p, a, b, lo, hi))
                         cores.append(hashed[0])
                         hulls.append(hashed[1])
             taken = pa.array(row, pa.int32())
-            numbers = np.array(found, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *(pa.array(numbers[:, k], pa.int32()) for k in range(4)), pa.array(np.array(cores, np.uint64).view(np.int64)), pa.array(hulls, pa.binary())], names=_NAMES)
+            numbers = np.array(found, np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *(pa.array(numbers[:, k], pa.int32()) for k in range(6)), pa.array(np.array(cores, np.uint64).view(np.int64)), pa.array(hulls, pa.binary())], names=_NAMES)
 
     return run
 
@@ -98,21 +107,24 @@ def _hash_rows(length: int, nodes_of):
 def _roots(length: int):
     half = (length - GRAM) // 2
 
-    def of(data: bytes, _) -> Iterator[tuple[int, int, int]]:
-        for p in anchors(data, length).tolist():
-            yield p, 0, half
-            yield p, half + 1, length - GRAM
+    def of(data: bytes, _) -> Iterator[tuple[int, int, int, int, int]]:
+        for p, lo, hi in zip(*(x.tolist() for x in anchors(data, length)), strict=True):
+            if lo <= half:
+                yield p, 0, half, lo, hi
+            if hi > half:
+                yield p, half + 1, length - GRAM, lo, hi
 
     return of
 
 
 def _children(split: int):
-    def of(_, own) -> Iterator[tuple[int, int, int]]:
+    def of(_, own) -> Iterator[tuple[int, int, int, int, int]]:
         for node in own:
-            p, a, b = node["p"], node["a"], node["b"]
+            p, a, b, lo, hi = node["p"], node["a"], node["b"], node["lo"], node["hi"]
             step = -(-(b - a + 1) // split)
             for x in range(a, b + 1, step):
-                yield p, x, min(x + step - 1, b)
+                if x <= hi and x + step > lo:
+                    yield p, x, min(x + step - 1, b), lo, hi
 
     return of
 
@@ -120,17 +132,17 @@ def _children(split: int):
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) -> DataFrame:
     """(id, key, first, last): byte ranges that strings of ``length`` bytes with a second occurrence cover.
 
-    ``docs`` has id, key (a hash of id and text) and text.
+    ``docs`` has id, key (a hash of id and text) and text, best bucketed by key.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, key long, n int, p int, a int, b int, core long, hull binary"
+    schema = f"id {kind}, key long, n int, p int, a int, b int, lo int, hi int, core long, hull binary"
     rows = saved(docs.mapInArrow(_hash_rows(length, _roots(length)), schema))
     same = ["a", "b", "core"]
     done, width = None, (length - GRAM) // 2 + 1
     while True:
         twice = rows.groupBy(same).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
         nodes = saved(rows.join(twice, same, "left_semi"))
-        hulls = nodes.groupBy(*same, "hull").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "key", "p")).alias("one"))
+        hulls = nodes.groupBy(*same, "hull").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "key", "p", "lo", "hi")).alias("one"))
         hulls = saved(hulls)
         good = nodes.join(hulls.filter("c > 1").select(*same, "hull"), [*same, "hull"], "left_semi")
         ranges = good.select("id", "key", F.greatest(F.col("p") - F.col("b"), F.lit(0)).alias("first"), F.least(F.col("p") - F.col("a") + length, F.col("n")).alias("last"))
@@ -139,9 +151,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) -
             return done
         open_groups = hulls.groupBy(same).agg(F.count_if(F.col("c") == 1).alias("alone")).filter("alone > 0").drop("alone")
         # A lone hull is its own node; of each other hull one node is a witness.
-        jobs = hulls.join(open_groups, same, "left_semi").select("one.id", "one.key", F.struct("one.p", "a", "b").alias("job"))
-        jobs = jobs.groupBy("id", "key").agg(F.collect_set("job").alias("jobs")).withColumnsRenamed({"id": "i", "key": "k"})
-        both = docs.join(jobs, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("id", "key", "text", "jobs")
+        jobs = hulls.join(open_groups, same, "left_semi").select("one.id", "one.key", F.struct("one.p", "a", "b", "one.lo", "one.hi").alias("job"))
+        jobs = jobs.groupBy("key", "id").agg(F.collect_set("job").alias("jobs")).withColumnsRenamed({"id": "i", "key": "k"})
+        both = docs.join(jobs, F.col("key") == F.col("k")).select("id", "key", "text", "i", "jobs")
         rows = saved(both.mapInArrow(_hash_rows(length, _children(split)), schema))
         width = -(-width // split)
 
@@ -149,10 +161,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) -
 def _cut(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, removed, spans, digest, kept = [], [], [], [], []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for id_, text, ranges in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             data = (text or "").encode()
             parts, at, count = [], 0, 0
-            for first, last in sorted((r["first"], r["last"]) for r in ranges or ()):
+            for first, last in sorted((r["first"], r["last"]) for r in ranges or () if r["id"] == id_):
                 if last <= at:
                     continue
                 if first > at or not count:
@@ -175,13 +187,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every byte is removed that a string of ``length`` bytes covers which also
     starts elsewhere, in the same document or another. A null text counts as
     empty. Repeated rows are documents of their own and repeat each other. An
-    empty table gives no rows.
+    empty table gives no rows. The texts stay in a table of the warehouse.
     """
+    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    narrow = narrow.select("id", F.xxhash64("id", "text").alias("key"), "text")
-    ranges = repeated_ranges(narrow.filter(F.octet_length("text") >= length), length, split).distinct()
-    ranges = ranges.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnsRenamed({"id": "i", "key": "k"})
-    joined = narrow.join(ranges, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "text", "ranges")
+    # Every round joins nodes to texts by key: bucketed once, the texts are not shuffled again.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"attestry_{uuid.uuid4().hex}"
+    narrow.select("id", F.xxhash64("id", "text").alias("key"), "text").repartition(buckets, "key").write.bucketBy(buckets, "key").saveAsTable(table)
+    narrow = spark.table(table)
+    ranges = repeated_ranges(narrow, length, split).distinct()
+    ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("id", "first", "last")).alias("ranges")).withColumnRenamed("key", "k")
+    joined = narrow.join(ranges, F.col("key") == F.col("k"), "left").select("id", "text", "ranges")
     kind = narrow.schema["id"].dataType.simpleString()
     return joined.mapInArrow(lambda batches: _cut(batches, with_bytes), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
