@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from attestry.plans import records
+
+MODULES = [records]
 
 
 def queries() -> dict[str, Callable]:
