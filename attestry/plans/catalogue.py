@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from attestry.plans import records
+from attestry.plans import records, telemetry
 
-MODULES = [records]
+MODULES = [records, telemetry]
 
 
 def queries() -> dict[str, Callable]:
