@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from attestry.plans import records, telemetry
+from attestry.plans import health, records, telemetry
 
-MODULES = [records, telemetry]
+MODULES = [records, telemetry, health]
 
 
 def queries() -> dict[str, Callable]:
