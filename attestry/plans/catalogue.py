@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from attestry.plans import health, records, telemetry
+from attestry.plans import checks, health, records, telemetry
 
-MODULES = [records, telemetry, health]
+MODULES = [records, telemetry, health, checks]
 
 
 def queries() -> dict[str, Callable]:
