@@ -1,15 +1,16 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
-
-Every run of a few words of a test item offers its rarest n-gram of words, by
-document frequency in the corpus, as a seed, so a copy that keeps such a run
-anywhere is found however common the item is. Passages around the seeds are
-joined to their items and aligned word by word; the score is the share of the
-item's best possible score.
+"""Benchmark decontamination by word and pair counts and Smith-Waterman alignment.
+
+The words and word pairs that a window of a document shares with a test item
+bound the score of every alignment in it, so windows that could reach the score
+are found wherever a copy was edited. They are aligned word by word; the score
+is the share of the item's best possible score. Items too many to broadcast are
+joined to documents by their rarest words and pairs, by document frequency in
+the corpus: as many as make sure that a document at the score holds one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,11 @@ from attestry.llm.text import ASCII_LOWER
 from attestry.runtime import saved
 from attestry.sources.tables import read_table
 
-#: Words of a seed, and neighbouring n-grams of which the rarest is one.
-SEED_WORDS, SEED_SPREAD = 3, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
-#: Seeds are broadcast (16 bytes each) up to this many, joined by shuffle beyond.
+#: Items are broadcast up to this many words, joined by shuffle beyond.
 BROADCAST_SEEDS = 4_000_000
-#: Items are broadcast up to this many bytes of text.
+#: Items are broadcast up to this many bytes of text, joined by shuffle beyond.
 BROADCAST_BYTES = 64 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,91 +63,113 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, at, n_, h = [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            hashes = word_hashes(words(text))
-            n = min(SEED_WORDS, len(hashes))
-            grams = gram_hashes(hashes, n) if n else []
-            row += [i] * len(grams)
-            at += range(len(grams))
-            n_ += [n] * len(grams)
-            h += [int(x) for x in grams]
-        yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int32())), pa.array(at, pa.int32()), pa.array(n_, pa.int32()), pa.array(h, pa.int64())], names=["item", "at", "n", "h"])
-
-
-class _Seeds:
-    """Sorted seed hashes of each width behind a small bit table."""
-
-    def __init__(self, pairs: list[tuple[int, int]]):
-        self.by_width = {n: np.unique(np.array([h for m, h in pairs if m == n], np.int64)) for n in {m for m, _ in pairs}}
-        self.bits = {n: self._table(x) for n, x in self.by_width.items()}
-
-    @staticmethod
-    def _table(x: np.ndarray) -> np.ndarray:
-        table = np.zeros(1 << 20, bool)
-        table[x & 0xFFFFF] = True
-        return table
-
-    def hits(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(width, places, hashes) of the grams that are seeds."""
-        found = []
-        for n, sorted_ in self.by_width.items():
-            grams = gram_hashes(hashes, n)
-            at = np.flatnonzero(self.bits[n][grams & 0xFFFFF])
-            near = grams[at]
-            at = at[sorted_[np.searchsorted(sorted_, near).clip(max=len(sorted_) - 1)] == near]
-            found.append((n, at, grams[at]))
-        return found
-
-
-def _frequencies(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, total = shared.value, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for _, _, h in seeds.hits(word_hashes(words(text))):
-                    total.update(np.unique(h).tolist())
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["h", "df"])
-
-    return run
-
+def needed(n_words: int, min_score: float) -> int:
+    """Least alignment score that an item of ``n_words`` words asks for."""
+    return max(1, math.ceil(min_score * MATCH * n_words - 1e-9))
 
-def _every_gram(widths: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                hashes = word_hashes(words(text))
-                for n in widths:
-                    h = np.unique(gram_hashes(hashes, n))
-                    yield pa.record_batch([batch.column(0).slice(i, 1).take(pa.array([0] * len(h), pa.int32())), pa.array(h, pa.int64())], names=["key", "h"])
 
-    return run
+class _Items:
+    """Items as words and word pairs that are counted in windows of a document.
 
+    An alignment with m matches, c of them right after another, has a mismatch
+    or gap before each of its other m - c - 1 later matches, so its score is at
+    most m + c + 1, and at most 2m; its words in the document are at most 3m
+    less the score. Neither m nor c exceeds what the window and the item have in
+    common, so no window that holds a sufficient alignment is passed over.
+    """
 
-def _passages(shared, reach: int):
-    """Passages of up to ``reach`` words on each side of a seed, with the seed's hash."""
+    def __init__(self, texts: list[str | None], min_score: float):
+        self.tokens = [words(x) for x in texts]
+        self.at = np.array([i for i, x in enumerate(self.tokens) if x], np.int64)
+        hashes = [word_hashes(self.tokens[i]) for i in self.at]
+        self.size = np.array([len(h) for h in hashes], np.int64)
+        self.need = np.array([needed(n, min_score) for n in self.size.tolist()], np.int64)
+        self.span = 3 * self.size - self.need
+        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+        codes = [np.searchsorted(self.vocabulary, h) for h in hashes]
+        pairs = [x[:-1] * len(self.vocabulary) + x[1:] for x in codes]
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        features = [np.r_[x, len(self.vocabulary) + np.searchsorted(self.pairs, y)] for x, y in zip(codes, pairs, strict=True)]
+        self.starts = np.cumsum([0, *map(len, features)])
+        self.feature = np.concatenate(features) if features else np.zeros(0, np.int64)
+        self.nth = np.concatenate([_nth(x) for x in features]) if features else np.zeros(0, np.int64)
+        self.chunk = max(512, 4 * int(self.span.max())) if features else 0
+
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Feature of each word and of each pair from that word on, -1 if no item has it."""
+        n = len(self.vocabulary)
+        code = np.searchsorted(self.vocabulary, hashes).clip(max=n - 1)
+        code = np.where(self.vocabulary[code] == hashes, code, -1)
+        pair = np.full(len(code), -1)
+        if len(self.pairs):
+            at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
+            both = code[at] * n + code[at + 1]
+            place = np.searchsorted(self.pairs, both).clip(max=len(self.pairs) - 1)
+            pair[at] = np.where(self.pairs[place] == both, n + place, -1)
+        return code, pair
+
+    def _counts(self, code: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        held = np.r_[code, pair[:-1]]
+        return np.bincount(held[held >= 0], minlength=len(self.vocabulary) + len(self.pairs))
+
+    def _enough(self, counts: np.ndarray, i: int) -> bool:
+        own = slice(self.starts[i], self.starts[i + 1])
+        shared = counts[self.feature[own]] >= self.nth[own]
+        m = int(shared[: self.size[i]].sum())
+        return min(MATCH * m, int(shared.sum()) + 1) >= self.need[i]
+
+    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, end): passages that hold every sufficient alignment of the document."""
+        if not len(self.at) or not len(hashes):
+            return
+        code, pair = self._known(hashes)
+        step = self.chunk - int(self.span.max())
+        for a in range(0, max(1, len(hashes) - self.chunk + step), step):
+            b = min(a + self.chunk, len(hashes))
+            counts = self._counts(code[a:b], pair[a:b])
+            shared = np.add.reduceat(counts[self.feature] >= self.nth, self.starts[:-1], dtype=np.int64)
+            for i in np.flatnonzero(shared + 1 >= self.need).tolist():
+                if not self._enough(counts, i):
+                    continue
+                width, first, end = int(self.span[i]), -1, -1
+                for x in range(a, max(a + 1, b - width), width):
+                    y = min(x + 2 * width, b)
+                    if not self._enough(self._counts(code[x:y], pair[x:y]), i):
+                        continue
+                    if first >= 0 and x > end:
+                        yield i, first, end
+                        first = -1
+                    first, end = first if first >= 0 else x, y
+                if first >= 0:
+                    yield i, first, end
+
+
+def _nth(features: np.ndarray) -> np.ndarray:
+    """1 for the first place of each value, 2 for the second and so on."""
+    order = np.argsort(features, kind="stable")
+    ranked = features[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    out = np.empty(len(features), np.int64)
+    out[order] = np.arange(len(features)) - np.repeat(first, np.diff(np.r_[first, len(features)])) + 1
+    return out
+
+
+def _features(text: str | None) -> np.ndarray:
+    """Signed hashes of the words and then of the word pairs of a text."""
+    hashes = word_hashes(words(text))
+    return np.r_[hashes.view(np.int64), gram_hashes(hashes, 2)]
+
+
+def _feature_rows(distinct: bool):
+    """(key, size, h) for the features of each text; ``size`` is its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column(2).to_pylist() if batch.num_columns > 2 else None
-            row, h_, at_, passages = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                tokens = words(text)
-                seeds = shared.value if shared else _Seeds([(h["n"], h["h"]) for h in hits[i]])
-                for n, places, grams in seeds.hits(word_hashes(tokens)):
-                    last: dict[int, int] = {}
-                    for p, h in zip(places.tolist(), grams.tolist(), strict=True):
-                        if p - last.get(h, -reach) < reach // 2:
-                            continue  # the passage before holds it with room to spare
-                        last[h] = p
-                        start = max(0, p - reach)
-                        row.append(i)
-                        h_.append(h)
-                        at_.append(start)
-                        passages.append(b" ".join(tokens[start : p + n + reach + reach // 2]))
-            yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int32())), pa.array(h_, pa.int64()), pa.array(at_, pa.int32()), pa.array(passages, pa.binary())], names=["id", "h", "start", "passage"])
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = _features(text)
+                size = (len(h) + 1) // 2
+                h = np.unique(h) if distinct else h
+                yield pa.record_batch([pa.array(np.full(len(h), key, np.int64)), pa.array(np.full(len(h), size, np.int64)), pa.array(h)], names=["key", "size", "h"])
 
     return run
 
@@ -181,66 +202,95 @@ def align(item: list[bytes], passage: list[bytes]) -> tuple[int, int, int]:
     return best
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep, score, first, end = [], [], [], []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("passage", "start", "text")), strict=True)
-        for i, (passage, start, text) in enumerate(rows):
-            item, near = words(text), passage.split()
-            # No alignment can match more words than the two have in common.
-            if sum((Counter(item) & Counter(near)).values()) < MIN_SCORE * len(item):
-                continue
-            s, a, b = align(item, near)
-            keep.append(i)
-            score.append(s / (MATCH * len(item)))
-            first.append(start + a)
-            end.append(start + b)
-        taken = pa.array(keep, pa.int32())
-        yield pa.record_batch([batch.column("id").take(taken), batch.column("item").take(taken), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["id", "item", "score", "first_word", "end_word"])
+def _aligned(items: _Items, tokens: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(item, score, first, end) of each passage that reaches the score of its item."""
+    for i, a, b in items.candidates(hashes):
+        s, first, end = align(items.tokens[items.at[i]], tokens[a:b])
+        if s >= items.need[i]:
+            yield i, s, a + first, a + end
+
+
+def _found(ids: pa.Array, items: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    row, item, score, first, end = zip(*rows, strict=True) if rows else ((),) * 5
+    return pa.record_batch(
+        [ids.take(pa.array(row, pa.int32())), items.take(pa.array(item, pa.int32())), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())],
+        names=["id", "item", "score", "first_word", "end_word"],
+    )
+
+
+def _score_all(shared, names: pa.Array):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: _Items = shared.value
+        for batch in batches:
+            rows = []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                tokens = words(text)
+                for i, s, a, b in _aligned(items, tokens, word_hashes(tokens)):
+                    rows.append((row, int(items.at[i]), s / (MATCH * int(items.size[i])), a, b))
+            yield _found(batch.column("id"), names, rows)
+
+    return run
+
+
+def _score_pairs(min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
+                tokens, items = words(text), _Items([item], min_score)
+                for i, s, a, b in _aligned(items, tokens, word_hashes(tokens)):
+                    rows.append((row, row, s / (MATCH * int(items.size[i])), a, b))
+            yield _found(batch.column("id"), batch.column("item"), rows)
+
+    return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, item, score, first_word, end_word): the best alignment of every document and item above the score.
+    """(id, item, score, first_word, end_word): the best alignment of every document and item from the score on.
 
-    Words are as in :func:`words`. Items and documents without words, null or
-    empty, match nothing; items shorter than a seed are sought by all their
-    words. Repeated rows of an id give one row for each item. Empty tables give
-    no rows.
+    Words are as in :func:`words`. Every pair at the score is found, however
+    its edits lie. Items and documents without words, null or empty, match
+    nothing. Repeated rows of an id give one row for each item. Empty tables
+    give no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    items = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull())
     kind, item_kind = (x.schema.fields[0].dataType.simpleString() for x in (docs, items))
-    grams = saved(items.mapInArrow(_item_rows, f"item {item_kind}, at int, n int, h long"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max(F.size(F.split("text", r"\s+"))).alias("words")).first()
-    if not size.words:
-        return spark.createDataFrame([], f"id {kind}, item {item_kind}, score double, first_word long, end_word long")
-    small = grams.count() <= broadcast_seeds
-    if small:
-        shared = spark.sparkContext.broadcast(_Seeds([(r.n, r.h) for r in grams.select("n", "h").distinct().collect()]))
-        counts = docs.select("text").mapInArrow(_frequencies(shared), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    schema = f"id {kind}, item {item_kind}, score double, first_word long, end_word long"
+    size = items.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).first()
+    if (size.words or 0) <= broadcast_seeds and (size.bytes or 0) <= broadcast_bytes:
+        table = items.toArrow()
+        shared = spark.sparkContext.broadcast(_Items(table.column("text").to_pylist(), min_score))
+        names = table.column("item").combine_chunks()
+        scored = docs.mapInArrow(_score_all(shared, names), schema)
     else:
-        widths = [r.n for r in grams.select("n").distinct().collect()]
-        keyed = docs.select(F.xxhash64("id", "text").alias("key"), "text").mapInArrow(_every_gram(widths), "key long, h long")
-        counts = keyed.join(grams.select("h").distinct(), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(saved(counts), "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    block = Window.partitionBy("item", F.floor(F.col("at") / SEED_SPREAD)).orderBy("df", "h")
-    seeds = saved(ranked.withColumn("r", F.row_number().over(block)).filter("r = 1 AND df > 0").select("item", "n", "h"))
-    reach = int(size.words) + int(size.words) // 2
-    schema = f"id {kind}, h long, start int, passage binary"
-    if small:
-        chosen = spark.sparkContext.broadcast(_Seeds([(r.n, r.h) for r in seeds.select("n", "h").distinct().collect()]))
-        found = docs.mapInArrow(_passages(chosen, reach), schema)
-    else:
-        keyed_docs = docs.withColumn("key", F.xxhash64("id", "text"))
-        hits = keyed.join(seeds.select("n", "h").distinct(), "h").groupBy("key").agg(F.collect_set(F.struct("n", "h")).alias("hits"))
-        found = keyed_docs.join(hits, "key").select("id", "text", "hits").mapInArrow(_passages(None, reach), schema)
-    texts = items.filter(F.col("text").isNotNull())
-    pairs = seeds.select("item", "h").distinct().join(texts, "item")
-    pairs = F.broadcast(pairs) if (size.bytes or 0) * reach <= broadcast_bytes else pairs
-    scored = found.join(pairs, "h").select("id", "passage", "start", "item", "text").mapInArrow(_score, f"id {kind}, item {item_kind}, score double, first_word long, end_word long")
+        scored = _candidates(docs, items, min_score).mapInArrow(_score_pairs(min_score), schema)
     best = F.max_by(F.struct("first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("place")
-    return scored.filter(F.col("score") >= min_score).groupBy("id", "item").agg(F.max("score").alias("score"), best).select("id", "item", "score", "place.first_word", "place.end_word")
+    return scored.groupBy("id", "item").agg(F.max("score").alias("score"), best).select("id", "item", "score", "place.first_word", "place.end_word")
+
+
+def _candidates(docs: DataFrame, items: DataFrame, min_score: float) -> DataFrame:
+    """(id, text, item, item_text): documents with a seed of the item.
+
+    Of the 2n - 1 words and pairs of an item at least its needed score less one
+    are in a document that reaches it, so one of any 2n + 1 less that score is:
+    the rarest are the seeds.
+    """
+    docs = docs.withColumn("key", F.xxhash64("id", "text"))
+    items = items.withColumn("key", F.xxhash64("item", "text"))
+    kind = "key long, size long, h long"
+    own = saved(items.select("key", "text").dropDuplicates(["key"]).mapInArrow(_feature_rows(False), kind))
+    held = docs.select("key", "text").dropDuplicates(["key"]).mapInArrow(_feature_rows(True), kind).select("key", "h")
+    held = saved(held.join(own.select("h").distinct(), "h"))
+    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    ranked = own.join(counts, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(min_score) * MATCH * F.col("size") - 1e-9))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("df", "h")))
+    seeds = ranked.filter((F.col("r") <= F.greatest(2 * F.col("size") + 1 - need, F.col("size"))) & (F.col("df") > 0))
+    pairs = saved(held.join(seeds.select(F.col("key").alias("item_key"), "h").distinct(), "h").select("key", "item_key").distinct())
+    named = items.select(F.col("key").alias("item_key"), "item", F.col("text").alias("item_text"))
+    return docs.join(pairs, "key").join(named, "item_key").select("id", "text", "item", "item_text")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,39 @@ def test_leaks_match_brute_force_on_both_paths(spark):
         # Exact scores, and nothing missed that keeps a run of words in one piece.
         assert all(want[k] == s for k, s in got.items()) and planted <= set(got)
     assert leaks(d.limit(0), b).count() == 0 and leaks(d, b.limit(0)).count() == 0
+
+
+def edited(rng, item, every):
+    """The item with a word replaced, dropped or added at every ``every``-th place."""
+    out = []
+    for i, w in enumerate(item):
+        how = rng.randrange(3) if i % every == every - 1 else None
+        out += {None: [w], 0: [f"new{rng.randrange(10**6)}"], 1: [], 2: [w, f"new{rng.randrange(10**6)}"]}[how]
+    return out
+
+
+def test_every_pair_at_the_score_is_found_however_edits_lie(spark):
+    rng = random.Random(15)
+    items = [(i, sample(rng, rng.randrange(1, 50), 900)) for i in range(14)]
+    docs = [(0, " ".join(items[0][1]))]
+    for i in range(1, 160):
+        k, every = rng.randrange(14), rng.choice([1, 2, 3, 4, 5, 6])
+        copy = edited(rng, items[k][1], every)
+        if i % 5 == 0:  # every fifth word replaced, as in a paraphrase
+            copy = [f"new{j}" if j % 5 == 2 else w for j, w in enumerate(items[k][1])]
+        if i % 5 == 1:  # a word after every two words leaves no run of three
+            copy = [x for j, w in enumerate(items[k][1]) for x in ([w, f"new{j}"] if j % 2 else [w])]
+        body = sample(rng, rng.choice([0, 40, 300, 1500]), 4000)
+        at = rng.randrange(len(body) + 1)
+        docs.append((i, " ".join(body[:at] + copy + body[at:])))
+    want = {}
+    for i, text in docs:
+        for k, item in items:
+            w = [x.encode() for x in item]
+            s = slow_score(w, words(text))
+            if s >= MIN_SCORE * MATCH * len(w):
+                want[i, k] = s / (MATCH * len(w))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    for limits in ({}, {"broadcast_seeds": 0, "broadcast_bytes": 0}):
+        assert {(r.id, r.item): r.score for r in leaks(d, b, **limits).collect()} == want
