@@ -38,18 +38,25 @@ SLAB = 1 << 20
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the word shingles; 0 without words. Fewer words make one shingle."""
+def shingle_hashes(text: str | None, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hash of each word shingle; none without words. Fewer words make one shingle."""
     words = (text or "").encode().translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(width, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k].tolist(), ends[k:].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k].tolist(), ends[k:].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the word shingles; 0 without words. Fewer words make one shingle."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.decontaminate import leaks
+from attestry.llm.neardup import near_copies
 from attestry.llm.packing import best_fit_packing
 from attestry.llm.pii import redact
 from attestry.llm.quality import quality_rules
-from attestry.llm.simhash import near_duplicates
 from attestry.runtime import saved
 from attestry.sources.tables import read_table
 
@@ -28,9 +28,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of least id; of repeated rows one."""
-    found = near_duplicates(docs)
-    chosen = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
+    """One document of each group of near copies: the one of least id; of repeated rows one.
+
+    Near copies share 80 % of their shingles of five words.
+    """
+    found = saved(near_copies(docs, "doc_id"))
+    chosen = found.groupBy("component").agg(F.min("key").alias("__id")).select("__id").distinct()
     return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates(["doc_id"])
 
 
@@ -53,13 +56,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality_rules", quality_stage),
-    ("simhash_near_duplicates", near_duplicate_stage),
+    ("near_duplicates", near_duplicate_stage),
     ("benchmark_decontamination", decontamination_stage),
     ("personal_data", pii_stage),
     ("best_fit_packing", packing_stage),
 ]
 
-#: Fingerprints, alignment and the tokenizer are beyond SQL; the stages are tested one by one.
+#: Fingerprints, alignment and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
