@@ -95,7 +95,7 @@ def _verified(width: int, limit: float):
 def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text", width: int = WIDTH, limit: float = SIMILARITY) -> DataFrame:
     """(key, component): rows of one component are linked by pairs at the similarity.
 
-    Words are as in SimHash; fewer than ``width`` words make one shingle. Null
+    A key stands for one text. Words are as in SimHash; fewer than ``width`` words make one shingle. Null
     texts count as empty, and all empty texts are copies of each other.
     """
     spark = texts.sparkSession

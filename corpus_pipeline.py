@@ -27,20 +27,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _with_text(docs, judged, "clean_text")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of id and text in ``__key``: ids may be null or repeat with other texts."""
+    parts = [F.when(F.col(c).isNotNull(), F.col(c).cast("string")) for c in ("doc_id", "text")]
+    return docs.withColumn("__key", F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.sha2(c, 256), F.lit("")) for c in parts]), 256))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least id; of repeated rows one.
+    """One document of each group of near copies: the one of least id; of rows equal in id and text one.
 
-    Near copies share 80 % of their shingles of five words.
+    Near copies share 80 % of their shingles of five words. A null id comes
+    after all others; of several texts under the least id one is kept.
     """
-    found = saved(near_copies(docs, "doc_id"))
-    chosen = found.groupBy("component").agg(F.min("key").alias("__id")).select("__id").distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates(["doc_id"])
+    docs = _keyed(docs)
+    found = near_copies(docs, "__key").distinct()
+    ids = docs.select("__key", "doc_id").dropDuplicates(["__key"])
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    chosen = found.withColumnRenamed("key", "__key").join(ids, "__key").groupBy("component").agg(F.min_by("__key", rank).alias("__key")).select("__key")
+    return docs.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").drop("__key")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a benchmark item."""
-    found = leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    docs = _keyed(docs)
+    found = leaks(docs, read_table(spark, sf_dir, "benchmark"), "__key").select(F.col("id").alias("__key")).distinct()
+    return docs.join(found, "__key", "left_anti").drop("__key")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

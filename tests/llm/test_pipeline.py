@@ -1,6 +1,6 @@
 import random
 
-from corpus_pipeline import near_duplicate_stage
+from corpus_pipeline import decontamination_stage, near_duplicate_stage
 
 
 def shingles(text):
@@ -40,3 +40,20 @@ def test_near_duplicate_stage_matches_brute_force(spark):
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_duplicate_stage(spark, df, "").collect()) == slow_kept(docs)
+
+
+def test_stages_decide_by_row_where_ids_are_null_or_repeat(spark, tmp_path):
+    rng = random.Random(22)
+    new = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    item = new()
+    a, b, c, d, e = (new() for _ in range(5))
+    docs = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (1, e), (3, e), (None, e), (4, None), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in near_duplicate_stage(spark, df, "").collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (1, c), (1, d), (1, e), (4, None)], key=str)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{a} {item} {b}"
+    docs = [(None, leak), (None, a), (5, leak), (5, b), (6, c), (7, None), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in decontamination_stage(spark, df, str(tmp_path)).collect()), key=str)
+    assert got == sorted([x for x in docs if x[1] != leak], key=str)
