@@ -2,10 +2,8 @@
 
 Lines are normalised (outer and repeated spaces dropped, A-Z lower-cased, runs
 of digits made one 0) and hashed together with their host. A line is counted
-once for each distinct document of the host. Copies of one document are one
-document here: a document is told apart, for the count of a line, by the
-smallest hash among its *other* lines, so a line that repeats only because its
-document was copied stays at one, whereas boilerplate counts every document.
+once for each distinct document of the host, and documents are told apart by
+the hash of all their normalised lines: only equal ones count once.
 Lines above the limit are removed, and a document of which too little is left
 is rejected.
 """
@@ -54,15 +52,13 @@ def _host_bytes(host: str | None) -> bytes:
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, keys, others = [], [], []
+        docs, lines = [], []
         for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h = _host_bytes(host)
-            own = sorted({_line_key(h, x) for x in (text or "").encode().split(b"\n") if x.split()})
-            for i, key in enumerate(own):
-                hosts.append(host)
-                keys.append(key)
-                others.append(own[0] if i else own[1] if len(own) > 1 else None)
-        yield pa.record_batch([pa.array(hosts, pa.string()).dictionary_encode().cast(pa.string()), pa.array(keys, pa.int64()), pa.array(others, pa.int64())], names=["host", "line", "other"])
+            keys = [_line_key(h, x) for x in (text or "").encode().split(b"\n") if x.split()]
+            docs.append(hashlib.md5(np.array(keys, np.int64).tobytes()).digest())
+            lines.append(sorted(set(keys)))
+        yield pa.record_batch([batch.column(0), pa.array(docs, pa.binary()), pa.array(lines, pa.list_(pa.int64()))], names=["host", "doc", "lines"])
 
 
 def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, share: float = LINE_SHARE) -> DataFrame:
@@ -72,8 +68,8 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     documents. A null host is a host of its own.
     """
     narrow = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    rows = narrow.mapInArrow(_line_rows, "host string, line long, other long")
-    counts = rows.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    rows = narrow.mapInArrow(_line_rows, "host string, doc binary, lines array<long>").dropDuplicates(["host", "doc"])
+    counts = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     hosts = narrow.groupBy("host").agg(F.count(F.lit(1)).alias("n_host")).withColumnRenamed("host", "h")
     return counts.filter(F.col("n_docs") > min_docs).join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n_docs") > share * F.col("n_host")).select("line", "n_docs")
 
