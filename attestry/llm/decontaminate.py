@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.text import ASCII_LOWER
+from attestry.llm.text import ASCII_LOWER, slices
 from attestry.runtime import saved
 from attestry.sources.tables import read_table
 
@@ -164,7 +164,7 @@ def _feature_rows(distinct: bool):
     """(key, size, h) for the features of each text; ``size`` is its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = _features(text)
                 size = (len(h) + 1) // 2
@@ -221,7 +221,7 @@ def _found(ids: pa.Array, items: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
 def _score_all(shared, names: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: _Items = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 tokens = words(text)
@@ -234,7 +234,7 @@ def _score_all(shared, names: pa.Array):
 
 def _score_pairs(min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for row, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
                 tokens, items = words(text), _Items([item], min_score)

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.llm.text import slices
 from attestry.llm.tokens import tokenizer_path
 from attestry.sources.tables import read_table
 
@@ -196,7 +197,7 @@ class CountTree:
 def _run(path: str, stored: bool, keep_tree: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = PreTokens.of(path)
-        for batch in batches:
+        for batch in slices(batches):
             before, after, cut, size, trees = [], [], [], [], []
             for source, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if stored:

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.text import ASCII_LOWER
+from attestry.llm.text import ASCII_LOWER, slices
 from attestry.runtime import saved
 from attestry.sources.tables import read_table
 
@@ -67,7 +67,7 @@ def family_of(lang: str) -> str:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [vector(x) for x in batch.column(1).to_pylist()]
         yield pa.record_batch([batch.column(0), pa.array([None if v is None else v.tolist() for v in found], pa.list_(pa.float64()))], names=["lang", "vector"])
 
@@ -149,7 +149,7 @@ def predict_language(docs: DataFrame, models: tuple[Machines, dict[str, Machines
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [vector(x) for x in batch.column(1).to_pylist()]
             at = [i for i, v in enumerate(found) if v is not None]
             pred = np.full(len(found), UNKNOWN, object)

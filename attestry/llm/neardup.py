@@ -1,12 +1,14 @@
-"""Near copies of texts by the exact similarity of their word shingles.
-
-Two texts are near copies if the Jaccard similarity of their sets of hashed
-shingles reaches a limit t. Under any one order of all shingles, two such sets
-share a shingle among the first n - ceil(t n) + 1 of each, so texts meet by
-those and every pair is then verified. Shingles that are common in a part of
-the texts come last in the order; this changes the cost and not the result.
-Texts are first linked to one text of each bucket; pairs that are connected by
-then need no check, all others are checked.
+"""SimHash near-copies at a similarity of word shingles, each link verified exactly.
+
+Fingerprints of the shingles are compared bit-sliced (:mod:`attestry.llm.simhash`),
+and what lies within its radius is verified by the Jaccard similarity of the
+sets of shingles. Fingerprints alone lose pairs near the limit, so the rest is
+found exactly: under any one order of all shingles, two sets at the limit t
+share a shingle among the first n - ceil(t n) + 1 of each, so texts that are
+not connected yet meet by those and are verified as well. Shingles that are
+common in a part of the texts come last in the order; this changes the cost and
+not the result. In each bucket all texts are first held against one; pairs that
+are connected by then need no check, all others are checked.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.simhash import SEED, shingle_hashes
+from attestry.llm.simhash import RADIUS, SEED, fingerprint_links, fingerprint_of, shingle_hashes
+from attestry.llm.text import slices
 from attestry.operators.graph import connected_components
 from attestry.runtime import saved
 
@@ -30,6 +33,8 @@ SIMILARITY = 0.8
 COUNTED = 16
 #: A shingle of so many counted texts is common; so many are broadcast (16 bytes each).
 COMMON, MAX_COMMON = 8, 2_000_000
+#: Pairs of one text that a task verifies with one copy of it.
+SPAN = 256
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -58,21 +63,21 @@ def _all_shingles(width: int):
 def _signs(common, width: int, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = common.value
-        for batch in batches:
-            cls, size, first = [], [], []
+        for batch in slices(batches):
+            cls, prints, size, first = [], [], [], []
             for text in batch.column(1).to_pylist():
-                own = shingle_set(text, width)
+                hashes = shingle_hashes(text, width)
+                own = np.unique(hashes)
                 cls.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                prints.append(fingerprint_of(hashes))
                 size.append(len(own))
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.searchsorted(known, own).clip(max=len(known) - 1)
                     weight = np.where(known[at] == own, times[at], 0)
                 first.append(own[np.lexsort((own, weight))[: prefix_size(len(own), limit)]].view(np.int64))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))],
-                names=["key", "cls", "n", "first"],
-            )
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, prints)]
+            yield pa.record_batch([batch.column(0), *signed, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["key", "cls", "fp", "n", "first"])
 
     return run
 
@@ -80,56 +85,82 @@ def _signs(common, width: int, limit: float):
 def _verified(width: int, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for i, (a, one, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True)):
                 if a != last:
                     last, own = a, shingle_set(one, width)
                 if similarity(own, shingle_set(other, width)) >= limit - 1e-9:
                     keep.append(i)
-            yield pa.record_batch([batch.column(c).take(pa.array(keep, pa.int32())) for c in ("a", "b")], names=["a", "b"])
+            yield pa.record_batch([batch.column(c).take(pa.array(keep, pa.int32())) for c in ("p", "q")], names=["p", "q"])
 
     return run
 
 
-def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text", width: int = WIDTH, limit: float = SIMILARITY) -> DataFrame:
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are common in a part of the texts, and their counts there."""
+    part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select("text")
+    part = part.mapInArrow(_all_shingles(width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= COMMON)
+    counted = part.orderBy(F.col("c").desc(), "h").limit(MAX_COMMON).toArrow()
+    known = np.array(counted.column("h"), np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.array(counted.column("c"), np.int64)[order]
+
+
+def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text", width: int = WIDTH, limit: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(key, component): rows of one component are linked by pairs at the similarity.
 
-    A key stands for one text. Words are as in SimHash; fewer than ``width`` words make one shingle. Null
-    texts count as empty, and all empty texts are copies of each other.
+    A key stands for one text. Words are as in SimHash; fewer than ``width``
+    words make one shingle. Null texts count as empty, and all empty texts are
+    copies of each other. Rows of an equal key and text repeat. An empty table
+    gives no rows.
     """
     spark = texts.sparkSession
     texts = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     kind = texts.schema["key"].dataType.simpleString()
-    part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select("text")
-    part = part.mapInArrow(_all_shingles(width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= COMMON)
-    counted = part.orderBy(F.col("c").desc(), "h").limit(MAX_COMMON).toArrow()
-    known = np.array(counted.column("h"), np.int64).view(np.uint64)
-    order = np.argsort(known)
-    common = spark.sparkContext.broadcast((known[order], np.array(counted.column("c"), np.int64)[order]))
-    signs = saved(texts.mapInArrow(_signs(common, width, limit), f"key {kind}, cls long, n int, first array<long>"))
-    rows = signs.dropDuplicates(["cls"]).select("cls", "n", F.explode("first").alias("h"))
-    buckets = rows.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "p")
-    rows = saved(rows.join(buckets, "h"))
-    alike = lambda m, n: F.least(m, n) >= limit * F.greatest(m, n) - 1e-9
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs)
+    common = spark.sparkContext.broadcast(_common(texts, width))
+    signs = saved(texts.mapInArrow(_signs(common, width, limit), f"key {kind}, cls long, fp long, n int, first array<long>"))
+    # Equal sets are one class; ``part`` is the connected part that a class is known to be in.
+    classes = signs.groupBy("cls").agg(F.min("key").alias("key"), F.min_by(F.struct("n", "fp", "first"), "key").alias("s"))
+    classes = saved(classes.select("cls", "key", "s.*", F.col("cls").alias("part")))
+    entry = F.struct("cls", "n", "part")
+
+    def alike(m: Column, n: Column) -> Column:
+        return F.least(m, n) >= limit * F.greatest(m, n) - 1e-9
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """(a, b, p, q) of classes x and y and their parts, where sizes allow the similarity and the parts differ."""
+        open_ = pairs.filter((F.col("x.part") != F.col("y.part")) & alike(F.col("x.n"), F.col("y.n")))
+        return open_.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.part").alias("p"), F.col("y.part").alias("q")).distinct()
+
+    def contracted(pairs: DataFrame) -> DataFrame:
+        """Classes with the parts that the verified pairs connect."""
+        pairs = saved(candidates(pairs))
+        if pairs.isEmpty():
+            return classes
         used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        keys = signs.join(used, "cls").groupBy("cls").agg(F.min("key").alias("key"))
-        held = saved(texts.join(keys, "key").dropDuplicates(["cls"]).select("cls", "text"))
-        one, other = (held.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return saved(pairs.join(other, "b").join(one, "a").mapInArrow(_verified(width, limit), "a long, b long"))
-
-    first = rows.filter((F.col("cls") != F.col("p.cls")) & alike(F.col("n"), F.col("p.n"))).select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
-    links = verify(first)
-    part_of = connected_components(links)
-    named = saved(rows.join(part_of, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", F.coalesce("component", "cls").alias("part")))
-    mixed = named.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("h")
-    named = saved(named.join(mixed, "h"))
-    a, b = named.alias("a"), named.alias("b")
-    met = (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.part") != F.col("b.part")) & alike(F.col("a.n"), F.col("b.n"))
-    rest = a.join(b, met).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-    links = links.union(verify(rest))
-    part_of = connected_components(links)
-    return signs.join(part_of, F.col("cls") == F.col("node"), "left").select("key", F.coalesce("component", "cls").alias("component"))
+        held = saved(texts.join(classes.join(used, "cls").select("cls", "key"), "key").dropDuplicates(["cls"]).select("cls", "text"))
+        # A text with many pairs is dealt to several tasks, each with a copy of it.
+        many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPAN).cast("int").alias("s")).filter("s > 1")
+        dealt = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("s", F.lit(1))).cast("int")).drop("s")
+        one = held.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).join(many, "a", "left")
+        one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1))).drop("s")
+        both = dealt.join(held.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(one, ["a", "salt"])
+        links = saved(both.select("a", "text_a", "text_b", "p", "q").mapInArrow(_verified(width, limit), "p long, q long").distinct())
+        moved = connected_components(links, "p", "q").withColumnRenamed("component", "to")
+        return saved(classes.join(moved, F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("to", "part")).drop("node", "to"))
+
+    # Links of the fingerprints, and of what shares one.
+    prints = saved(classes.groupBy("fp").agg(F.min(entry).alias("x")))
+    linked = fingerprint_links(prints.select("fp"), radius).join(prints.select(F.col("fp").alias("a"), "x"), "a").join(prints.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
+    equal = classes.select("fp", entry.alias("y")).join(prints, "fp")
+    classes = contracted(linked.select("x", "y").union(equal.select("x", "y")))
+    # The exact rest: buckets of shingles in which parts meet that are not connected yet.
+    for star in (True, False):
+        rows = classes.select(entry.alias("x"), F.explode("first").alias("h"))
+        mixed = rows.groupBy("h").agg(F.min("x").alias("y"), F.min("x.part").alias("low"), F.max("x.part").alias("high")).filter("low < high").select("h", "y")
+        rows = saved(rows.join(mixed, "h"))
+        if not star:
+            rows = rows.drop("y").join(rows.select("h", F.col("x").alias("y")), "h").filter("x.cls < y.cls")
+        classes = contracted(rows.select("x", "y"))
+    return signs.select("key", "cls").join(classes.select("cls", F.col("part").alias("component")), "cls").select("key", "component")

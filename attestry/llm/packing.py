@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestry.llm.text import slices
 from attestry.llm.tokens import WordTokens, tokenizer_path
 from attestry.runtime import saved
 from attestry.sources.tables import read_table
@@ -41,7 +42,7 @@ MANY = 1.5
 def _cutter(path: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, ranks = WordTokens.of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             source, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = tokens.encode(text or "") + END

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.text import ASCII_LOWER, SPACES, intern_words
+from attestry.llm.text import ASCII_LOWER, SPACES, intern_words, slices
 from attestry.runtime import saved
 from attestry.sources.tables import read_table
 
@@ -51,7 +51,7 @@ def _host_bytes(host: str | None) -> bytes:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         docs, lines = [], []
         for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h = _host_bytes(host)
@@ -170,7 +170,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
         schema = schema.add(name, kind)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, hosts = batch.column(text_at).to_pylist(), batch.column(host_at).cast(pa.string()).to_pylist()
             hits = [set(x or ()) for x in batch.column("__hits").to_pylist()] if gone is None else None
             out = []
@@ -186,7 +186,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
 
 
 def _keyed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows, keys = [], []
         for row, host, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             h = _host_bytes(host)

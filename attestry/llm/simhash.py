@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.text import ASCII_LOWER
+from attestry.llm.text import ASCII_LOWER, slices
 from attestry.operators.graph import connected_components
 from attestry.runtime import saved
 from attestry.sources.tables import read_table
@@ -54,7 +54,11 @@ def shingle_hashes(text: str | None, width: int = SHINGLE, seed: int = SEED) ->
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of the word shingles; 0 without words. Fewer words make one shingle."""
-    hashes = shingle_hashes(text, width, seed)
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half the hashes."""
     if not len(hashes):
         return 0
     set_bits = np.zeros(64, np.int64)
@@ -65,7 +69,7 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
 

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.llm.text import slices
 from attestry.runtime import saved
 from attestry.sources.tables import read_table
 
@@ -83,7 +84,7 @@ _NAMES = ["id", "key", "n", "p", "a", "b", "lo", "hi", "core", "hull"]
 
 def _hash_rows(length: int, nodes_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             row, found, cores, hulls = [], [], [], []
             rest = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * len(batch)
             if batch.num_columns > 4:  # keys may collide, ids tell
@@ -159,7 +160,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) -
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         size, removed, spans, digest, kept = [], [], [], [], []
         for id_, text, ranges in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             data = (text or "").encode()
