@@ -37,6 +37,8 @@ LENGTH = 400
 GRAM = 8
 #: Nodes into which an open node is split.
 SPLIT = 15
+#: A key with more than this part of the rows is dealt to several tasks, so at most so many are known to all.
+HOT = 1000
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -130,6 +132,20 @@ def _children(split: int):
     return of
 
 
+def _hot(counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Keys that hold more than one row in HOT, at most HOT of them, with a number of salts ``s``."""
+    fair = max(1, total // HOT)
+    return F.broadcast(counted.filter(F.col("c") > fair).select(*keys, F.ceil(F.col("c") / fair).cast("int").alias("s")))
+
+
+def _semi(rows: DataFrame, wanted: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Rows whose key is wanted; rows of a hot key go to several tasks, each with the key."""
+    salts = F.coalesce("s", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int"))
+    right = wanted.select(*keys).join(hot, keys, "left").select(*keys, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right, [*keys, "salt"], "left_semi").select(*rows.columns)
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) -> DataFrame:
     """(id, key, first, last): byte ranges that strings of ``length`` bytes with a second occurrence cover.
 
@@ -141,24 +157,63 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) -
     same = ["a", "b", "core"]
     done, width = None, (length - GRAM) // 2 + 1
     while True:
-        twice = rows.groupBy(same).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-        nodes = saved(rows.join(twice, same, "left_semi"))
+        total = rows.count()
+        twice = saved(rows.groupBy(same).agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+        hot = _hot(twice, same, total)
+        nodes = saved(_semi(rows, twice, same, hot))
         hulls = nodes.groupBy(*same, "hull").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "key", "p", "lo", "hi")).alias("one"))
         hulls = saved(hulls)
-        good = nodes.join(hulls.filter("c > 1").select(*same, "hull"), [*same, "hull"], "left_semi")
+        good = _semi(nodes, hulls.filter("c > 1"), [*same, "hull"], _hot(hulls, [*same, "hull"], total))
         ranges = good.select("id", "key", F.greatest(F.col("p") - F.col("b"), F.lit(0)).alias("first"), F.least(F.col("p") - F.col("a") + length, F.col("n")).alias("last"))
         done = ranges if done is None else done.unionByName(ranges)
         if width == 1:
             return done
-        open_groups = hulls.groupBy(same).agg(F.count_if(F.col("c") == 1).alias("alone")).filter("alone > 0").drop("alone")
+        open_groups = hulls.groupBy(same).agg(F.count_if(F.col("c") == 1).alias("alone")).filter("alone > 0")
         # A lone hull is its own node; of each other hull one node is a witness.
-        jobs = hulls.join(open_groups, same, "left_semi").select("one.id", "one.key", F.struct("one.p", "a", "b", "one.lo", "one.hi").alias("job"))
+        jobs = _semi(hulls, open_groups, same, hot).select("one.id", "one.key", F.struct("one.p", "a", "b", "one.lo", "one.hi").alias("job"))
         jobs = jobs.groupBy("key", "id").agg(F.collect_set("job").alias("jobs")).withColumnsRenamed({"id": "i", "key": "k"})
         both = docs.join(jobs, F.col("key") == F.col("k")).select("id", "key", "text", "i", "jobs")
         rows = saved(both.mapInArrow(_hash_rows(length, _children(split)), schema))
         width = -(-width // split)
 
 
+def _all_positions(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                data = (text or "").encode()
+                ranks = [xxhash.xxh3_64_intdigest(data[i : i + width]) for i in range(len(data) - width + 1)]
+                at = pa.array(np.zeros(len(ranks), np.int32) + row)
+                yield pa.record_batch([batch.column(0).take(at), pa.array(np.arange(len(ranks)), pa.int32()), pa.array(np.array(ranks, np.uint64).view(np.int64))], names=["doc", "p", "rank"])
+
+    return run
+
+
+def doubled_positions(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, p): bytes at which a string of ``length`` bytes starts that also starts elsewhere, by prefix doubling.
+
+    ``docs`` has doc (a number of its own for each row) and text. Positions are
+    ranked by their first bytes, as many as doubling leads to ``length`` from.
+    In each round Spark sorts the pairs of the ranks at p and at p + width and
+    ranks the pairs anew; a pair that is alone drops out. A row for every byte
+    makes it costly, see README; :func:`repeated_ranges` finds the same.
+    """
+    width = length
+    while width % 2 == 0 and width > 2 * GRAM:
+        width //= 2
+    ranks = docs.select("doc", "text").mapInArrow(_all_positions(width), "doc long, p int, rank long")
+    twice = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    ranks = saved(ranks.join(twice, "rank", "left_semi"))
+    while width < length:
+        after = ranks.select("doc", (F.col("p") - width).alias("p"), F.col("rank").alias("second"))
+        pairs = saved(ranks.join(after, ["doc", "p"]))
+        order = pairs.groupBy("rank", "second").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").orderBy("rank", "second")
+        order = saved(order.select("rank", "second", F.monotonically_increasing_id().alias("new")))
+        ranks = saved(pairs.join(order, ["rank", "second"]).select("doc", "p", F.col("new").alias("rank")))
+        width *= 2
+    return ranks.select("doc", "p")
+
+
 def _cut(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         size, removed, spans, digest, kept = [], [], [], [], []

@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
-from attestry.llm.substrings import remove_repeats
+from attestry.llm.substrings import doubled_positions, remove_repeats
 
 
 def slow(texts, length):
@@ -52,3 +52,22 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(df, length=40).collect())
     assert got == [(0, 0, 0), (1, 0, 0), (60, 60, 1), (60, 60, 1)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_prefix_doubling_finds_the_same_strings(spark):
+    rng = random.Random(4)
+    texts = [random_text(rng, rng.randrange(200)) for _ in range(20)]
+    texts += [texts[0], texts[1][:70] + "x" + texts[2], None, "", "ab" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + 40] for d in data for i in range(len(d) - 39))
+    want = sorted((k, i) for k, d in enumerate(data) for i in range(len(d) - 39) if seen[d[i : i + 40]] > 1)
+    assert sorted((r.doc, r.p) for r in doubled_positions(df, 40).collect()) == want
+
+
+def test_one_string_in_many_documents_is_dealt_to_several_tasks(spark):
+    shared = "0123456789abcdef" * 4
+    texts = [f"{i}-{shared}-{i}" if i % 2 else f"{i} alone" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, length=40).collect()}
+    assert [got[i] for i in range(3000)] == slow(texts, 40)
