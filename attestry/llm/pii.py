@@ -1,12 +1,15 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
-Exact patterns give the base spans. Wider patterns give further candidates
-(disguised e-mail addresses, national phone numbers, cards with other
+Exact patterns give the base spans. Further candidates come from wider patterns:
+near misses of the base patterns (digit runs that fail the card's check sum or
+its length, calls with too few digits, addresses with parts above 255) and other
+spellings (disguised e-mail addresses, national phone numbers, cards with other
 separators, IPv6). Regex, gazetteer and context labelers vote on every
 candidate or abstain. Expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeler is, and its posteriors are the soft labels
-of the final span classifier (naive Bayes over the shape and the surroundings
-of a span), which decides on the further candidates. Base spans always stay.
+estimates how reliable each labeler is for each kind, and its posteriors are the
+soft labels of the final span classifier (naive Bayes over the shape and the
+surroundings of a span), which decides on the further candidates. Base spans
+always stay. Secrets (keys and tokens after their name) are counted apart.
 """
 
 from __future__ import annotations
@@ -32,16 +35,19 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Further candidates for the classifier.
+#: Further candidates for the classifier; a later kind gives way to an earlier one.
 WIDE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:\[at\]|\(at\)|\{{at\}}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9./])[0-9]{4}(?:([./_])[0-9]{4}\1[0-9]{4}\1)[0-9]{2,7}(?![0-9./])",
-    "phone": r"(?<![0-9+)])(?<![0-9+)][\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]))",
+    "phone": r"(?<![0-9+)])(?<![0-9+)][\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])|\+[0-9](?:[\x20().-]{0,3}[0-9]){6,8}(?![0-9])",
+    "card": r"(?<![0-9./])[0-9]{4}(?:([./_])[0-9]{4}\1[0-9]{4}\1)[0-9]{2,7}(?![0-9./])|(?<![0-9])[0-9](?:[\x20-]?[0-9]){8,18}+(?![0-9])",
 }
 #: A literal that a text with a match holds; texts without it are not searched.
 NEEDS = {"email": "@", "phone": "+"}
-WIDE_NEEDS = {"email": "at", "ip": ":"}
+WIDE_NEEDS = {"email": "at"}
+SECRET = r"(?i)\b((?:[a-z]+[_-])?(?:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?)[A-Za-z0-9+/_-]{16,}"
+#: Code points within which another base span speaks for a candidate.
+BESIDE = 160
 
 # Gazetteers.
 DOMAINS = "com org net edu gov mil int info biz io dev app eu de fr es it uk us ca at ch be nl pt br mx ar co"
@@ -56,7 +62,7 @@ CUES = {
 }
 AGAINST = r"version|isbn|issn|doi|order no|invoice|serial|build|release|section|\bref\b"
 
-LABELERS = ("shape", "gazetteer", "near", "against", "edges")
+LABELERS = ("shape", "length", "gazetteer", "near", "against", "beside", "edges")
 ROUNDS = 12
 
 
@@ -115,22 +121,23 @@ def _placed(text: Column, values: Column, pattern: str, kind: str, base: bool) -
             s["value"].alias("value"),
             text.substr(F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))).alias("before"),
             text.substr(s["end"] + 1, F.lit(1)).alias("after"),
+            F.lit(False).alias("beside"),
         )
 
     return F.transform(found, full)
 
 
-def _clear_of(wide: Column, base: Column) -> Column:
-    """Candidates that overlap no base span."""
-    meets = lambda w: F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+def _clear_of(wide: Column, taken: Column) -> Column:
+    """Candidates that overlap no span taken before."""
+    meets = lambda w: F.exists(taken, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     return F.filter(wide, lambda w: ~meets(w))
 
 
-_CANDIDATE = "array<struct<start:int,no:int,end:int,base:boolean,value:string,before:string,after:string>>"
+_CANDIDATE = "array<struct<start:int,no:int,end:int,base:boolean,value:string,before:string,after:string,beside:boolean>>"
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__cands``: base spans and further candidates that overlap no base span of their kind."""
+    """``docs`` with ``__cands``: base spans and further candidates that overlap no base span."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<string>")
     sets = [("b", BASE, NEEDS), ("w", WIDE, WIDE_NEEDS)]
@@ -146,12 +153,13 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for kind, pattern in patterns.items():
             v = F.col(f"__{tag}_{kind}")
             arrays[f"__{tag}_{kind}"] = F.when(F.size(v) > 0, _placed(text, v, pattern, kind, tag == "b")).otherwise(empty)
-    docs = docs.withColumns(arrays)
-    parts = [F.col(f"__b_{kind}") for kind in KINDS]
-    for kind in KINDS:
-        wide, base = F.col(f"__w_{kind}"), F.col(f"__b_{kind}")
-        parts.append(F.when(F.size(wide) > 0, _clear_of(wide, base)).otherwise(empty))
-    return docs.withColumn("__cands", F.array_sort(F.concat(*parts))).drop(*values)
+    docs = docs.withColumns(arrays).withColumn("__base", F.concat(*[F.col(f"__b_{kind}") for kind in KINDS])).withColumn("__cands", F.col("__base"))
+    for kind in WIDE:
+        wide = F.col(f"__w_{kind}")
+        docs = docs.withColumn("__cands", F.when(F.size(wide) > 0, F.concat("__cands", _clear_of(wide, F.col("__cands")))).otherwise(F.col("__cands")))
+    beside = lambda c: F.exists("__base", lambda b: (b["start"] != c["start"]) & (F.abs(b["start"] - c["start"]) <= BESIDE))
+    marked = F.transform(F.array_sort("__cands"), lambda c: c.withField("beside", beside(c)))
+    return docs.withColumn("__cands", F.when(F.size("__cands") > 1, marked).otherwise(F.col("__cands"))).drop("__base", *values)
 
 
 def votes(c: Column) -> dict[str, Column]:
@@ -167,6 +175,7 @@ def votes(c: Column) -> dict[str, Column]:
         yes(_luhn(value) & F.length(digits).between(13, 19)),
         yes(F.length(digits).between(10, 13)),
     )
+    length = F.when(c["no"] == 2, yes(F.length(digits).isin(15, 16))).when(c["no"] == 3, yes(F.length(digits).between(10, 12)))
     gazetteer = by_kind(
         only(domain.isin(*DOMAINS.split())),
         F.when(value.rlike(r"^(?:0|10|127|192\.168|169\.254|2(?:2[4-9]|[345][0-9]))\."), 0).otherwise(F.lit(1)),
@@ -176,7 +185,7 @@ def votes(c: Column) -> dict[str, Column]:
     near = only(by_kind(*(before.rlike(CUES[k]) for k in KINDS)))
     against = F.when(before.rlike(AGAINST), 0)
     edges = yes(before.rlike(r"(?:^|[\s(\[<\"':,;|])$") & c["after"].rlike(r"^(?:$|[\s)\]>\"':,;.!?|])"))
-    return dict(zip(LABELERS, (shape, gazetteer, near, against, edges), strict=True))
+    return dict(zip(LABELERS, (shape, length, gazetteer, near, against, only(c["beside"]), edges), strict=True))
 
 
 def features(c: Column) -> list[Column]:
@@ -191,14 +200,15 @@ def features(c: Column) -> list[Column]:
         name("separator", F.regexp_extract(c["value"], r"([^A-Za-z0-9])", 1)),
         name("left", class_of(F.right(c["before"], F.lit(1)))),
         name("right", class_of(c["after"])),
+        name("beside", c["beside"]),
     ]
 
 
 @dataclass
 class Model:
-    """Reliabilities (yes if true, yes if false) by labeler, priors by kind, log odds by feature."""
+    """Reliabilities (yes if true, yes if false) by kind and labeler, priors by kind, log odds by feature."""
 
-    reliability: dict[str, tuple[float, float]]
+    reliability: dict[tuple[int, str], tuple[float, float]]
     prior: dict[int, float]
     log_odds: dict[str, float] = field(default_factory=dict)
 
@@ -206,9 +216,11 @@ class Model:
         """Probability that a row with kind number ``no`` and vote columns is personal data."""
         score = F.lit(0.0)
         for no, p in self.prior.items():
-            score = F.when(F.col("no") == no, math.log(p / (1 - p))).otherwise(score)
-        for name, (t, f) in self.reliability.items():
-            score = score + F.when(F.col(name) == 1, math.log(t / f)).when(F.col(name) == 0, math.log((1 - t) / (1 - f))).otherwise(0.0)
+            own = F.lit(math.log(p / (1 - p)))
+            for name in LABELERS:
+                t, f = self.reliability[no, name]
+                own = own + F.when(F.col(name) == 1, math.log(t / f)).when(F.col(name) == 0, math.log((1 - t) / (1 - f))).otherwise(0.0)
+            score = F.when(F.col("no") == no, own).otherwise(score)
         return 1 / (1 + F.exp(-score))
 
     def accepts(self, c: Column) -> Column:
@@ -236,7 +248,7 @@ def train(cands: DataFrame) -> Model:
     rows = cands.select(F.explode("__cands").alias("c"))
     table = saved(rows.select(F.col("c.no").alias("no"), *[v.alias(k) for k, v in votes(F.col("c")).items()], F.array(*features(F.col("c"))).alias("features")).groupBy("no", *LABELERS, "features").agg(F.count(F.lit(1)).alias("n")))
     patterns = saved(table.groupBy("no", *LABELERS).agg(F.sum("n").alias("n")))
-    model = Model(dict.fromkeys(LABELERS, (0.8, 0.3)), dict.fromkeys(range(len(KINDS)), 0.7))
+    model = Model({(no, name): (0.8, 0.3) for no in range(len(KINDS)) for name in LABELERS}, dict.fromkeys(range(len(KINDS)), 0.7))
     for _ in range(ROUNDS):
         weighed = patterns.withColumn("q", model.posterior())
         sums = []
@@ -247,9 +259,9 @@ def train(cands: DataFrame) -> Model:
         found = weighed.groupBy("no").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("q")).alias("q"), *sums).collect()
         if not found:
             return model
-        total = lambda key, found=found: sum(r[key] for r in sorted(found))
         rate = lambda a, b, was: _bounded((a + 8 * was) / (b + 8))  # noqa: E731  eight votes of prior belief
-        model.reliability = {k: (rate(total(f"{k}_ty"), total(f"{k}_t"), 0.8), rate(total(f"{k}_fy"), total(f"{k}_f"), 0.3)) for k in LABELERS}
+        for r in found:
+            model.reliability |= {(r.no, k): (rate(r[f"{k}_ty"], r[f"{k}_t"], 0.8), rate(r[f"{k}_fy"], r[f"{k}_f"], 0.3)) for k in LABELERS}
         model.prior |= {r.no: _bounded((r.q + 5.6) / (r.n + 8)) for r in found}
     weighed = table.withColumn("q", model.posterior())
     by_feature = weighed.select("n", "q", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum(F.col("n") * F.col("q")).alias("t"), F.sum(F.col("n") * (1 - F.col("q"))).alias("f"))
@@ -271,24 +283,34 @@ def _listed(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base, spans) of every row.
+    """(id, n_email, n_ip, n_card, n_phone, base, spans, n_added, n_secret) of every row.
 
     ``base`` and ``spans`` list kind:start:end (code points, end exclusive) by
-    start and kind; the counts are of base spans. A null text counts as empty;
-    repeated rows repeat; an empty table gives no rows.
+    start and kind; the first counts are of base spans, ``n_added`` of what the
+    classifier adds. A null text counts as empty; repeated rows repeat; texts
+    are searched whole, however long; of candidates at one place the earlier
+    kind stays; columns of ``docs`` other than the two named are not read. An
+    empty table gives no rows.
     """
-    narrow = saved(with_candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "__cands"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = saved(with_candidates(docs).select("id", "__cands", F.coalesce(F.regexp_count("text", F.lit(SECRET)), F.lit(0)).cast("long").alias("n_secret")))
     found = with_spans(narrow, train(narrow))
     base = F.filter("__cands", lambda c: c["base"])
     of_kind = lambda no: F.filter(base, lambda c: c["no"] == no)
     counts = [F.size(of_kind(no)).cast("long").alias(f"n_{kind}") for no, kind in enumerate(KINDS)]
-    return found.select("id", *counts, _listed(base).alias("base"), _listed(F.col("__cands")).alias("spans"))
+    added = (F.size("__cands") - F.size(base)).cast("long").alias("n_added")
+    return found.select("id", *counts, _listed(base).alias("base"), _listed(F.col("__cands")).alias("spans"), added, "n_secret")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets. A null text stays null."""
-    narrow = saved(with_candidates(docs.select(F.col(text_col).alias("text"))).select("__cands").filter(F.size("__cands") > 0))
-    found = with_spans(with_candidates(docs, text_col), train(narrow))
+    """``docs`` with every span replaced by its kind in brackets, and secrets by [SECRET].
+
+    A null text stays null; other columns stay as they are.
+    """
+    columns = docs.columns
+    # Written once with the texts: every pattern is searched once.
+    held = saved(with_candidates(docs, text_col))
+    found = with_spans(held, train(held))
     text = F.col(text_col)
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -297,12 +319,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), gap.alias("out"))).otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
 
     done = F.aggregate("__cands", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), add, lambda a: F.concat(a["out"], text.substr(a["pos"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__cands") > 0, done).otherwise(text)).select(*docs.columns)
+    return found.withColumn(text_col, F.regexp_replace(F.when(F.size("__cands") > 0, done).otherwise(text), SECRET, "$1[SECRET]")).select(*columns)
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(read_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", "n_secret")
 
 
 QUERIES = {"op3_personal_data": op3_personal_data}

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from attestry.llm.pii import personal_data, redact
+from pyspark.sql import functions as F
+
+from attestry.llm.pii import personal_data, redact, train, with_candidates
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -60,3 +62,34 @@ def test_method_adds_disguised_spans_and_redacts(spark):
     clean = {r.doc_id: r.text for r in redact(df).collect()}
     assert clean[103] == "é [PHONE] [EMAIL] ü" and clean[102] is None and clean[100] == "My mail: [EMAIL], thanks"
     assert personal_data(df.limit(0)).count() == 0
+
+
+def test_classifier_decides_on_near_misses_of_the_documents(spark, tmp_path):
+    """Numbers of card length without the check sum are added, digit runs inside keys are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = with_candidates(docs).select("__cands")
+    held.write.mode("overwrite").parquet(path := f"{tmp_path}/c")
+    held = spark.read.parquet(path)
+    model = train(held)
+    rows = held.select(F.explode("__cands").alias("c")).filter("NOT c.base").select("c.*", model.accepts(F.col("c")).alias("yes")).collect()
+    cards = [r for r in rows if r.no == 2 and len(r.value) == 16 and not (r.before[-1:].isalnum() or r.after.isalnum())]
+    inside = [r for r in rows if r.no == 2 and (r.before[-1:].isalpha() or r.after.isalpha())]
+    assert len(cards) > 5 and sum(r.yes for r in cards) >= 0.9 * len(cards)
+    assert len(inside) > 5 and sum(r.yes for r in inside) <= 0.1 * len(inside)
+
+
+def test_withheld_base_spans_are_found_again(spark, tmp_path):
+    """Half of the base spans stand as further candidates; the classifier accepts nine of ten of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = with_candidates(docs).select(F.transform("__cands", lambda c: c.withField("base", c["base"] & (c["start"] % 2 == 0))).alias("__cands"), F.col("__cands").alias("was"))
+    held.write.mode("overwrite").parquet(path := f"{tmp_path}/w")
+    held = spark.read.parquet(path)
+    model = train(held.select("__cands"))
+    rows = held.select(F.explode(F.arrays_zip("__cands", "was")).alias("z")).filter("z.was.base AND NOT z.__cands.base").select(model.accepts(F.col("z.__cands")).alias("yes")).collect()
+    assert len(rows) > 20 and sum(r.yes for r in rows) >= 0.9 * len(rows)
+
+
+def test_secrets_are_counted_and_redacted(spark):
+    df = spark.createDataFrame([(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y'), (2, None), (3, "api_key: abc")], "doc_id long, text string")
+    assert {r.id: r.n_secret for r in personal_data(df).collect()} == {1: 1, 2: 0, 3: 0}
+    assert {r.doc_id: r.text for r in redact(df).collect()} == {1: 'x token = "[SECRET]" y', 2: None, 3: "api_key: abc"}
