@@ -8,7 +8,9 @@ share a shingle among the first n - ceil(t n) + 1 of each, so texts that are
 not connected yet meet by those and are verified as well. Shingles that are
 common in a part of the texts come last in the order; this changes the cost and
 not the result. In each bucket all texts are first held against one; pairs that
-are connected by then need no check, all others are checked.
+are connected by then need no check, all others are checked. Before the sets
+themselves meet, counts of their shingles by ranges of the hash bound what two
+of them can share, which leaves out most pairs and none at the limit.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ COUNTED = 16
 COMMON, MAX_COMMON = 8, 2_000_000
 #: Pairs of one text that a task verifies with one copy of it.
 SPAN = 256
+#: Ranges of the hash in which shingles are counted, up to 255.
+RANGES = 128
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -60,39 +64,69 @@ def _all_shingles(width: int):
     return run
 
 
+def range_counts(own: np.ndarray) -> np.ndarray:
+    """How many shingles of a set lie in each range of the hash, up to 255."""
+    return np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=RANGES).clip(max=255).astype(np.uint8)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bounds of what sets share, by rows of their range counts; unbounded where both counts of a range are full."""
+    least = np.minimum(a, b)
+    return np.where((least == 255).any(axis=1), np.inf, least.sum(axis=1, dtype=np.int64))
+
+
 def _signs(common, width: int, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = common.value
         for batch in slices(batches):
-            cls, prints, size, first = [], [], [], []
+            cls, prints, size, counts, first = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, width)
                 own = np.unique(hashes)
                 cls.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 prints.append(fingerprint_of(hashes))
                 size.append(len(own))
+                counts.append(range_counts(own).tobytes())
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.searchsorted(known, own).clip(max=len(known) - 1)
                     weight = np.where(known[at] == own, times[at], 0)
                 first.append(own[np.lexsort((own, weight))[: prefix_size(len(own), limit)]].view(np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, prints)]
-            yield pa.record_batch([batch.column(0), *signed, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["key", "cls", "fp", "n", "first"])
+            rest = [pa.array(size, pa.int32()), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), *signed, *rest], names=["key", "cls", "fp", "n", "counts", "first"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [shingle_set(x, width).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("cls"), pa.array(own, pa.binary())], names=["cls", "own"])
 
     return run
 
 
-def _verified(width: int, limit: float):
+def _possible(limit: float):
+    """Pairs (a, b, p, q) whose range counts allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("counts_a", "counts_b"))
+            n = batch.column("n").to_numpy()  # sizes of both together
+            keep = pa.array(most_shared(x, y) * (1 + limit) >= limit * n - 1e-6)
+            yield pa.record_batch([batch.column(c).filter(keep) for c in "abpq"], names=list("abpq"))
+
+    return run
+
+
+def _verified(limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in slices(batches):
-            keep = []
-            for i, (a, one, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True)):
-                if a != last:
-                    last, own = a, shingle_set(one, width)
-                if similarity(own, shingle_set(other, width)) >= limit - 1e-9:
-                    keep.append(i)
-            yield pa.record_batch([batch.column(c).take(pa.array(keep, pa.int32())) for c in ("p", "q")], names=["p", "q"])
+            sets = zip(*(batch.column(c).to_pylist() for c in ("own_a", "own_b")), strict=True)
+            alike = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= limit - 1e-9 for x, y in sets]
+            yield pa.record_batch([batch.column(c).filter(pa.array(alike, pa.bool_())) for c in "pq"], names=["p", "q"])
 
     return run
 
@@ -119,48 +153,59 @@ def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text",
     texts = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     kind = texts.schema["key"].dataType.simpleString()
     common = spark.sparkContext.broadcast(_common(texts, width))
-    signs = saved(texts.mapInArrow(_signs(common, width, limit), f"key {kind}, cls long, fp long, n int, first array<long>"))
-    # Equal sets are one class; ``part`` is the connected part that a class is known to be in.
-    classes = signs.groupBy("cls").agg(F.min("key").alias("key"), F.min_by(F.struct("n", "fp", "first"), "key").alias("s"))
-    classes = saved(classes.select("cls", "key", "s.*", F.col("cls").alias("part")))
-    entry = F.struct("cls", "n", "part")
+    # Equal sets are one class (cls).
+    signs = saved(texts.mapInArrow(_signs(common, width, limit), f"key {kind}, cls long, fp long, n int, counts binary, first array<long>"))
+    counts = signs.groupBy("cls").agg(F.min("counts").alias("counts"))
 
     def alike(m: Column, n: Column) -> Column:
         return F.least(m, n) >= limit * F.greatest(m, n) - 1e-9
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """(a, b, p, q) of classes x and y and their parts, where sizes allow the similarity and the parts differ."""
-        open_ = pairs.filter((F.col("x.part") != F.col("y.part")) & alike(F.col("x.n"), F.col("y.n")))
-        return open_.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.part").alias("p"), F.col("y.part").alias("q")).distinct()
-
-    def contracted(pairs: DataFrame) -> DataFrame:
-        """Classes with the parts that the verified pairs connect."""
-        pairs = saved(candidates(pairs))
-        if pairs.isEmpty():
-            return classes
+    def with_part(rows: DataFrame, parts: DataFrame | None, name: str) -> DataFrame:
+        """``rows`` with the connected part of the class in the struct ``name``; its own if it has no link."""
+        cls = F.col(f"{name}.cls")
+        if parts is None:
+            return rows.withColumn(f"{name}_part", cls)
+        moved = parts.select(F.col("node").alias("__node"), "component")
+        return rows.join(moved, cls == F.col("__node"), "left").withColumn(f"{name}_part", F.coalesce("component", cls)).drop("__node", "component")
+
+    def links(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """(p, q): parts of the pairs (x, y) of classes that reach the similarity and are not connected yet."""
+        pairs = pairs.filter((F.col("x.cls") != F.col("y.cls")) & alike(F.col("x.n"), F.col("y.n")))
+        pairs = with_part(with_part(pairs, parts, "x"), parts, "y").filter("x_part != y_part")
+        pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x_part").alias("p"), F.col("y_part").alias("q")).distinct()
+        one, other = (counts.select(F.col("cls").alias(c), F.col("counts").alias(f"counts_{c}")) for c in "ab")
+        pairs = saved(pairs.join(one, "a").join(other, "b").mapInArrow(_possible(limit), "a long, b long, p long, q long"))
         used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        held = saved(texts.join(classes.join(used, "cls").select("cls", "key"), "key").dropDuplicates(["cls"]).select("cls", "text"))
-        # A text with many pairs is dealt to several tasks, each with a copy of it.
+        keys = signs.select("cls", "key").join(used, "cls").groupBy("cls").agg(F.min("key").alias("key"))
+        held = saved(texts.join(keys, "key").dropDuplicates(["cls"]).mapInArrow(_sets(width), "cls long, own binary"))
+        # A set with many pairs is dealt to several tasks, each with a copy of it.
         many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPAN).cast("int").alias("s")).filter("s > 1")
         dealt = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("s", F.lit(1))).cast("int")).drop("s")
-        one = held.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).join(many, "a", "left")
+        one = held.select(F.col("cls").alias("a"), F.col("own").alias("own_a")).join(many, "a", "left")
         one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1))).drop("s")
-        both = dealt.join(held.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(one, ["a", "salt"])
-        links = saved(both.select("a", "text_a", "text_b", "p", "q").mapInArrow(_verified(width, limit), "p long, q long").distinct())
-        moved = connected_components(links, "p", "q").withColumnRenamed("component", "to")
-        return saved(classes.join(moved, F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("to", "part")).drop("node", "to"))
+        both = dealt.join(held.select(F.col("cls").alias("b"), F.col("own").alias("own_b")), "b").join(one, ["a", "salt"])
+        return saved(both.select("own_a", "own_b", "p", "q").mapInArrow(_verified(limit), "p long, q long").distinct())
 
+    entry = F.struct("cls", "n")
     # Links of the fingerprints, and of what shares one.
-    prints = saved(classes.groupBy("fp").agg(F.min(entry).alias("x")))
+    prints = saved(signs.groupBy("fp").agg(F.min(entry).alias("x")))
     linked = fingerprint_links(prints.select("fp"), radius).join(prints.select(F.col("fp").alias("a"), "x"), "a").join(prints.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
-    equal = classes.select("fp", entry.alias("y")).join(prints, "fp")
-    classes = contracted(linked.select("x", "y").union(equal.select("x", "y")))
-    # The exact rest: buckets of shingles in which parts meet that are not connected yet.
+    equal = signs.select("fp", entry.alias("y")).join(prints, "fp")
+    found = links(linked.select("x", "y").union(equal.select("x", "y")), None)
+    parts = connected_components(found, "p", "q")
+    # The exact rest: buckets of shingles in which several classes meet.
+    rows = signs.select("cls", "n", F.explode("first").alias("h"))
+    shared = rows.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("h")
+    rows = saved(rows.join(shared, "h", "left_semi").distinct().select("h", entry.alias("x")))
     for star in (True, False):
-        rows = classes.select(entry.alias("x"), F.explode("first").alias("h"))
-        mixed = rows.groupBy("h").agg(F.min("x").alias("y"), F.min("x.part").alias("low"), F.max("x.part").alias("high")).filter("low < high").select("h", "y")
-        rows = saved(rows.join(mixed, "h"))
+        placed = with_part(rows, parts, "x")
+        open_ = placed.groupBy("h").agg(F.min("x").alias("y"), F.min("x_part").alias("low"), F.max("x_part").alias("high")).filter("low < high").select("h", "y")
+        placed = placed.join(open_, "h")
         if not star:
-            rows = rows.drop("y").join(rows.select("h", F.col("x").alias("y")), "h").filter("x.cls < y.cls")
-        classes = contracted(rows.select("x", "y"))
-    return signs.select("key", "cls").join(classes.select("cls", F.col("part").alias("component")), "cls").select("key", "component")
+            placed = saved(placed.select("h", "x", "x_part"))
+            other = placed.select("h", F.col("x").alias("y"), F.col("x_part").alias("y_part"))
+            placed = placed.join(other, "h").filter("x.cls < y.cls AND x_part != y_part")
+        found = found.union(links(placed.select("x", "y"), parts))
+        parts = connected_components(found, "p", "q")
+    named = signs.select("key", "cls").join(parts, F.col("cls") == F.col("node"), "left")
+    return named.select("key", F.coalesce("component", "cls").alias("component"))
