@@ -24,7 +24,7 @@ from attestry.sources.tables import read_table
 
 #: Pre-tokens in a leaf when a tree is built, and pre-tokens before an edit that are cut again.
 LEAF, CONTEXT = 64, 3
-CACHED_COUNTS = 400_000
+CACHED_COUNTS = 120_000
 
 TREE = "array<struct<text:string,sizes:array<int>,counts:array<int>>>"
 EDITS = "array<struct<start:long,end:long,replacement:string>>"
@@ -70,10 +70,12 @@ class CountTree:
     def __init__(self, leaves: list[list], tokens: PreTokens):
         self.tokens = tokens
         self.encoded = 0  # characters cut and counted since the tree was made
-        self.width = 1
+        self._index(leaves or [["", [], []]])
+
+    def _index(self, leaves: list[list]) -> None:
+        self.leaves, self.width = leaves, 1
         while self.width < len(leaves):
             self.width *= 2
-        self.leaves = leaves or [["", [], []]]
         self.chars, self.sums = [0] * (2 * self.width), [0] * (2 * self.width)
         for i, (text, _, counts) in enumerate(self.leaves):
             self.chars[self.width + i], self.sums[self.width + i] = len(text), sum(counts)
@@ -178,13 +180,21 @@ class CountTree:
         new = [*counts[:keep], *self.tokens.counts(pieces), *counts[meet:]]
         new_sizes = [*sizes[:keep], *map(len, pieces), *sizes[meet:]]
         whole = text[: start - before] + replacement + text[end - before :]
-        # The same leaves share the new pre-tokens, so the tree keeps its shape.
-        leaves, each, at = last + 1 - first, -(-len(new) // (last + 1 - first)), 0
-        for k in range(leaves):
+        # The same leaves share the new pre-tokens, so the tree keeps its shape
+        # until they outgrow twice their size: then they are split.
+        leaves, at, parts = last + 1 - first, 0, []
+        split = len(new) > 2 * LEAF * leaves
+        each = LEAF if split else -(-len(new) // leaves)
+        for k in range(-(-len(new) // LEAF) if split else leaves):
             part = new_sizes[k * each : (k + 1) * each]
             n = sum(part)
-            self._put(first + k, [whole[at : at + n], part, new[k * each : (k + 1) * each]])
+            parts.append([whole[at : at + n], part, new[k * each : (k + 1) * each]])
             at += n
+        if split:
+            self._index(self.leaves[:first] + parts + self.leaves[last + 1 :])
+        else:
+            for k, part in enumerate(parts):
+                self._put(first + k, part)
 
     def rows(self) -> list[dict]:
         return [{"text": t, "sizes": s, "counts": c} for t, s, c in self.leaves]
@@ -229,7 +239,9 @@ def count_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edits (EDITS) apply in order, each to the text that the one before
     left; places beyond the text are cut to it and edits without places are
     ignored. A null text counts as empty, null edits as none. Repeated rows
-    repeat; an empty table gives no rows.
+    repeat; texts are cut whole, however long; edits at one place apply in
+    their order; columns other than the three named are not read. An empty
+    table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
     return rows.mapInArrow(_run(path or tokenizer_path("byte_bpe_50k.tiktoken"), False, keep_tree), _schema(rows))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from attestry.llm.edits import EDITS, CountTree, PreTokens, count_edited, edit_trees
+from attestry.llm.edits import EDITS, LEAF, CountTree, PreTokens, count_edited, edit_trees
 from attestry.llm.tokens import tokenizer_path
 
 BITS = ["the", " cat", "'", "'ll", "l", "s", "  ", "   ", " ", "\n", "\n\n", "9", "12", "é", "ß", "!", "?!", "日本", " ", "'v", "e", "x" * 30]
@@ -28,6 +28,17 @@ def test_edits_equal_a_full_count(seed):
             assert tree.total == len(tokens.encoding.encode_ordinary(text)) and tree.chars[1] == len(text)
 
 
+def test_edits_in_one_place_split_leaves():
+    tokens = PreTokens.of(tokenizer_path("byte_bpe_50k.tiktoken"))
+    tree, text = CountTree.build("start end", tokens), "start end"
+    for k in range(40):
+        new = f" word{k} and more of it" * 10
+        tree.edit(5, 5, new)
+        text = text[:5] + new + text[5:]
+    assert tree.text == text and tree.total == len(tokens.encoding.encode_ordinary(text))
+    assert max(len(leaf[1]) for leaf in tree.leaves) <= 3 * LEAF and len(tree.leaves) > 20
+
+
 def test_rows_and_stored_trees(spark):
     rows = [(1, "one two three " * 400, [(0, 3, "ONE"), (9, 9, "x")], 1), (2, None, None, 1), (3, "", [(5, 9, "new text")], 1), (4, "a b", [(None, 1, "z"), (0, 99, None)], 1), (1, "again", [], 1)]
     df = spark.createDataFrame(rows, f"doc_id long, text string, edits {EDITS}, tree int")
