@@ -134,7 +134,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     """``docs`` with the columns of STATS, ``n_lines_removed``, ``clean_text`` and ``kept``.
 
     A null text counts as empty and stays null in ``clean_text``; empty
-    documents fail the base rules. Repeated rows and ties are judged alike.
+    documents fail the base rules. Repeated rows and ties are judged alike, and
+    texts are read whole, however long. A null host is a host of its own.
     Columns of ``docs`` with the names of the new ones are replaced. An empty
     table gives an empty result. ``kept`` is false if the base rules fail or
     the document is depleted.
@@ -144,7 +145,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     new = [x.split()[0] for x in STATS.split(", ")] + ["n_lines_removed", "clean_text", "kept"]
     docs = docs.drop(*[c for c in new if c in docs.columns])
     if lines.count() <= broadcast_lines:
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r.line for r in lines.select("line").collect()], np.int64)))
+        shared = spark.sparkContext.broadcast(np.sort(np.array(lines.select("line").toArrow().column("line"), np.int64)))
 
         def gone(keys: list[int]) -> np.ndarray:
             table, keys = shared.value, np.array(keys, np.int64)
@@ -215,27 +216,23 @@ WITH d AS (
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1)
   GROUP BY rid
 ), lines AS (
-  SELECT rid, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw
-  FROM (SELECT w.rid, d.host, unnest(ls) AS line FROM w JOIN d USING (rid))
+  SELECT rid, host, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw
+  FROM (SELECT w.rid, d.host, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM w JOIN d USING (rid))
 ), dups AS (
   SELECT rid, CAST(sum(c - 1) AS BIGINT) AS n_dup_lines
   FROM (SELECT rid, line, count(*) AS c FROM lines WHERE nw > 0 GROUP BY rid, line) GROUP BY rid
 ), normed AS (
-  SELECT rid, host, nw, md5(host || chr(31) || regexp_replace(translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'))[1:16] AS k
+  SELECT rid, host, pos, nw, regexp_replace(translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS norm
   FROM lines WHERE nw > 0
-), own AS (
-  SELECT DISTINCT rid, host, k FROM normed
-), ranked AS (
-  SELECT rid, host, k, row_number() OVER (PARTITION BY rid ORDER BY k) AS r FROM own
-), other AS (
-  SELECT a.host, a.k, b.k AS o FROM ranked a LEFT JOIN ranked b ON a.rid = b.rid AND b.r = CASE WHEN a.r = 1 THEN 2 ELSE 1 END
+), whole AS (
+  SELECT rid, sha256(string_agg(norm, chr(10) ORDER BY pos)) AS doc FROM normed GROUP BY rid
 ), freq AS (
-  SELECT host, k FROM (SELECT host, k, count(*) AS n FROM (SELECT DISTINCT host, k, o FROM other) GROUP BY host, k)
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc) AS n FROM normed JOIN whole USING (rid) GROUP BY host, norm)
   JOIN (SELECT host, count(*) AS h FROM d GROUP BY host) USING (host)
   WHERE n > {LINE_MIN_DOCS} AND n > {LINE_SHARE} * h
 ), leftover AS (
-  SELECT rid, sum(nw) FILTER (WHERE f.k IS NULL) AS n_left FROM normed n LEFT JOIN freq f ON n.host = f.host AND n.k = f.k GROUP BY rid
+  SELECT rid, sum(nw) FILTER (WHERE f.norm IS NULL) AS n_left FROM normed n LEFT JOIN freq f ON n.host = f.host AND n.norm = f.norm GROUP BY rid
 ), s AS (
   SELECT d.rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
