@@ -112,17 +112,20 @@ def _train_pairs(rows: DataFrame, names: list[str], label: str) -> Machines:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Machines, dict[str, Machines]]:
     """Machines of families and of each family's languages from (lang, text).
 
-    At most ``sample`` texts of each language are used, those of least hash.
+    At most ``sample`` distinct texts of each language are used, those of least
+    hash; rows that repeat a text count once. Texts are read whole, however
+    long. Without labelled texts nothing is learnt.
     """
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # A share of each language by hash, then exactly the least of them: the sample is bounded before it is sorted.
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    # Of the distinct texts a share of each language by hash, then exactly the least: bounded before it is sorted.
+    known = known.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    distinct = saved(known.select("lang", "h").distinct())
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1 << 30, int((1 << 30) * 3 * sample / n))).otherwise(share)
-    some = known.filter(h < share).select("lang", "text", h.alias("h"))
-    picked = some.withColumn("r", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")).filter(F.col("r") <= sample)
+        share = F.when(F.col("lang") == lang, min(1 << 62, int((1 << 62) * 3 * sample / n))).otherwise(share)
+    some = distinct.filter(F.col("h") < share).withColumn("r", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")).filter(F.col("r") <= sample)
+    picked = known.join(F.broadcast(some.drop("r")), ["lang", "h"]).dropDuplicates(["lang", "h"])
     rows = picked.select("lang", "text").mapInArrow(_vectors, "lang string, vector array<double>").filter("vector IS NOT NULL")
     rows = saved(rows)
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
@@ -143,7 +146,10 @@ def predict_language(docs: DataFrame, models: tuple[Machines, dict[str, Machines
 
     Texts that are null or have no letters, and all texts if nothing was
     learnt, get ``und`` with score 0. The score is the smallest confidence of
-    the machines that chose the family and the language.
+    the machines that chose the family and the language. Of classes with equal
+    votes the first by name is taken. Repeated rows repeat, texts are read
+    whole, columns other than the two named are not read, and an empty table
+    gives no rows.
     """
     top, within = models
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
