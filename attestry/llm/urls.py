@@ -55,9 +55,14 @@ def _fold(url: Column) -> Column:
     return F.conv(F.substring(F.md5(url), 1, 8), 16, 10).cast("long") % 5
 
 
+def _spread(urls: DataFrame) -> DataFrame:
+    """Urls are short and give hundreds of grams each: they are dealt to all tasks before."""
+    return urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def gram_weights(urls: DataFrame) -> DataFrame:
     """(gram, weight) learnt from (url, accepted)."""
-    rows = urls.select(F.col("accepted"), F.explode(grams(F.col("url"))).alias("gram"))
+    rows = _spread(urls).select(F.col("accepted"), F.explode(grams(F.col("url"))).alias("gram"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
     counts = saved(rows.groupBy("gram").agg(one(F.col("accepted"))("a"), one(~F.col("accepted"))("r")).filter(F.col("a") + F.col("r") >= MIN_COUNT))
     below, weights = None, None
@@ -80,7 +85,7 @@ def scores(urls: DataFrame, weights: DataFrame) -> DataFrame:
     """(url, score) of distinct urls: mean weight by character; 0 without a known gram."""
     distinct = urls.select("url").filter(F.length("url") > 0).distinct()
     table = F.broadcast(weights) if weights.count() <= BROADCAST_GRAMS else weights
-    found = distinct.select("url", F.explode(grams(F.col("url"))).alias("gram")).join(table, "gram", "left")
+    found = _spread(distinct).select("url", F.explode(grams(F.col("url"))).alias("gram")).join(table, "gram", "left")
     return found.groupBy("url").agg(F.round(F.coalesce(F.sum("weight"), F.lit(0.0)) / F.length("url"), 6).alias("score"))
 
 
