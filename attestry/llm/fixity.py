@@ -21,28 +21,51 @@ FILE_BYTES = 1 << 24
 CRLF = "\r\n"
 
 
-def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(file, offset, length, id, record): pages as WARC response records in files.
-
-    Pages are dealt to as many files as their size asks for and stand in a file
-    by id, url and hash, so repeated rows have a place each. A null url is left
-    out of the header, a null body is empty. An empty table gives no rows.
-    """
+def warc_bodies(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """(id, url, record): pages as WARC records, not yet placed in files."""
     url, body = F.col(url_col), F.coalesce(F.col(body_col), F.lit(""))
     header = F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Type: resource{CRLF}"), F.coalesce(F.concat(F.lit("WARC-Target-URI: "), url, F.lit(CRLF)), F.lit("")), F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF * 2))
-    made = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.concat(header, body, F.lit(CRLF * 2)).alias("record"))
-    total = made.agg(F.sum(F.octet_length("record"))).first()[0] or 0
+    return pages.select(F.col(id_col).alias("id"), url.alias("url"), F.concat(header, body, F.lit(CRLF * 2)).alias("record"))
+
+
+def digests(records: DataFrame, record: str = "record", digest: str = "digest", length: str = "length") -> DataFrame:
+    """``records`` with the digest and the length of a record: all that trees need, so that no payload is shuffled."""
+    return records.withColumn(digest, F.sha2(record, 256)).withColumn(length, F.octet_length(record).cast("long"))
+
+
+def placed(records: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Records (id, url, digest, length and more) with ``file`` and ``offset``.
+
+    They are dealt to as many files as their size asks for and stand in a file
+    by id, url and digest, so repeated rows have a place each.
+    """
+    total = records.agg(F.sum("length")).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    made = made.withColumn("digest", F.sha2("record", 256)).withColumn("length", F.octet_length("record").cast("long"))
-    made = made.withColumn("file", F.pmod(F.xxhash64("id", "url", "digest"), F.lit(files)).cast("int"))
+    dealt = records.withColumn("file", F.pmod(F.xxhash64("id", "url", "digest"), F.lit(files)).cast("int"))
     before = Window.partitionBy("file").orderBy("id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return made.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("file", "offset", "length", "id", "record")
+    return dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
+def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
+    """(file, offset, length, id, record): pages as WARC resource records in files.
+
+    A null url is left out of the header, a null body is empty. Repeated rows
+    have a record each. Columns other than the three named are not read. An
+    empty table gives no rows.
+    """
+    made = digests(warc_bodies(pages, id_col, url_col, body_col))
+    return placed(made, file_bytes).select("file", "offset", "length", "id", "record")
+
+
+def leaves_of(places: DataFrame, digest: str = "digest", length: str = "length") -> DataFrame:
+    """(file, offset, length, id, hash) of placed digests; the hash covers place and bytes."""
+    place = F.concat_ws(":", F.col("offset").cast("string"), F.col(length).cast("string"), F.col(digest))
+    return places.select("file", "offset", "length", "id", F.sha2(place, 256).alias("hash"))
 
 
 def leaves(records: DataFrame) -> DataFrame:
     """(file, offset, length, id, hash) of records; the hash covers place and bytes."""
-    place = F.concat_ws(":", F.col("offset").cast("string"), F.octet_length("record").cast("string"), F.sha2("record", 256))
-    return records.select("file", "offset", "length", "id", F.sha2(place, 256).alias("hash"))
+    return leaves_of(digests(records, length="held"), length="held")
 
 
 def tree(leaf: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
@@ -93,20 +116,26 @@ def audit(a: DataFrame, b: DataFrame, range_bytes: int = RANGE_BYTES, fanout: in
     return gone.select(columns).unionByName(extra.select(columns))
 
 
+def _damage(record: str = "record", id_col: str = "id"):
+    """What a damaged replica holds of a record (null: nothing): by id some have a byte changed, some are cut short, some are gone."""
+    k = F.pmod(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(211))
+    n = F.char_length(record)
+    at = F.pmod(F.crc32(F.col(record)), n) + 1
+    flipped = F.concat(F.substring(record, F.lit(1), (at - 1).cast("int")), F.lit("\x7f"), F.substring(record, (at + 1).cast("int"), n))
+    return F.when(k == 5, flipped).when(k == 17, F.substring(record, F.lit(1), (n / 2).cast("int"))).when(k == 101, None).otherwise(F.col(record))
+
+
 def damaged_copy(records: DataFrame) -> DataFrame:
-    """The replica to audit: of the records, by id, some have a byte changed, some are cut short, some are gone."""
-    k = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(211))
-    n = F.char_length("record")
-    at = F.pmod(F.crc32(F.col("record")), n) + 1
-    flipped = F.concat(F.substring("record", F.lit(1), (at - 1).cast("int")), F.lit("\x7f"), F.substring("record", (at + 1).cast("int"), n))
-    damaged = F.when(k == 5, flipped).when(k == 17, F.substring("record", F.lit(1), (n / 2).cast("int"))).otherwise(F.col("record"))
-    return records.filter(F.coalesce(k != 101, F.lit(True))).withColumn("record", damaged)
+    """A replica of the records to audit, see :func:`_damage`."""
+    return records.withColumn("record", _damage()).filter(F.col("record").isNotNull())
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the pages' WARC files that a damaged replica no longer holds as they were."""
-    records = warc_records(read_table(spark, sf_dir, "pages"))
-    found = audit(saved(leaves(records)), saved(leaves(damaged_copy(records))))
+    made = digests(warc_bodies(read_table(spark, sf_dir, "pages"))).withColumn("copy", _damage())
+    places = saved(placed(saved(digests(made, "copy", "copy_digest", "copy_length").drop("record", "copy"))))
+    replica = places.filter(F.col("copy_digest").isNotNull())
+    found = audit(leaves_of(places), leaves_of(replica, "copy_digest", "copy_length"))
     return found.select(F.col("id").alias("page_id"), "length", "status")
 
 
