@@ -101,6 +101,8 @@ def _filled(last: np.ndarray, capacity: int) -> list[int]:
 def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
     """Configurations and how often each is used, nearly least in sum, that cover ``counts`` about once."""
     present = np.flatnonzero(counts)
+    if not len(present):
+        return {}
     covered = np.zeros(capacity + 1)
     used: dict[tuple[int, ...], float] = {}
     for _ in range(PRICINGS):
@@ -121,7 +123,7 @@ def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float
             amount = STEP * float(np.min(counts[sizes] / times))
             used[tuple(config)] = used.get(tuple(config), 0.0) + amount
             covered[sizes] += amount * times / counts[sizes]
-    scale = max(np.median(covered[present]), STEP) if len(present) else 1.0
+    scale = max(np.median(covered[present]), STEP)
     return {config: amount / scale for config, amount in used.items()}
 
 
@@ -152,11 +154,16 @@ def _best_fit(rest: np.ndarray, capacity: int, groups: dict[tuple[int, ...], int
 
 
 def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Groups (configuration, number of sequences) that hold exactly ``counts[length]`` pieces of each length."""
+    """Groups (configuration, number of sequences) that hold exactly ``counts[length]`` pieces of each length.
+
+    Best fit may place what is left after any round of the program; the round
+    after which the fewest sequences are needed is taken, of equals the last.
+    """
     rest = counts.astype(np.int64).copy()
     groups: dict[tuple[int, ...], int] = {}
     full = int(rest[capacity])
     rest[capacity] = 0
+    packed = _best_fit(rest, capacity, groups)
     for _ in range(ROUNDS):
         placed = 0
         # Configurations of many short pieces wait: those fill gaps best.
@@ -177,7 +184,9 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[t
                 placed += n
         if not placed:
             break
-    packed = _best_fit(rest, capacity, groups)
+        now = _best_fit(rest, capacity, groups)
+        if sum(now.values()) <= sum(packed.values()):
+            packed = now
     return [*packed.items(), *([((capacity,), full)] if full else [])]
 
 
@@ -210,7 +219,9 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null text counts as empty and gives one piece that holds the final 0.
     Repeated rows are packed as often as they occur; a null id stays null. An
-    empty table gives no rows. Only documents above the capacity are cut.
+    empty table gives no rows. Only documents above the capacity are cut,
+    however long. Pieces of one length have places in any order. Columns other
+    than the two named are not read.
     """
     return pack(saved(pieces(docs, id_col, text_col, path, capacity)), capacity)
 
