@@ -250,8 +250,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Words are as in :func:`words`. Every pair at the score is found, however
     its edits lie. Items and documents without words, null or empty, match
-    nothing. Repeated rows of an id give one row for each item. Empty tables
-    give no rows.
+    nothing. Repeated rows of an id give one row for each item. Of passages with
+    equal scores the first stands. Texts are searched whole, however long, and
+    columns other than the four named are not read. Empty tables give no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
