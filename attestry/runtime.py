@@ -13,11 +13,13 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Where that is unset (local tests) a
-    temporary folder is made once per application.
+    ``spark.checkpoint.dir`` names it. Where that is unset a temporary folder is
+    made once per application, in local mode only: on a cluster it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         path = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="attestry-")
         _own_dirs[app] = path
