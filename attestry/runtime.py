@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -36,3 +37,8 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/attestry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (saved, of a few narrow columns) marked for broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
