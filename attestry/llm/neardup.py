@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from attestry.llm.simhash import RADIUS, SEED, fingerprint_links, fingerprint_of, shingle_hashes
 from attestry.llm.text import slices
 from attestry.operators.graph import connected_components
-from attestry.runtime import saved
+from attestry.runtime import broadcast_if_small, saved
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -37,8 +37,8 @@ COUNTED = 16
 COMMON, MAX_COMMON = 8, 2_000_000
 #: Pairs of one text that a task verifies with one copy of it.
 SPAN = 256
-#: Ranges of the hash in which shingles are counted, up to 255.
-RANGES = 128
+#: Least and most ranges of the hash in which shingles are counted; a set has about half as many as shingles.
+RANGES = (128, 1 << 15)
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -65,14 +65,18 @@ def _all_shingles(width: int):
 
 
 def range_counts(own: np.ndarray) -> np.ndarray:
-    """How many shingles of a set lie in each range of the hash, up to 255."""
-    return np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=RANGES).clip(max=255).astype(np.uint8)
+    """How many shingles of a set lie in each range of the hash, up to 255; the ranges are a power of two."""
+    bits = min(max((len(own) // 2).bit_length(), RANGES[0].bit_length() - 1), RANGES[1].bit_length() - 1)
+    return np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).clip(max=255).astype(np.uint8)
 
 
-def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bounds of what sets share, by rows of their range counts; unbounded where both counts of a range are full."""
-    least = np.minimum(a, b)
-    return np.where((least == 255).any(axis=1), np.inf, least.sum(axis=1, dtype=np.int64))
+def most_shared(a: np.ndarray, b: np.ndarray) -> float:
+    """Bound of what two sets share by their range counts; none where both counts of a range are full."""
+    if len(a) < len(b):
+        a, b = b, a
+    full = a.reshape(len(b), -1) == 255
+    least = np.minimum(a.reshape(len(b), -1).sum(axis=1, dtype=np.int64), b)
+    return math.inf if (full.any(axis=1) | (b == 255)).any() else float(least.sum())
 
 
 def _signs(common, width: int, limit: float):
@@ -113,9 +117,9 @@ def _possible(limit: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("counts_a", "counts_b"))
-            n = batch.column("n").to_numpy()  # sizes of both together
-            keep = pa.array(most_shared(x, y) * (1 + limit) >= limit * n - 1e-6)
+            # ``n`` is the sizes of both together.
+            rows = zip(*(batch.column(c).to_pylist() for c in ("counts_a", "counts_b", "n")), strict=True)
+            keep = pa.array([most_shared(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (1 + limit) >= limit * n - 1e-6 for x, y, n in rows], pa.bool_())
             yield pa.record_batch([batch.column(c).filter(keep) for c in "abpq"], names=list("abpq"))
 
     return run
@@ -176,7 +180,8 @@ def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text",
         one, other = (counts.select(F.col("cls").alias(c), F.col("counts").alias(f"counts_{c}")) for c in "ab")
         pairs = saved(pairs.join(one, "a").join(other, "b").mapInArrow(_possible(limit), "a long, b long, p long, q long"))
         used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        keys = signs.select("cls", "key").join(used, "cls").groupBy("cls").agg(F.min("key").alias("key"))
+        # The texts are shuffled only for many keys.
+        keys = broadcast_if_small(saved(signs.select("cls", "key").join(used, "cls").groupBy("cls").agg(F.min("key").alias("key"))))
         held = saved(texts.join(keys, "key").dropDuplicates(["cls"]).mapInArrow(_sets(width), "cls long, own binary"))
         # A set with many pairs is dealt to several tasks, each with a copy of it.
         many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPAN).cast("int").alias("s")).filter("s > 1")
@@ -195,7 +200,7 @@ def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text",
     parts = connected_components(found, "p", "q")
     # The exact rest: buckets of shingles in which several classes meet.
     rows = signs.select("cls", "n", F.explode("first").alias("h"))
-    shared = rows.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("h")
+    shared = broadcast_if_small(saved(rows.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("h")))
     rows = saved(rows.join(shared, "h", "left_semi").distinct().select("h", entry.alias("x")))
     for star in (True, False):
         placed = with_part(rows, parts, "x")
