@@ -10,7 +10,7 @@ from attestry.llm.neardup import near_copies
 from attestry.llm.packing import best_fit_packing
 from attestry.llm.pii import redact
 from attestry.llm.quality import quality_rules
-from attestry.runtime import saved
+from attestry.runtime import broadcast_if_small, saved
 from attestry.sources.tables import read_table
 
 
@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a key of id and text in ``__key``: ids may be null or repeat with other texts."""
     parts = [F.when(F.col(c).isNotNull(), F.col(c).cast("string")) for c in ("doc_id", "text")]
-    return docs.withColumn("__key", F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.sha2(c, 256), F.lit("")) for c in parts]), 256))
+    return docs.withColumn("__key", F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.sha2(c, 256), F.lit("")) for c in parts]))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = docs.select("__key", "doc_id").dropDuplicates(["__key"])
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
     chosen = found.withColumnRenamed("key", "__key").join(ids, "__key").groupBy("component").agg(F.min_by("__key", rank).alias("__key")).select("__key")
-    return docs.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").drop("__key")
+    return docs.join(broadcast_if_small(saved(chosen)), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
