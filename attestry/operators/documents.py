@@ -59,6 +59,11 @@ def lexical(queries: DataFrame, docs: DataFrame, query_id: str, id_col: str, tex
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def top(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each key with their ``rank``."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; null if the dimensions differ."""
     double = lambda x: F.transform(x, lambda v: v.cast("double"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from attestry.plans import checks, health, records, telemetry
+from attestry.plans import checks, health, records, streams, telemetry, values
 
-MODULES = [records, telemetry, health, checks]
+MODULES = [records, telemetry, health, checks, values, streams]
 
 
 def queries() -> dict[str, Callable]:

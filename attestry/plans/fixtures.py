@@ -21,7 +21,7 @@ VIEWS = {
     "fx_ledger": "SELECT event_id AS entry_id, event_id // 3 AS reservation_id, CASE event_id % 3 WHEN 0 THEN 'reserved' WHEN 1 THEN 'estimated' ELSE 'settled' END AS state, CASE WHEN (event_id // 3) % 2 = 0 THEN 'COP' ELSE 'USD' END AS currency, user_id % 7 AS provider, CAST(value AS DECIMAL(18,6)) AS amount, ts AS seen_at FROM events",
     "fx_deliveries": "SELECT conv_id AS answer_id, turn AS segment, CASE WHEN turn % 5 = 4 THEN 'uncertain' ELSE 'confirmed' END AS state FROM conversations",
     "fx_alerts": "SELECT event_id AS alert_id, user_id % 5 AS rule, user_id AS resource_id, ts AS seen_at, CASE WHEN value > 50 THEN 'critical' ELSE 'warning' END AS severity FROM events WHERE event_type = 'error'",
-    "fx_revisions": "SELECT doc_id AS revision_id, source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS seq, text, lang, sha256(text) AS hash FROM documents",
+    "fx_revisions": "SELECT doc_id AS revision_id, doc_id // 4 AS document_id, doc_id % 4 + 1 AS seq, text, lang, sha256(text) AS hash FROM documents",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -30,7 +30,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view or a test table."""
     if name not in VIEWS:
         return read_table(spark, sf_dir, name)
-    text = VIEWS[name].replace("sha256(text)", "sha2(text, 256)").replace("event_id // 3", "event_id DIV 3")
+    text = VIEWS[name].replace("sha256(text)", "sha2(text, 256)").replace("event_id // 3", "event_id DIV 3").replace("doc_id // 4", "doc_id DIV 4")
     table = re.search(r"FROM (\w+)(?: WHERE .*)?$", text)[1]
     return spark.sql(re.sub(rf"FROM {table}\b", "FROM {source}", text), source=read_table(spark, sf_dir, table))
 

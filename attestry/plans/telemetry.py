@@ -12,11 +12,6 @@ query = Registry()
 ENDED = "state IN ('succeeded', 'failed', 'dead_letter', 'cancelled')"
 
 
-@query("a4_incremental_read", "fx_ops_events", "SELECT event_id FROM fx_ops_events WHERE occurred_at > TIMESTAMP '2024-01-20' - INTERVAL 15 MINUTE")
-def a4(events):
-    return events.filter(F.col("occurred_at") > F.lit("2024-01-20").cast("timestamp_ntz") - F.expr("INTERVAL '15' MINUTE")).select("event_id")
-
-
 @query("e1_declared_count", "lineitem", "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, 'lineitem' AS population FROM lineitem GROUP BY 1")
 def e1(lineitem):
     return lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("n_orders")).withColumn("population", F.lit("lineitem"))

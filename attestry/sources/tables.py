@@ -4,7 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Declared columns of the tables.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` of the data folder ``sf_dir`` (a file or a folder of files)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, declared: bool = False) -> DataFrame:
+    """Table ``name`` of the data folder ``sf_dir`` (a file or a folder of files).
+
+    With ``declared`` its columns are those of SCHEMAS: a file that lacks one
+    gives null, and one of another type is an error.
+    """
+    reader = spark.read.schema(SCHEMAS[name]) if declared else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

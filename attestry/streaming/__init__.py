@@ -1 +1 @@
-
+"""Structured Streaming operators on operational events."""
