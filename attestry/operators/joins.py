@@ -81,12 +81,25 @@ def coverage_grid(rows: DataFrame, keys: DataFrame, classes: DataFrame, on: list
     return keys.crossJoin(F.broadcast(classes)).join(found, on, "left").withColumn("gap", F.col("observed").isNull()).withColumn("observed", F.coalesce("observed", F.lit(0)))
 
 
-def title_candidates(titles: DataFrame, id_col: str, title: str, most: int) -> DataFrame:
-    """Pairs of close titles for review, blocked by their first and last token; never a link."""
-    token = F.split(F.lower(title), r"\s+")
-    keyed = titles.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.concat_ws(" ", F.element_at(token, 1), F.element_at(token, -1)).alias("block"))
-    other = keyed.select(F.col("id").alias("other_id"), F.col("title").alias("other"), "block")
-    return keyed.join(other, "block").filter(F.col("id") < F.col("other_id")).select("id", "other_id", F.levenshtein("title", "other", most).cast("int").alias("distance")).filter("distance >= 0")
+def title_candidates(titles: DataFrame, title: str, most: int) -> DataFrame:
+    """(title, other, distance): pairs of different titles within ``most`` edits, for review; never a link.
+
+    Equal titles are one. A title is cut into ``most`` + 1 segments, of which
+    any title within ``most`` edits holds one unchanged and shifted by ``most``
+    places at most; titles meet by those and are then measured.
+    """
+    distinct = titles.select(F.col(title).alias("title")).filter(F.col("title").isNotNull()).distinct()
+    cut = most + 1
+    edge = lambda n, k: F.floor(n * k / cut)
+    own = F.array(*[F.struct(F.lit(k).alias("k"), F.length("title").alias("n"), F.col("title").substr((edge(F.length("title"), F.lit(k)) + 1).cast("int"), (edge(F.length("title"), F.lit(k + 1)) - edge(F.length("title"), F.lit(k))).cast("int")).alias("part")) for k in range(cut)])
+    kept = distinct.select(F.col("title").alias("other"), F.explode(own).alias("s")).select("other", "s.*")
+    n, k = F.col("n"), F.col("k")
+    asked = distinct.withColumn("n", F.explode(F.sequence(F.greatest(F.length("title") - most, F.lit(0)), F.length("title") + most)))
+    asked = asked.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(cut)]))).withColumn("at", F.explode(F.array(*[F.lit(i) for i in range(-most, most + 1)])))
+    place = edge(n, k) + F.col("at")
+    asked = asked.filter((place >= 0) & (place <= F.length("title"))).select("title", "n", "k", F.col("title").substr((place + 1).cast("int"), (edge(n, k + 1) - edge(n, k)).cast("int")).alias("part")).distinct()
+    pairs = asked.join(kept, ["k", "n", "part"]).filter(F.col("title") < F.col("other")).select("title", "other").distinct()
+    return pairs.withColumn("distance", F.levenshtein("title", "other", most).cast("int")).filter("distance >= 0")
 
 
 def enrich_secondary(official: DataFrame, secondary: DataFrame, key: str, value: str) -> DataFrame:
@@ -96,14 +109,48 @@ def enrich_secondary(official: DataFrame, secondary: DataFrame, key: str, value:
 
 
 def lineage(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth): all that ``start`` (column node) leads to in up to ``depth`` steps."""
+    """(start, node, depth): all that ``start`` (column node) leads to in up to ``depth`` steps. Each step is written."""
+    from attestry.runtime import saved
+
     reached = start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     found = reached
     for k in range(1, depth + 1):
-        reached = reached.join(edges, F.col("node") == F.col("from_id")).select("start", F.col("to_id").alias("node"), F.lit(k).alias("depth")).distinct()
+        reached = saved(reached.join(edges, F.col("node") == F.col("from_id")).select("start", F.col("to_id").alias("node"), F.lit(k).alias("depth")).distinct())
         found = found.unionByName(reached)
     return found.groupBy("start", "node").agg(F.min("depth").alias("depth"))
 
 
-def when_present(condition: Column, yes: str, no: str) -> Column:
-    return F.when(condition, yes).otherwise(no)
+def covered(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width_s: int) -> DataFrame:
+    """``points`` with ``covered``: whether an interval of their key holds their time (half-open).
+
+    Intervals are dealt to the bins of ``width_s`` seconds that they touch. In a
+    bin a point is covered if the greatest end of what began up to it lies
+    after it, so no pairs of points and intervals are made.
+    """
+    second = lambda c: F.unix_micros(F.to_timestamp(c))
+    width = width_s * 1_000_000
+    spans = intervals.select(F.col(key), second(start).alias("__t"), second(end).alias("__end")).filter("__end > __t")
+    spans = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__t") / width), F.floor((F.col("__end") - 1) / width))))
+    rows = points.select(F.col(key), second(at).alias("__t"), F.lit(None).cast("long").alias("__end"), F.struct(*points.columns).alias("__row")).withColumn("__bin", F.floor(F.col("__t") / width))
+    both = rows.unionByName(spans.withColumn("__row", F.lit(None)), allowMissingColumns=True)
+    w = Window.partitionBy(key, "__bin").orderBy("__t", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("covered", F.coalesce(F.max("__end").over(w) > F.col("__t"), F.lit(False)))
+    return seen.filter("__row IS NOT NULL").select("__row.*", "covered")
+
+
+def cycle_rest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Edges (flow, a, b) that are left when nodes without a way in or out are taken away again and again.
+
+    None are left of a flow without a cycle. Each round is written.
+    """
+    from attestry.runtime import saved
+
+    left = saved(edges.select("flow", "a", "b").dropna().distinct())
+    n = left.count()
+    for _ in range(max_rounds):
+        into, out = left.select("flow", F.col("b").alias("a")).distinct(), left.select("flow", F.col("a").alias("b")).distinct()
+        left = saved(left.join(into, ["flow", "a"], "left_semi").join(out, ["flow", "b"], "left_semi").select("flow", "a", "b"))
+        was, n = n, left.count()
+        if n == was:
+            return left
+    raise RuntimeError(f"edges did not settle in {max_rounds} rounds")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.operators.joins import covered
 from attestry.operators.projections import ratio
 
 
@@ -71,8 +72,7 @@ def alert_groups(alerts: DataFrame) -> DataFrame:
 
 def apply_silences(alerts: DataFrame, silences: DataFrame) -> DataFrame:
     """Alerts flagged where a silence of their rule covers their time; silences do not end them."""
-    hits = alerts.join(silences, "rule").filter((F.col("seen_at") >= F.col("starts")) & (F.col("seen_at") < F.col("ends"))).select("alert_id").distinct()
-    return alerts.join(hits.withColumn("silenced", F.lit(True)), "alert_id", "left").withColumn("silenced", F.coalesce("silenced", F.lit(False)))
+    return covered(alerts, silences, "rule", "seen_at", "starts", "ends", 3600).withColumnRenamed("covered", "silenced")
 
 
 def bound_dims(df: DataFrame, dim: str, k: int) -> DataFrame:

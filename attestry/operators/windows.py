@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def latest_by(df: DataFrame, keys: list[str], value: str, order: list[Column]) -> DataFrame:
+    """(keys, value, considered, conflict): the value that comes first in ``order``, by one aggregation without a sort."""
+    one = F.min_by(value, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    return df.groupBy(*keys).agg(one.alias(value), F.count(F.lit(1)).alias("considered"), (F.min(value) != F.max(value)).alias("conflict"))
+
+
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in a total order."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")
@@ -13,9 +19,7 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def status_projection(obs: DataFrame, key: str, value: str, order: list) -> DataFrame:
     """The projected value by the rule order, how many were considered, and whether they conflict."""
-    chosen = first_by(obs, [key], order).select(key, value)
-    seen = obs.groupBy(key).agg(F.count(F.lit(1)).alias("considered"), (F.countDistinct(value) > 1).alias("conflict"))
-    return chosen.join(seen, key)
+    return latest_by(obs, [key], value, order)
 
 
 def changes(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -73,7 +77,59 @@ def stage_durations(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str) -> DataFrame:
-    return df.withColumn("running", F.sum(amount).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """``df`` with ``running``: the sum of a key up to each row.
+
+    ``order`` begins with a time. Sums by day give what came before a day, so a
+    task holds a day of a key and not all of it.
+    """
+    dated = df.withColumn("__day", F.to_date(order[0]))
+    daily = dated.groupBy(*keys, "__day").agg(F.sum(amount).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
+    daily = daily.select(*keys, "__day", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum(amount).over(Window.partitionBy(*keys, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dated.join(daily, [*keys, "__day"]).withColumn("running", F.col("__before") + inside).drop("__day", "__before")
+
+
+def sustained(df: DataFrame, key: str, order: list[str], holds: Column, seconds: int) -> DataFrame:
+    """Runs of rows in which ``holds`` that last at least so long: key, first_at, last_at, length."""
+    runs = consecutive(df, key, order, holds, 1)
+    return runs.filter(F.unix_micros(F.to_timestamp("last_at")) - F.unix_micros(F.to_timestamp("first_at")) >= seconds * 1_000_000)
+
+
+def recovered(df: DataFrame, key: str, order: list[str], good: Column, k: int) -> DataFrame:
+    """Rows at which ``good`` holds for the ``k``-th time in a row after it had not."""
+    w = Window.partitionBy(key).orderBy(*order)
+    last = F.sum(good.cast("int")).over(w.rowsBetween(-k + 1, 0))
+    return df.withColumn("__n", last).withColumn("__before", F.lag(good, k).over(w)).filter((F.col("__n") == k) & ~F.col("__before")).drop("__n", "__before")
+
+
+def concurrency(df: DataFrame, key: str, start: str, end: str, most: int) -> DataFrame:
+    """(key, at, running): times at which more than ``most`` intervals of a key are open (half-open intervals)."""
+    steps = df.select(key, F.col(start).alias("at"), F.lit(1).alias("step")).union(df.select(key, F.col(end), F.lit(-1)))
+    total = steps.groupBy(key, "at").agg(F.sum("step").alias("step"))
+    running = F.sum("step").over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return total.withColumn("running", running).filter(F.col("running") > most).select(key, "at", "running")
+
+
+def admitted(df: DataFrame, keys: list[str], order: list[str], amount: str, limit) -> DataFrame:
+    """``df`` with ``admitted``: whether a reservation fits under the limit beside those admitted before it.
+
+    A rejected one leaves its room to later ones, so the rows of a budget are
+    folded in their order; keys should hold a period, which bounds a group.
+    """
+    row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    kind = df.schema[amount].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("decimal(38,6)").alias("used"), F.array().cast("array<boolean>").alias("yes"))
+
+    def step(acc: Column, r: Column) -> Column:
+        fits = acc["used"] + r[amount] <= F.lit(limit).cast(kind)
+        used = F.when(fits, acc["used"] + r[amount]).otherwise(acc["used"]).cast("decimal(38,6)")
+        return F.struct(used.alias("used"), F.concat(acc["yes"], F.array(fits)).alias("yes"))
+
+    folded = rows.withColumn("__yes", F.aggregate("__rows", start, step)["yes"])
+    each = folded.select(F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__yes").alias("y"))).alias("z"))
+    return each.select("z.r.*", F.col("z.y").alias("admitted"))
 
 
 def rate_violations(df: DataFrame, key: str, at: str, n: int, seconds: int) -> DataFrame:

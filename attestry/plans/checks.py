@@ -16,10 +16,11 @@ def e44(jobs):
     return jobs.groupBy("stage").agg(F.count(F.lit(1)).alias("entered"), among("succeeded").alias("left_ok"), among("failed", "dead_letter").alias("failed"), among("queued", "scheduled", "retry_wait").alias("pending"), F.max("enqueued_at").alias("last_seen"))
 
 
-@query("f21_fenced", "fx_jobs", "SELECT job_id, worker, fencing_token FROM (SELECT *, max(fencing_token) OVER (PARTITION BY worker ORDER BY job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM fx_jobs) WHERE fencing_token < most")
+@query("f21_fenced", "fx_jobs", "SELECT job_id, worker, fencing_token FROM (SELECT *, max(fencing_token) OVER (PARTITION BY worker ORDER BY enqueued_at + to_minutes(job_id * 7919 % 2880), job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM fx_jobs) WHERE fencing_token < most")
 def f21(jobs):
-    """Writes whose token is behind one that arrived before."""
-    before = Window.partitionBy("worker").orderBy("job_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Writes whose token is behind one that arrived before; a write arrives up to two days after its job began."""
+    arrived = F.unix_micros(F.to_timestamp("enqueued_at")) + F.col("job_id") * 7919 % 2880 * 60_000_000
+    before = Window.partitionBy("worker").orderBy(arrived, "job_id").rowsBetween(Window.unboundedPreceding, -1)
     return jobs.withColumn("__most", F.max("fencing_token").over(before)).filter(F.col("fencing_token") < F.col("__most")).select("job_id", "worker", "fencing_token")
 
 
@@ -103,18 +104,24 @@ def k3(revisions):
 
 
 @query("l2_freshness_alert", "fx_checks", """SELECT sha256('l2:' || source_id) AS fingerprint, source_id, max(checked_at) FILTER (WHERE ok) AS last_seen, count(*) AS samples FROM fx_checks
-GROUP BY source_id HAVING coalesce(max(checked_at) FILTER (WHERE ok) < TIMESTAMP '2024-01-20', true)""")
+GROUP BY source_id HAVING coalesce(max(checked_at) FILTER (WHERE ok) < TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR, true)""")
 def l2(checks):
-    """Sources whose last successful check is too old, or that have none."""
+    """Sources whose last successful check is older than twice their window of twelve hours, or that have none."""
     seen = checks.groupBy("source_id").agg(F.max(F.when(F.col("ok"), F.col("checked_at"))).alias("last_seen"), F.count(F.lit(1)).alias("samples"))
-    late = F.coalesce(F.col("last_seen") < F.lit("2024-01-20").cast("timestamp_ntz"), F.lit(True))
+    late = F.coalesce(F.col("last_seen") < F.lit("2024-01-31").cast("timestamp_ntz") - F.expr("INTERVAL '24' HOUR"), F.lit(True))
     return seen.filter(late).withColumn("fingerprint", F.sha2(F.concat(F.lit("l2:"), F.col("source_id").cast("string")), 256))
 
 
-@query("l10_telemetry_alert", "fx_ops_events", "SELECT sha256('l10:' || resource_id) AS fingerprint, resource_id, count(*) FILTER (WHERE delay_s > 60) AS occurrences, count(*) AS samples FROM fx_ops_events GROUP BY resource_id HAVING count(*) FILTER (WHERE delay_s > 60) > 0")
-def l10(events):
-    found = events.groupBy("resource_id").agg(F.count_if(F.col("delay_s") > 60).alias("occurrences"), F.count(F.lit(1)).alias("samples"))
-    return found.filter("occurrences > 0").withColumn("fingerprint", F.sha2(F.concat(F.lit("l10:"), F.col("resource_id").cast("string")), 256))
+@query("l10_telemetry_alert", "customer fx_ops_events", """SELECT sha256('l10:' || c_custkey) AS fingerprint, c_custkey AS resource_id, last_seen FROM customer LEFT JOIN (SELECT resource_id, max(occurred_at + to_seconds(delay_s)) AS last_seen FROM fx_ops_events GROUP BY 1) ON c_custkey = resource_id
+WHERE coalesce(last_seen < (SELECT max(occurred_at + to_seconds(delay_s)) FROM fx_ops_events) - INTERVAL 60 SECOND, true)""")
+def l10(customer, events):
+    """Resources whose last signal is over 60 s older than the newest of all, and those that never sent one."""
+    received = F.col("occurred_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("delay_s").cast("decimal(18,6)"))
+    last = events.groupBy("resource_id").agg(F.max(received).alias("last_seen"))
+    newest = events.agg(F.max(received).alias("__newest"))
+    found = customer.select(F.col("c_custkey").alias("resource_id")).join(last, "resource_id", "left").crossJoin(F.broadcast(newest))
+    silent = F.coalesce(F.col("last_seen") < F.col("__newest") - F.expr("INTERVAL '60' SECOND"), F.lit(True))
+    return found.filter(silent).select(F.sha2(F.concat(F.lit("l10:"), F.col("resource_id").cast("string")), 256).alias("fingerprint"), "resource_id", "last_seen")
 
 
 QUERIES, ORACLE_SQL = query.QUERIES, query.ORACLE_SQL

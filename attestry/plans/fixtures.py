@@ -19,7 +19,7 @@ VIEWS = {
     "fx_checks": "SELECT event_id AS check_id, user_id AS source_id, ts AS checked_at, event_type <> 'error' AS ok, props AS content_hash FROM events",
     "fx_jobs": "SELECT event_id AS job_id, user_id % 5 AS queue, event_type AS stage, CASE event_id % 8 WHEN 0 THEN 'queued' WHEN 1 THEN 'scheduled' WHEN 2 THEN 'running' WHEN 3 THEN 'retry_wait' WHEN 4 THEN 'succeeded' WHEN 5 THEN 'failed' WHEN 6 THEN 'dead_letter' ELSE 'cancelled' END AS state, ts AS enqueued_at, user_id AS worker, event_id % 3 AS boot_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fencing_token, CASE WHEN event_id % 5 <> 0 THEN 40 END AS total_units, event_id % 41 AS completed, value FROM events",
     "fx_ledger": "SELECT event_id AS entry_id, event_id // 3 AS reservation_id, CASE event_id % 3 WHEN 0 THEN 'reserved' WHEN 1 THEN 'estimated' ELSE 'settled' END AS state, CASE WHEN (event_id // 3) % 2 = 0 THEN 'COP' ELSE 'USD' END AS currency, user_id % 7 AS provider, CAST(value AS DECIMAL(18,6)) AS amount, ts AS seen_at FROM events",
-    "fx_deliveries": "SELECT conv_id AS answer_id, turn AS segment, CASE WHEN turn % 5 = 4 THEN 'uncertain' ELSE 'confirmed' END AS state FROM conversations",
+    "fx_deliveries": "SELECT conv_id AS answer_id, turn AS segment, CASE WHEN turn % 5 = 4 THEN 'uncertain' WHEN (conv_id + turn) % 6 = 5 THEN 'failed' ELSE 'confirmed' END AS state FROM conversations",
     "fx_alerts": "SELECT event_id AS alert_id, user_id % 5 AS rule, user_id AS resource_id, ts AS seen_at, CASE WHEN value > 50 THEN 'critical' ELSE 'warning' END AS severity FROM events WHERE event_type = 'error'",
     "fx_revisions": "SELECT doc_id AS revision_id, doc_id // 4 AS document_id, doc_id % 4 + 1 AS seq, text, lang, sha256(text) AS hash FROM documents",
 }

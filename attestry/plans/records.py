@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestry.operators import documents as K
@@ -18,7 +19,17 @@ RULE = "CASE authority WHEN 'primary' THEN 0 ELSE 1 END, CASE stage WHEN 'F' THE
 
 
 def _rule():
-    return [F.when(F.col("authority") == "primary", 0).otherwise(1), F.when(F.col("stage") == "F", 0).otherwise(1), F.col("effective_date").desc(), *LINE]
+    return [F.when(F.col("authority") == "primary", 0).otherwise(1), F.when(F.col("stage") == "F", 0).otherwise(1), -F.unix_date("effective_date"), *map(F.col, LINE)]
+
+
+def _node(kind: str, column: str):
+    return F.concat(F.lit(kind), F.col(column).cast("string"))
+
+
+def _flow_edges(lineitem, supplier, nation):
+    """Order to supplier to nation to region."""
+    steps = (lineitem.select(_node("o", "l_orderkey"), _node("s", "l_suppkey")).distinct(), supplier.select(_node("s", "s_suppkey"), _node("n", "s_nationkey")), nation.select(_node("n", "n_nationkey"), _node("r", "n_regionkey")))
+    return steps[0].union(steps[1]).union(steps[2]).toDF("from_id", "to_id")
 
 
 @query("project_state", "fx_projects fx_observations customer nation", f"""
@@ -63,9 +74,11 @@ def b6(docs):
     return docs.select("doc_id", F.md5(B.redact(F.col("text"))).alias("redacted_md5"))
 
 
-@query("b7_mask", "conversations", "SELECT conv_id, turn, role, CAST(NULL AS VARCHAR) AS text FROM conversations")
+@query("b7_mask", "conversations", "SELECT conv_id, turn, role, CAST(NULL AS VARCHAR) AS text FROM conversations WHERE role <> 'system' UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE role = 'system'")
 def b7(conversations):
-    return B.mask_unless(conversations, ["text"], False)
+    """Without the permission the content is null; system turns may be read."""
+    masked = B.mask_unless(conversations.filter("role <> 'system'"), ["text"], False)
+    return masked.union(B.mask_unless(conversations.filter("role = 'system'"), ["text"], True))
 
 
 @query("c1_common_filter", "events", "SELECT event_id, ts FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-12' AND event_type IN ('error', 'view')")
@@ -94,9 +107,12 @@ def c7(projects):
     return projects.select("project_id", C.date_match("filed_on", "date_precision", "1996-03-15", "1997-06-01").alias("match"))
 
 
-@query("c10_retention", "events", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
+@query("c10_retention", "events", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - to_days(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 7 ELSE 30 END)")
 def c10(events):
-    return C.retain(events, "ts", "2024-01-31", 7).select("event_id")
+    """A retention period for each class of data."""
+    days = {"click": 1, "view": 7}
+    kept = [C.retain(events.filter(F.col("event_type") == k), "ts", "2024-01-31", d) for k, d in days.items()]
+    return kept[0].union(kept[1]).union(C.retain(events.filter(~F.col("event_type").isin(*days)), "ts", "2024-01-31", 30)).select("event_id")
 
 
 @query("c11_url_allowed", "pages", r"SELECT page_id, regexp_extract(url, '^https?://([^/?#:]*)', 1) <> '' AND regexp_extract(regexp_extract(url, '^https?://([^/?#:]*)', 1), '([^.]+\.[^.]+)$', 1) IN ('example.org', 'example.com') AND NOT regexp_matches(regexp_extract(url, '^https?://([^/?#:]*)', 1), '^(127\.|10\.|192\.168\.|169\.254\.|localhost$)') AS ok FROM pages")
@@ -109,18 +125,23 @@ def c14(revisions, labels):
     return C.apply_tombstones(revisions.select("revision_id", "hash"), labels.filter("toxic = 1").select(F.col("doc_id").alias("revision_id")), "revision_id", ["hash"])
 
 
-@query("c16_resendable", "fx_deliveries", "SELECT answer_id, segment FROM fx_deliveries WHERE state NOT IN ('confirmed', 'uncertain')")
+@query("c16_resendable", "fx_deliveries", "SELECT answer_id, segment FROM fx_deliveries WHERE state = 'failed' AND answer_id NOT IN (SELECT answer_id FROM fx_deliveries WHERE state = 'uncertain')")
 def c16(deliveries):
-    return deliveries.filter(~F.col("state").isin("confirmed", "uncertain")).select("answer_id", "segment")
+    """Clear failures only, and none of an answer with a segment that may have arrived."""
+    unsure = deliveries.filter("state = 'uncertain'").select("answer_id").distinct()
+    return deliveries.filter("state = 'failed'").join(unsure, "answer_id", "left_anti").select("answer_id", "segment")
 
 
-@query("d3_roll_call", "orders supplier fx_vote_obs", """WITH m AS (SELECT o_orderkey AS voting_id, s_suppkey AS person_id FROM orders, supplier WHERE o_orderkey % 100 = 0),
-v AS (SELECT voting_id, person_id, vote, row_number() OVER (PARTITION BY voting_id, person_id ORDER BY observed_at DESC, partkey, line, price) AS r FROM fx_vote_obs)
-SELECT m.voting_id, m.person_id, coalesce(vote, 'not_recorded') AS vote FROM m LEFT JOIN v ON m.voting_id = v.voting_id AND m.person_id = v.person_id AND r = 1""")
-def d3(orders, supplier, votes):
-    members = orders.filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("voting_id")).crossJoin(supplier.select(F.col("s_suppkey").alias("person_id")))
-    current = W.first_by(votes, ["voting_id", "person_id"], [F.col("observed_at").desc(), *LINE]).select("voting_id", "person_id", "vote")
-    return D.roll_call(members, current, ["voting_id", "person_id"])
+@query("d3_roll_call", "orders fx_vote_obs", """WITH v AS (SELECT voting_id, person_id, vote, row_number() OVER (PARTITION BY voting_id, person_id ORDER BY observed_at DESC, partkey, line, price) AS r FROM fx_vote_obs),
+b AS (SELECT DISTINCT o_custkey AS body, person_id FROM fx_vote_obs JOIN orders ON voting_id = o_orderkey)
+SELECT o_orderkey AS voting_id, b.person_id, coalesce(vote, 'not_recorded') AS vote FROM orders JOIN b ON o_custkey = body LEFT JOIN v ON v.voting_id = o_orderkey AND v.person_id = b.person_id AND r = 1""")
+def d3(orders, votes):
+    """The roll of a voting is all who ever voted in its body (an equi-join); absence of a row is not an absence."""
+    bodies = orders.select(F.col("o_orderkey").alias("voting_id"), F.col("o_custkey").alias("body"))
+    persons = votes.select("voting_id", "person_id").distinct().join(bodies, "voting_id").select("body", "person_id").distinct()
+    members = bodies.join(persons, "body").select("voting_id", "person_id")
+    current = W.latest_by(votes, ["voting_id", "person_id"], "vote", [-F.unix_micros(F.to_timestamp("observed_at")), *map(F.col, LINE)])
+    return D.roll_call(members, current.select("voting_id", "person_id", "vote"), ["voting_id", "person_id"])
 
 
 @query("d4_reconcile_totals", "fx_vote_obs orders", """WITH n AS (SELECT voting_id, count(*) AS n FROM fx_vote_obs WHERE voting_id % 7 <> 0 GROUP BY 1), t AS (SELECT o_orderkey AS voting_id, CAST(o_orderkey % 6 AS BIGINT) AS n FROM orders WHERE o_orderkey % 5 <> 0)
@@ -153,10 +174,13 @@ def d8(orders, customer):
     return D.orphans(orders, customer.filter("c_custkey % 3 <> 0"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("d9_resolve_identifier", "fx_projects", "SELECT q.project_id, i.project_id AS candidate FROM (SELECT * FROM fx_projects WHERE project_id % 50 = 0) q LEFT JOIN fx_projects i ON q.number = i.number AND q.filing_year = i.filing_year AND q.corporation_id = i.corporation_id AND q.initiative_type = i.initiative_type")
+@query("d9_resolve_identifier", "fx_projects", "SELECT project_id, count(*) OVER k AS candidates, min(project_id) OVER k AS first_candidate FROM fx_projects WINDOW k AS (PARTITION BY number, filing_year, corporation_id, initiative_type)")
 def d9(projects):
+    """Every project's contextual key with the number of its candidates; the candidates themselves are not paired."""
     keys = ["number", "filing_year", "corporation_id", "initiative_type"]
-    return D.resolve_identifier(projects.filter("project_id % 50 = 0").select("project_id", *keys), projects, keys, "project_id").select("project_id", "candidate")
+    ids = projects.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.min("project_id").alias("first_candidate"))
+    found = D.resolve_identifier(projects.select("project_id", *keys), ids.withColumn("entry", F.struct("candidates", "first_candidate")), keys, "entry")
+    return found.select("project_id", "candidate.candidates", "candidate.first_candidate")
 
 
 @query("d10_valid_at", "orders fx_memberships", "SELECT o_orderkey, party, term_id FROM orders LEFT JOIN fx_memberships ON o_custkey = person_id AND valid_from <= CAST(o_orderdate AS DATE) AND (valid_to IS NULL OR CAST(o_orderdate AS DATE) < valid_to)")
@@ -183,19 +207,29 @@ def d15(revisions):
     return D.supersedes(revisions, "document_id", "seq", ["hash"])
 
 
-@query("d17_coverage_grid", "events", "SELECT u.user_id, t.event_type, count(e.event_id) AS observed, count(e.event_id) = 0 AS gap FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t LEFT JOIN (SELECT * FROM events WHERE value > 60) e ON u.user_id = e.user_id AND t.event_type = e.event_type GROUP BY 1, 2")
+@query("d17_coverage_grid", "events", """SELECT u.user_id, t.event_type, w.week, count(e.event_id) AS observed, count(e.event_id) = 0 AS gap FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t
+CROSS JOIN (SELECT CAST(unnest(generate_series(date_trunc('week', min(ts)), date_trunc('week', max(ts)), INTERVAL 7 DAY)) AS DATE) AS week FROM events) w
+LEFT JOIN (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week FROM events WHERE value > 60) e ON u.user_id = e.user_id AND t.event_type = e.event_type AND w.week = e.week GROUP BY 1, 2, 3""")
 def d17(events):
-    return D.coverage_grid(events.filter("value > 60"), events.select("user_id").distinct(), events.select("event_type").distinct(), ["user_id", "event_type"])
+    """Every source of every class in every week of the range."""
+    week = F.trunc(F.to_date("ts"), "week")
+    span = events.agg(F.min(week).alias("a"), F.max(week).alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL '7' DAY"))).alias("week"))
+    cells = events.select("event_type").distinct().crossJoin(span)
+    return D.coverage_grid(events.filter("value > 60").withColumn("week", week), events.select("user_id").distinct(), cells, ["user_id", "event_type", "week"])
 
 
-@query("d18_title_candidates", "part", "WITH t AS (SELECT p_partkey AS id, p_name AS title, lower(string_split(p_name, ' ')[1]) || ' ' || lower(string_split(p_name, ' ')[-1]) AS block FROM part) SELECT a.id, b.id AS other_id, CAST(levenshtein(a.title, b.title) AS INT) AS distance FROM t a JOIN t b ON a.block = b.block AND a.id < b.id WHERE levenshtein(a.title, b.title) <= 3")
+@query("d18_title_candidates", "part", "WITH t AS (SELECT DISTINCT p_name AS title FROM part) SELECT a.title, b.title AS other, CAST(levenshtein(a.title, b.title) AS INT) AS distance FROM t a JOIN t b ON a.title < b.title AND abs(length(a.title) - length(b.title)) <= 3 WHERE levenshtein(a.title, b.title) <= 3")
 def d18(part):
-    return D.title_candidates(part, "p_partkey", "p_name", 3)
+    return D.title_candidates(part, "p_name", 3)
 
 
-@query("d21_identity_components", "events", """WITH RECURSIVE e AS (SELECT event_id % 997 AS a, (event_id * 13 + 5) % 997 AS b FROM events WHERE event_id % 31 = 0), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+@query("d21_identity_components", "events", """WITH g AS (SELECT event_id, user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT event_id, user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM g) SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id, part) AS component FROM s""")
 def d21(events):
-    return connected_components(events.filter("event_id % 31 = 0").select((F.col("event_id") % 997).alias("a"), ((F.col("event_id") * 13 + 5) % 997).alias("b")))
+    """Explicit links of each event to the one before it of its user within six hours; an event alone links to itself."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    near = F.col("ts") <= F.lag("ts").over(w) + F.expr("INTERVAL '6' HOUR")
+    return connected_components(events.select(F.col("event_id").alias("a"), F.coalesce(F.when(near, F.lag("event_id").over(w)), F.col("event_id")).alias("b")))
 
 
 @query("d23_enrich_secondary", "fx_observations", f"""WITH p AS (SELECT subject_id, value, row_number() OVER (PARTITION BY subject_id ORDER BY {RULE}) AS r FROM fx_observations WHERE authority = 'primary'), s AS (SELECT subject_id, value, row_number() OVER (PARTITION BY subject_id ORDER BY {RULE}) AS r FROM fx_observations WHERE authority = 'secondary')
@@ -205,17 +239,18 @@ def d23(obs):
     return D.enrich_secondary(one("primary"), one("secondary"), "subject_id", "value")
 
 
-@query("d20_lineage", "customer orders", "SELECT c_custkey AS start, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT o_custkey, o_orderkey + 100000000, 1 FROM orders WHERE o_custkey % 100 = 0")
-def d20(customer, orders):
-    edges = orders.select(F.col("o_custkey").alias("from_id"), (F.col("o_orderkey") + 100000000).alias("to_id"))
-    return D.lineage(edges, customer.filter("c_custkey % 100 = 0").select(F.col("c_custkey").alias("node")), 3)
+@query("d20_lineage", "orders lineitem supplier nation", """WITH a AS (SELECT DISTINCT 'o' || o_orderkey AS start, 's' || l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey), b AS (SELECT DISTINCT start, 'n' || s_nationkey AS n, s_nationkey FROM a JOIN supplier ON s = 's' || s_suppkey), c AS (SELECT DISTINCT start, 'r' || n_regionkey AS r FROM b JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'o' || o_orderkey AS start, 'o' || o_orderkey AS node, 0 AS depth FROM orders UNION ALL SELECT start, s, 1 FROM a UNION ALL SELECT start, n, 2 FROM b UNION ALL SELECT start, r, 3 FROM c""")
+def d20(orders, lineitem, supplier, nation):
+    """From every order to its suppliers, their nations and regions."""
+    starts = orders.select(_node("o", "o_orderkey").alias("node"))
+    return D.lineage(_flow_edges(lineitem, supplier, nation), starts, 4)
 
 
 @query("f2_current_votes", "fx_vote_obs", "WITH c AS (SELECT *, row_number() OVER (PARTITION BY voting_id, person_id ORDER BY observed_at DESC, partkey, line, price) AS r FROM fx_vote_obs) SELECT voting_id, person_id, vote, considered, conflict FROM c JOIN (SELECT voting_id, person_id, count(*) AS considered, count(DISTINCT vote) > 1 AS conflict FROM fx_vote_obs GROUP BY 1, 2) USING (voting_id, person_id) WHERE r = 1")
 def f2(votes):
     keys = ["voting_id", "person_id"]
-    chosen = W.first_by(votes, keys, [F.col("observed_at").desc(), *LINE]).select(*keys, "vote")
-    return chosen.join(votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("considered"), (F.countDistinct("vote") > 1).alias("conflict")), keys)
+    return W.latest_by(votes, keys, "vote", [-F.unix_micros(F.to_timestamp("observed_at")), *map(F.col, LINE)])
 
 
 @query("f11_to_intervals", "orders", "SELECT o_orderkey, o_custkey, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders")
@@ -236,10 +271,11 @@ def g1(orders, lineitem):
 
 @query("g2_snapshot_diff", "documents", "WITH a AS (SELECT source, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT source, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 1) SELECT *, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'unchanged' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)")
 def g2(docs):
-    a, b = (docs.filter(f"doc_id % 3 <> {k}").select("source", F.sha2("text", 256).alias("hash")) for k in (0, 1))
-    parts = ((a.subtract(b), "removed"), (b.subtract(a), "added"), (a.intersect(b), "unchanged"))
-    first, second, third = (p.withColumn("change", F.lit(w)) for p, w in parts)
-    return first.unionByName(second).unionByName(third)
+    """Both snapshots in one aggregation: one scan and one shuffle."""
+    sides = docs.select("source", F.sha2("text", 256).alias("hash"), (F.col("doc_id") % 3 != 0).alias("old"), (F.col("doc_id") % 3 != 1).alias("new"))
+    found = sides.groupBy("source", "hash").agg(F.bool_or("old").alias("old"), F.bool_or("new").alias("new"))
+    change = F.when(F.col("old") & F.col("new"), "unchanged").when(F.col("old"), "removed").when(F.col("new"), "added")
+    return found.select("source", "hash", change.alias("change")).filter("change IS NOT NULL")
 
 
 @query("g4_duplicates", "lineitem", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -255,8 +291,6 @@ def g9(events):
 
 @query("g11_top_milestones", "orders", "SELECT o_custkey, o_orderkey, r FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 5")
 def g11(orders):
-    from pyspark.sql import Window
-
     r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
     return orders.withColumn("r", r).filter("r <= 5").select("o_custkey", "o_orderkey", "r")
 

@@ -68,9 +68,12 @@ def e12(checks):
     return E.source_status(checks, "2024-01-31 00:00:00")
 
 
-@query("e15_coverage", "fx_sources", "SELECT source_id, expected_count, CASE WHEN expected_count > 0 THEN 10 / expected_count END AS coverage FROM fx_sources")
-def e15(sources):
-    return sources.select("source_id", "expected_count", F.when(F.col("expected_count") > 0, F.lit(10) / F.col("expected_count")).alias("coverage"))
+@query("e15_coverage", "fx_sources lineitem", "SELECT source_id, expected_count, coalesce(n, 0) AS observed, CASE WHEN expected_count > 0 THEN coalesce(n, 0) / expected_count END AS coverage FROM fx_sources LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON source_id = l_suppkey")
+def e15(sources, lineitem):
+    """Observed rows of each source against the expected count, where that is known."""
+    seen = lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    found = sources.join(seen, F.col("source_id") == F.col("l_suppkey"), "left").select("source_id", "expected_count", F.coalesce("n", F.lit(0)).alias("observed"))
+    return found.withColumn("coverage", F.when(F.col("expected_count") > 0, F.col("observed") / F.col("expected_count")))
 
 
 @query("e18_delivery_confirmed", "fx_deliveries", "SELECT answer_id, count(*) AS segments, bool_and(state = 'confirmed') AS confirmed FROM fx_deliveries GROUP BY 1")
@@ -105,9 +108,17 @@ def e24(events):
     return events.groupBy("event_type", F.floor(F.col("value") / 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e25_metric_rollup", "events", "SELECT time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,6))) AS total FROM events GROUP BY 1, 2")
+@query("e25_metric_rollup", "events", """SELECT s.size, time_bucket(s.i, ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,6))) AS total
+FROM events, (VALUES ('15 minutes', INTERVAL 15 MINUTE), ('1 hour', INTERVAL 1 HOUR), ('24 hours', INTERVAL 24 HOUR), ('7 days', INTERVAL 168 HOUR)) s(size, i) GROUP BY 1, 2, 3""")
 def e25(events):
-    return E.tumbling(events, "ts", "15 minutes", ["event_type"], F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).alias("total"))
+    """The small buckets are summed to the larger ones: the events are read and shuffled once."""
+    small = E.tumbling(events, "ts", "15 minutes", ["event_type"], F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).alias("total"))
+    sizes = {"15 minutes": 900, "1 hour": 3600, "24 hours": 86400, "7 days": 604800}
+    second = F.datediff(F.to_date("bucket"), F.lit("1970-01-01").cast("date")) * 86400 + F.hour("bucket") * 3600 + F.minute("bucket") * 60
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("size"), (F.floor(second / s) * s).alias("at")) for k, s in sizes.items()]))
+    found = small.select("event_type", "n", F.col("total").alias("t"), each.alias("z")).groupBy("z.size", "z.at", "event_type").agg(F.sum("n").alias("n"), F.sum("t").cast("decimal(38,6)").alias("total"))
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return found.select("size", (epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("at").cast("decimal(18,6)"))).alias("bucket"), "event_type", "n", "total")
 
 
 @query("e26_metric_cube", "documents", "SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY CUBE (lang, source)")
@@ -125,9 +136,9 @@ def e29(alerts):
     return E.alert_groups(alerts)
 
 
-@query("d16_apply_silences", "fx_alerts events", "WITH s AS (SELECT user_id % 5 AS rule, ts AS starts, ts + INTERVAL 6 HOUR AS ends FROM events WHERE event_id % 97 = 0) SELECT alert_id, EXISTS (SELECT 1 FROM s WHERE s.rule = a.rule AND a.seen_at >= starts AND a.seen_at < ends) AS silenced FROM fx_alerts a")
+@query("d16_apply_silences", "fx_alerts events", "WITH s AS (SELECT user_id % 5 AS rule, ts AS starts, ts + INTERVAL 10 MINUTE AS ends FROM events WHERE event_type = 'signup') SELECT alert_id, EXISTS (SELECT 1 FROM s WHERE s.rule = a.rule AND a.seen_at >= starts AND a.seen_at < ends) AS silenced FROM fx_alerts a")
 def d16(alerts, events):
-    silences = events.filter("event_id % 97 = 0").select((F.col("user_id") % 5).alias("rule"), F.col("ts").alias("starts"), (F.col("ts") + F.expr("INTERVAL '6' HOUR")).alias("ends"))
+    silences = events.filter("event_type = 'signup'").select((F.col("user_id") % 5).alias("rule"), F.col("ts").alias("starts"), (F.col("ts") + F.expr("INTERVAL '10' MINUTE")).alias("ends"))
     return E.apply_silences(alerts, silences).select("alert_id", "silenced")
 
 
@@ -197,9 +208,11 @@ def f13(events):
     return W.stage_durations(events, "user_id", "ts", "event_id").select("event_id", "seconds")
 
 
-@query("f14_running_exposure", "fx_ledger", "SELECT entry_id, sum(amount) OVER (PARTITION BY provider, currency ORDER BY seen_at, entry_id ROWS UNBOUNDED PRECEDING) AS running FROM fx_ledger")
+@query("f14_running_exposure", "fx_ledger", "SELECT entry_id, running, CASE WHEN running >= 20000 THEN 'over' WHEN running >= 16000 THEN 'warning' ELSE 'ok' END AS level FROM (SELECT entry_id, sum(amount) OVER (PARTITION BY provider, currency ORDER BY seen_at, entry_id ROWS UNBOUNDED PRECEDING) AS running FROM fx_ledger)")
 def f14(ledger):
-    return W.running_total(ledger, ["provider", "currency"], ["seen_at", "entry_id"], "amount").select("entry_id", "running")
+    """Running exposure against a budget of 20,000, with its crossings of 80 and 100 %."""
+    found = W.running_total(ledger, ["provider", "currency"], ["seen_at", "entry_id"], "amount").select("entry_id", "running")
+    return found.withColumn("level", F.when(F.col("running") >= 20000, "over").when(F.col("running") >= 16000, "warning").otherwise("ok"))
 
 
 @query("f16_rate_violations", "events", "SELECT event_id, in_window FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM events) WHERE in_window > 1")
@@ -212,10 +225,16 @@ def f20(jobs):
     return W.backoff(jobs.filter("state = 'retry_wait'"), "worker", ["enqueued_at", "job_id"]).select("job_id", "attempt", "dead_letter", "wait_s")
 
 
-@query("f22_volume_anomaly", "events", "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, day, n FROM (SELECT *, avg(n) OVER w AS m, stddev_samp(n) OVER w AS s FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) WHERE abs(n - m) > 1.5 * s")
+@query("f22_volume_anomaly", "events", """WITH g AS (SELECT DISTINCT user_id FROM events), c AS (SELECT CAST(unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS DATE) AS day FROM events),
+d AS (SELECT g.user_id, c.day, count(e.event_id) AS n FROM g CROSS JOIN c LEFT JOIN events e ON e.user_id = g.user_id AND CAST(e.ts AS DATE) = c.day GROUP BY 1, 2)
+SELECT user_id, day, n FROM (SELECT *, avg(n) OVER w AS m, stddev_samp(n) OVER w AS s FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) WHERE abs(n - m) > 1.5 * s""")
 def f22(events):
-    daily = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return W.moving_anomaly(daily, "event_type", "day", "n", 7, 1.5).select("event_type", "day", "n")
+    """Every day of every source is in the grid, so that a day without events counts 0."""
+    day = F.to_date("ts")
+    days = events.agg(F.min(day).alias("a"), F.max(day).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    counts = events.groupBy("user_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    grid = events.select("user_id").distinct().crossJoin(F.broadcast(days)).join(counts, ["user_id", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return W.moving_anomaly(grid, "user_id", "day", "n", 7, 1.5).select("user_id", "day", "n")
 
 
 @query("f25_illegal_transitions", "fx_jobs", "SELECT job_id, previous, state FROM (SELECT *, lag(state) OVER (PARTITION BY worker ORDER BY enqueued_at, job_id) AS previous FROM fx_jobs) WHERE previous IS NOT NULL AND previous || '>' || state NOT IN ('queued>running', 'running>succeeded', 'running>failed', 'failed>retry_wait', 'retry_wait>running')")
