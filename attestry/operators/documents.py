@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.runtime import broadcast_if_small, saved
+
+#: Vectors that a task compares with a block of queries at a time.
+SLICE = 1024
+#: A line that is a heading: short and without a full stop.
+HEADING = r"^[^.]{1,40}$"
+
 
 def blobs(docs: DataFrame, text: str) -> DataFrame:
     """One row for each distinct content with the number of its origins."""
@@ -28,35 +39,97 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda w: w != ""))
 
 
+def segments(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, page, line, segment, heading): lines with the number and the heading of the segment that they are in.
+
+    A heading begins a segment; lines before the first are segment 0 without one.
+    """
+    lines = docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("page", "line"))
+    w = Window.partitionBy(id_col).orderBy("page")
+    marked = lines.withColumn("h", F.col("line").rlike(HEADING))
+    found = marked.withColumn("segment", F.sum(F.col("h").cast("long")).over(w)).withColumn("heading", F.last(F.when(F.col("h"), F.col("line")), ignorenulls=True).over(w))
+    return found.select(id_col, F.col("page") + 1, "line", "segment", "heading").toDF(id_col, "page", "line", "segment", "heading")
+
+
 def chunk(docs: DataFrame, id_col: str, text: str, size: int = 800, overlap: int = 100) -> DataFrame:
-    """(id, ordinal, first_token, n_tokens, chunk_text): windows of tokens with an overlap."""
-    words = docs.select(id_col, F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda w: w != "").alias("w"))
+    """(id, segment, heading, ordinal, first_token, n_tokens, chunk_text): windows of tokens with an overlap, never over the edge of a segment."""
+    lines = segments(docs, id_col, text).groupBy(id_col, "segment").agg(F.max("heading").alias("heading"), F.array_sort(F.collect_list(F.struct("page", "line"))).alias("lines"))
+    whole = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    words = lines.select(id_col, "segment", "heading", F.filter(F.split(whole, r"[ \t\n\r\f\x0b]+"), lambda w: w != "").alias("w"))
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - overlap) / step).cast("int") - 1))
-    each = words.filter(F.size("w") > 0).select(id_col, "w", F.explode(starts).alias("ordinal"))
+    each = words.filter(F.size("w") > 0).withColumn("ordinal", F.explode(starts))
     part = F.slice("w", F.col("ordinal") * step + 1, size)
-    return each.select(id_col, "ordinal", (F.col("ordinal") * step).alias("first_token"), F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("chunk_text"))
+    return each.select(id_col, "segment", "heading", "ordinal", (F.col("ordinal") * step).alias("first_token"), F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("chunk_text"))
+
+
+def chunk_violations(chunks: DataFrame, keys: list[str], size: int = 800, overlap: int = 100) -> DataFrame:
+    """Chunks that do not follow the one before them, are empty or too long, or begin at another token than their ordinal says."""
+    before = F.lag("ordinal").over(Window.partitionBy(*keys).orderBy("ordinal"))
+    dense = F.col("ordinal") == F.coalesce(before + 1, F.lit(0))
+    fits = F.col("n_tokens").between(1, size) & (F.col("first_token") == F.col("ordinal") * (size - overlap))
+    return chunks.withColumn("dense", dense).filter(~F.col("dense") | ~fits)
+
+
+def line_diff(old: Column, new: Column) -> Column:
+    """Array of (page, old, new) of the lines of two texts by their place; the side that a text lacks is null."""
+    a, b = F.split(old, "\n"), F.split(new, "\n")
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("old"), y.alias("new")))
+    return F.transform(pairs, lambda p, i: F.struct((i + 1).alias("page"), p["old"].alias("old"), p["new"].alias("new")))
+
+
+def near_candidates(docs: DataFrame, id_col: str, text: str, bands: int = 8, rows: int = 4) -> DataFrame:
+    """(id, rep): documents with one whose MinHash over three-word shingles equals theirs in a band; candidates for review.
+
+    Equal texts and equal bands are one class each: a row leads to the least id
+    of its band, so a group of copies gives as many rows as it has members.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " ")))
+    held = docs.select(id_col, words.alias("w")).filter(F.size("w") > 0).select(id_col, shingles.alias("s"))
+    least = lambda seed: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).alias("key")) for b in range(bands)])
+    banded = saved(held.select(id_col, F.explode(keys).alias("k")).select(id_col, "k.*"))
+    reps = banded.groupBy("band", "key").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    return banded.join(reps, ["band", "key"]).filter(F.col(id_col) != F.col("rep")).select(id_col, "rep").distinct()
+
+
+def select_context(ranked: DataFrame, query_id: str, order: list, tokens: str, most: int = 8, budget: int = 3000) -> DataFrame:
+    """The first ``most`` rows of each query whose tokens together stay inside the budget, with ``place`` and ``used``."""
+    w = Window.partitionBy(query_id).orderBy(*order)
+    placed = ranked.withColumn("place", F.row_number().over(w)).withColumn("used", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.filter((F.col("place") <= most) & (F.col("used") <= budget))
+
+
+def _words(text: str) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, term, tf): lower-case terms of letters and digits."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return df.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return df.select(id_col, F.explode(_words(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lexical(queries: DataFrame, docs: DataFrame, query_id: str, id_col: str, text: str, k: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 top ``k`` documents of each query; scores rounded to 6 places, of equals the least id."""
-    index = terms(docs, id_col, text)
-    length = index.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    total = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
-    wanted = terms(queries.select(query_id, F.col(text).alias("q")), query_id, "q").select(query_id, "term")
-    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """BM25 top ``k`` documents of each query; scores rounded to 6 places, of equals the least id.
+
+    Documents are split twice, for their lengths and for the terms that some
+    query asks for; only those are counted and shuffled.
+    """
+    words = docs.select(id_col, _words(text).alias("w")).withColumn("dl", F.size("w"))
+    n = F.count_if(F.col("dl") > 0)
+    total = words.agg(n.alias("n"), (F.sum("dl") / n).alias("avg_dl"))
+    wanted = saved(terms(queries.select(query_id, F.col(text).alias("q")), query_id, "q").select(query_id, "term"))
+    asked = broadcast_if_small(saved(wanted.select("term").distinct()))
+    hits = words.select(id_col, "dl", F.explode("w").alias("term")).join(asked, "term", "left_semi")
+    hits = saved(hits.groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    hits = index.join(df, "term").join(length, id_col).crossJoin(F.broadcast(total)).select(id_col, "term", weight.alias("w"))
-    scored = hits.join(wanted, "term").groupBy(query_id, id_col).agg(F.round(F.sum("w"), 6).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    weighed = hits.join(df, "term").crossJoin(F.broadcast(total)).select(id_col, "term", weight.alias("w"))
+    scored = weighed.join(wanted, "term").groupBy(query_id, id_col).agg(F.round(F.sum("w"), 6).alias("score"))
+    return top(scored, query_id, [F.col("score").desc(), id_col], k)
 
 
 def top(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
@@ -64,19 +137,82 @@ def top(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; null if the dimensions differ."""
-    double = lambda x: F.transform(x, lambda v: v.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(double(x), double(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.size(a) == F.size(b), dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
-
-
-def vector_top(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int = 30) -> DataFrame:
-    """The ``k`` nearest vectors of each query (a stated set, broadcast in blocks by Spark) by exact cosine."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q"))
-    scored = vectors.join(q, F.col(id_col) != F.col("query_id")).select("query_id", id_col, F.round(cosine(F.col("q"), F.col(vector)), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def _best(shared, id_col: str, vector: str, k: int):
+    """(query_id, id, score) of each slice's vectors that may be among the ``k`` nearest of a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units = shared.value
+        least = np.full(len(ids), -np.inf)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                x = np.stack(part.column(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
+                own = part.column(id_col).to_numpy()
+                scores = np.round(units @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+                scores[ids[:, None] == own[None, :]] = -np.inf
+                if len(own) >= k:
+                    least = np.maximum(least, np.partition(scores, len(own) - k, axis=1)[:, len(own) - k])
+                q, v = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+                yield pa.record_batch([pa.array(ids[q]), pa.array(own[v]), pa.array(scores[q, v])], names=["query_id", id_col, "score"])
+
+    return run
+
+
+def vector_top(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int = 30, block: int = 8192) -> DataFrame:
+    """The ``k`` nearest vectors of each query (a stated set) by exact cosine, rounded to 6 places; ids are longs.
+
+    Queries go to the tasks in blocks of about ``block`` vectors, each against
+    all rows; a task gives out only what may be among the nearest. Vectors of
+    another dimension, without length or null are not compared.
+    """
+    spark, found = queries.sparkSession, None
+    length = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    fit = lambda df, n: df.filter((F.size(vector) == n) & (length(F.col(vector)) > 0) & F.col(id_col).isNotNull()).select(id_col, vector)
+    sizes = {r[0]: r[1] for r in queries.groupBy(F.size(vector)).agg(F.count(F.lit(1))).collect() if r[0] and r[0] > 0}
+    for n, count in sorted(sizes.items()):
+        blocks = -(-count // block)
+        for i in range(blocks):
+            part = fit(queries, n).filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i).toArrow()
+            if not len(part):
+                continue
+            x = np.stack(part.column(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
+            shared = spark.sparkContext.broadcast((part.column(id_col).to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)))
+            near = fit(vectors, n).mapInArrow(_best(shared, id_col, vector, k), f"query_id long, {id_col} long, score double")
+            found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = spark.createDataFrame([], f"query_id long, {id_col} long, score double")
+    return top(found, "query_id", [F.col("score").desc(), id_col], k)
+
+
+def vector_ann(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int = 10, cells: int = 16, probes: int = 8, sample: int = 20_000) -> DataFrame:
+    """The ``k`` nearest vectors of each query among the cells nearest to it, by cosine.
+
+    Centres are fitted on ``sample`` vectors at most; every vector is in the
+    cell of its nearest centre, and a query meets ``probes`` of the ``cells``.
+    Vectors of another dimension than the queries' are an error.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = F.transform(F.col(vector), lambda v: v.cast("double") / F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
+    rows = saved(vectors.select(id_col, unit.alias("u")))
+    fitted = rows.orderBy(F.xxhash64(id_col)).limit(sample).select(array_to_vector("u").alias("features"))
+    centres = np.stack(KMeans(k=cells, seed=7, maxIter=10).fit(fitted).clusterCenters())
+
+    def nearest(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.stack(batch.column("u").to_numpy(zero_copy_only=False)) if len(batch) else np.zeros((0, centres.shape[1]))
+                order = np.argsort(((x[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1)[:, :n]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(order.tolist(), pa.list_(pa.int32()))], names=[id_col, "u", "cells"])
+
+        return run
+
+    dealt = lambda df, n: df.mapInArrow(nearest(n), f"{id_col} long, u array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+    asked = dealt(queries.select(id_col, unit.alias("u")), probes).select(F.col(id_col).alias("query_id"), F.col("u").alias("q"), "cell")
+    pairs = dealt(rows, 1).join(asked, "cell").filter(F.col("query_id") != F.col(id_col))
+    score = F.round(F.aggregate(F.zip_with("u", "q", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v), 6)
+    return top(pairs.select("query_id", id_col, score.alias("score")), "query_id", [F.col("score").desc(), id_col], k)
 
 
 def rank_fusion(*lists: DataFrame, query_id: str, id_col: str, k: int = 60) -> DataFrame:

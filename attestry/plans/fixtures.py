@@ -41,6 +41,8 @@ def with_views(sql: str) -> str:
     ctes = ", ".join(f"{n} AS ({VIEWS[n].replace('STRING', 'VARCHAR')})" for n in used)
     if not ctes:
         return sql
+    if sql.strip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql.strip()[15:]}"
     return f"WITH {ctes}, {sql.strip()[5:]}" if sql.strip().upper().startswith("WITH ") else f"WITH {ctes} {sql}"
 
 

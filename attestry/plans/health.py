@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestry.operators import metrics as E
-from attestry.operators.projections import ratio
 from attestry.plans.fixtures import Registry
 
 query = Registry()
@@ -70,11 +69,15 @@ def e4(jobs):
     return jobs.filter(F.col("state").isin(*ACTIVE)).groupBy("queue").agg(F.count_if(seen).alias("active"), F.count_if(~seen).alias("stale"))
 
 
-@query("e16_index_backlog", "documents labels", "SELECT lang, count(*) AS documents, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)) AS pending FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("e16_index_backlog", "documents labels", """SELECT lang AS namespace, count(*) AS documents, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS pending FROM documents d
+WHERE text IS NOT NULL AND source IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 3 <> 0) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) GROUP BY 1""")
 def e16(documents, labels):
-    done = labels.select(F.col("doc_id").alias("__done")).distinct()
-    found = documents.filter(F.col("text").isNotNull()).select("doc_id", "lang").join(done, F.col("doc_id") == F.col("__done"), "left")
-    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("__done").isNull()).alias("pending"))
+    """Waiting documents of each namespace, without withdrawn ones and those of sources that are not permitted."""
+    permitted = documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("n % 3 <> 0").select("source")
+    state = labels.groupBy(F.col("doc_id").alias("__done")).agg(F.max("toxic").alias("toxic"))
+    scope = documents.filter(F.col("text").isNotNull()).select("doc_id", "lang", "source").join(permitted, "source", "left_semi")
+    found = scope.join(state, F.col("doc_id") == F.col("__done"), "left").filter("coalesce(toxic, 0) <> 1")
+    return found.groupBy(F.col("lang").alias("namespace")).agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("__done").isNull()).alias("pending"))
 
 
 @query("e19_telemetry_latency", "fx_ops_events", "SELECT event_type, count(delay_s) AS sample_count, quantile_cont(delay_s, 0.5) AS p50, quantile_cont(delay_s, 0.95) AS p95, quantile_cont(delay_s, 0.99) AS p99 FROM fx_ops_events GROUP BY 1")
@@ -97,13 +100,6 @@ def e31(checks):
     return sets.agg(F.count(F.lit(1)).alias("minutes"), (F.count_if("up") / F.count(F.lit(1))).alias("availability"))
 
 
-@query("e39_history_rate", "fx_jobs", "SELECT queue, stage, count(*) AS n, CASE WHEN count(*) >= 5 THEN sum(completed) / count(*) END AS units_per_job FROM fx_jobs WHERE state = 'succeeded' GROUP BY 1, 2")
-def e39(jobs):
-    """Units by job of the same class; none while the sample is small."""
-    n = F.count(F.lit(1))
-    return jobs.filter("state = 'succeeded'").groupBy("queue", "stage").agg(n.alias("n"), ratio(F.sum("completed"), n, 5).alias("units_per_job"))
-
-
 @query("e42_source_health", "fx_checks", """SELECT source_id, last_success, n, error_rate, CASE WHEN last_success IS NULL THEN 'never' WHEN last_success < TIMESTAMP '2024-01-20' THEN 'late' WHEN error_rate > 0.25 THEN 'degraded' ELSE 'healthy' END AS state
 FROM (SELECT source_id, max(checked_at) FILTER (WHERE ok) AS last_success, count(*) AS n, count(*) FILTER (WHERE NOT ok) / count(*) AS error_rate FROM fx_checks GROUP BY 1)""")
 def e42(checks):

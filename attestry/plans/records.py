@@ -12,6 +12,7 @@ from attestry.operators import projections as B
 from attestry.operators import windows as W
 from attestry.operators.graph import connected_components
 from attestry.plans.fixtures import Registry
+from attestry.runtime import saved
 
 query = Registry()
 LINE = ["partkey", "line", "price"]
@@ -44,6 +45,20 @@ def project_state(projects, obs, customer, nation):
     return sheet.select("project_id", "status_raw", F.col("c_name").alias("person"), F.col("n_name").alias("nation"), "status", "considered", "conflict")
 
 
+@query("d1_project_sheet", "fx_projects customer", "SELECT project_id, status_raw, number, filing_year, initiative_type, c_name AS author, CASE WHEN corporation_id = 0 THEN 'chamber' ELSE 'senate' END AS origin FROM fx_projects JOIN customer ON person_id = c_custkey")
+def d1(projects, customer):
+    author = customer.select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("author"))
+    origin = F.when(F.col("corporation_id") == 0, "chamber").otherwise("senate")
+    return projects.join(author, "person_id").select("project_id", "status_raw", "number", "filing_year", "initiative_type", "author", origin.alias("origin"))
+
+
+@query("d2_with_catalog", "customer nation region", "SELECT c_custkey, n_name AS nation, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def d2(customer, nation, region):
+    """Small catalogues (25 and 5 rows by the schema) are broadcast."""
+    named = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return named.select("c_custkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+
+
 @query("b1_envelope", "orders", """SELECT '1' AS schema_version, 'project' AS record_type, CAST(o_orderkey AS VARCHAR) AS external_id, '{"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}' AS normalized FROM orders""")
 def b1(orders):
     return B.to_envelope(orders, "project", "o_orderkey", status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"))
@@ -336,16 +351,11 @@ def k4(docs):
     return K.paginate(docs, "doc_id", "text").select("doc_id", F.col("page").cast("long").alias("page"), F.md5("page_text").alias("page_md5"))
 
 
-@query("k7_chunk", "documents", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0b]+') AS w FROM documents), o AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 100) / 700) AS BIGINT)))) AS ordinal FROM w WHERE len(w) > 0)
-SELECT doc_id, ordinal, ordinal * 700 AS first_token, len(w[ordinal * 700 + 1 : ordinal * 700 + 800]) AS n_tokens, md5(array_to_string(w[ordinal * 700 + 1 : ordinal * 700 + 800], ' ')) AS chunk_md5 FROM o""")
-def k7(docs):
-    found = K.chunk(docs, "doc_id", "text")
-    return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("ordinal", "first_token", "n_tokens")], F.md5("chunk_text").alias("chunk_md5"))
-
-
-@query("k9_inverted_index", "documents", r"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2")
+@query("k9_inverted_index", "documents", r"SELECT doc_id, term, tf, CAST(count(*) OVER (PARTITION BY term) AS BIGINT) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2)")
 def k9(docs):
-    return K.terms(docs, "doc_id", "text")
+    """The index is written; document frequencies come from it, summed before they are shuffled."""
+    index = saved(K.terms(docs, "doc_id", "text"))
+    return index.join(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
 
 
 @query("k10_lexical", "benchmark documents", r"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS dl FROM t GROUP BY 1), n AS (SELECT count(*) AS n, avg(dl) AS a FROM l), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestry.operators import metrics as E
@@ -160,15 +161,16 @@ def e33(jobs):
 
 @query("e34_route_mix", "events", "SELECT event_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM events GROUP BY 1")
 def e34(events):
-    from pyspark.sql import Window
-
     counts = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-@query("e35_evaluate", "labels documents", "SELECT lang, count(*) AS n, avg(quality) AS quality, avg(1 - toxic) AS clean FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+@query("e35_evaluate", "labels documents", "SELECT source AS corpus, doc_id % 2 AS version, count(*) AS n, avg(quality) AS exact, count(*) FILTER (WHERE quality = 0 AND toxic = 0) / count(*) AS abstained, avg(1 - toxic) AS supported FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
 def e35(labels, docs):
-    return labels.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("quality"), F.avg(1 - F.col("toxic")).alias("clean"))
+    """Scores by corpus and version: exact matches, abstentions, supported answers."""
+    n = F.count(F.lit(1))
+    cases = labels.join(docs.select("doc_id", F.col("source").alias("corpus")), "doc_id").withColumn("version", F.col("doc_id") % 2)
+    return cases.groupBy("corpus", "version").agg(n.alias("n"), F.avg("quality").alias("exact"), (F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0)) / n).alias("abstained"), F.avg(1 - F.col("toxic")).alias("supported"))
 
 
 @query("e38_bound_dims", "events", "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT user_id FROM c ORDER BY n DESC, user_id LIMIT 10) SELECT CASE WHEN t.user_id IS NULL THEN 'other' ELSE CAST(c.user_id AS VARCHAR) END AS label, CAST(sum(n) AS BIGINT) AS n FROM c LEFT JOIN t ON c.user_id = t.user_id GROUP BY 1")
