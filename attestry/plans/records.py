@@ -262,6 +262,12 @@ def d20(orders, lineitem, supplier, nation):
     return D.lineage(_flow_edges(lineitem, supplier, nation), starts, 4)
 
 
+@query("f1_status_projection", "fx_observations", f"WITH p AS (SELECT subject_id, value, row_number() OVER (PARTITION BY subject_id ORDER BY {RULE}) AS r FROM fx_observations) SELECT subject_id, p.value, considered, conflict FROM p JOIN (SELECT subject_id, count(*) AS considered, count(DISTINCT value) > 1 AS conflict FROM fx_observations GROUP BY 1) USING (subject_id) WHERE r = 1")
+def f1(obs):
+    """The status by the order of the rules, how many observations were considered, and whether they conflict."""
+    return W.status_projection(obs, "subject_id", "value", _rule())
+
+
 @query("f2_current_votes", "fx_vote_obs", "WITH c AS (SELECT *, row_number() OVER (PARTITION BY voting_id, person_id ORDER BY observed_at DESC, partkey, line, price) AS r FROM fx_vote_obs) SELECT voting_id, person_id, vote, considered, conflict FROM c JOIN (SELECT voting_id, person_id, count(*) AS considered, count(DISTINCT vote) > 1 AS conflict FROM fx_vote_obs GROUP BY 1, 2) USING (voting_id, person_id) WHERE r = 1")
 def f2(votes):
     keys = ["voting_id", "person_id"]

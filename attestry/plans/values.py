@@ -151,7 +151,12 @@ def j1(documents):
     return embed(documents, "doc_id", "text")
 
 
-@query("j2_rerank", "benchmark documents")
+@query("j2_rerank", "benchmark documents", r"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS dl FROM t GROUP BY 1), n AS (SELECT count(*) AS n, avg(dl) AS a FROM l), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM q JOIN t USING (term) JOIN d USING (term) JOIN l USING (doc_id) CROSS JOIN n GROUP BY 1, 2),
+lex AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 30),
+w AS (SELECT lex.item_id, lex.doc_id, list_distinct(regexp_extract_all(lower(b.text), '[^ \t\n\r\f\x0b]+')) AS a, list_distinct(regexp_extract_all(lower(x.text), '[^ \t\n\r\f\x0b]+')) AS b FROM lex JOIN benchmark b USING (item_id) JOIN documents x USING (doc_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(len(list_intersect(a, b)) / greatest(1, len(a)), 6) AS score FROM w)) WHERE rank <= 8""")
 def j2(benchmark, documents):
     """Of the lexical hits the eight that share most words with the query, by a scorer that takes batches."""
 
