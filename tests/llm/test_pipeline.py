@@ -57,3 +57,74 @@ def test_stages_decide_by_row_where_ids_are_null_or_repeat(spark, tmp_path):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in decontamination_stage(spark, df, str(tmp_path)).collect()), key=str)
     assert got == sorted([x for x in docs if x[1] != leak], key=str)
+
+
+def test_every_stage_matches_plain_definitions_on_the_documents(spark):
+    """Ids that each stage keeps on sf0.001, against brute force over whole texts."""
+    import re
+    from collections import defaultdict
+
+    from test_edges import slow_quality
+
+    import corpus_pipeline
+    from attestry.llm.decontaminate import MATCH, align, needed, words
+    from attestry.llm.tokens import WordTokens, tokenizer_path
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "simhash_near_duplicates", "benchmark_decontamination", "personal_data", "best_fit_packing"]
+
+    rows = docs.collect()
+    judged = slow_quality([(r.text, r.source) for r in rows], 20)
+    kept = corpus_pipeline.saved(stages["quality_rules"](spark, docs, sf))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r, (ok, _) in zip(rows, judged) if ok)
+
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    unique = corpus_pipeline.saved(stages["simhash_near_duplicates"](spark, kept, sf))
+    assert unique.columns == docs.columns and sorted(r.doc_id for r in unique.collect()) == slow_kept(texts)
+
+    def leaks_item(text):
+        own = words(text)
+        return any(w and own and align(w, own)[0] >= needed(len(w), 0.5) for w in items)
+
+    clean = corpus_pipeline.saved(stages["benchmark_decontamination"](spark, unique, sf))
+    assert MATCH == 2 and clean.columns == docs.columns
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in unique.collect() if not leaks_item(r.text))
+
+    masked = corpus_pipeline.saved(stages["personal_data"](spark, clean, sf))
+    before = {r.doc_id: r.text for r in clean.collect()}
+    after = {r.doc_id: r.text for r in masked.collect()}
+    assert masked.columns == docs.columns and set(after) == set(before)
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|\+1 \(\d{3}\) 555-\d{4}")
+    assert not any(plain.search(t) for t in after.values())
+    assert all(after[i] == t or re.search(r"\[(EMAIL|IP|CARD|PHONE|SECRET)\]", after[i]) for i, t in before.items())
+
+    own, held = WordTokens.of(tokenizer_path()), defaultdict(list)
+    packed = stages["best_fit_packing"](spark, masked, sf).collect()
+    for r in packed:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 2048 and sorted(x)[0][0] == 0 for x in held.values())
+    sizes = defaultdict(int)
+    for r in packed:
+        sizes[r.doc_id] += r.length
+    assert dict(sizes) == {i: len(own.encode(t or "")) // 4 + 1 for i, t in after.items()}
+
+
+def test_stages_on_null_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key string, cls int"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, None, None, None, None, "k", 1), (1, "", None, None, 0, None, None), (2, long, "en", None, len(long), "k", 2), (2, long, "en", None, len(long), "k", 2)]
+    for data, left in ((rows, 1), ([], 0)):
+        docs = spark.createDataFrame(data, kind)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.saved(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == [x.split()[0] for x in kind.split(", ")], name
+        assert docs.count() == left
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert all(r.length == 2048 for r in pieces if r.piece < len(pieces) - 1) and (len(pieces) > 15) == bool(left)
