@@ -22,7 +22,10 @@ def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines above the limits."""
+    """Documents that the quality rules keep, without the lines above the limits.
+
+    Null and empty texts fail the rules; repeated rows are judged alike.
+    """
     judged = quality_rules(docs).filter("kept")
     return _with_text(docs, judged, "clean_text")
 
@@ -48,14 +51,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy of a benchmark item."""
+    """Documents that hold no copy of a benchmark item; rows are judged by id and text together."""
     docs = _keyed(docs)
     found = leaks(docs, read_table(spark, sf_dir, "benchmark"), "__key").select(F.col("id").alias("__key")).distinct()
     return docs.join(found, "__key", "left_anti").drop("__key")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; null texts stay null and no row goes."""
     changed = redact(docs)
     return _with_text(docs, changed, "text")
 
@@ -73,11 +76,16 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Fingerprints, alignment and the tokenizer are beyond SQL.
+#: Alignment and the tokenizer are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in their order over the table of documents; each reads what the one before wrote.
+
+    Null ids and texts, repeated rows, empty tables and further columns are as
+    the stages say. The rows are the last stage's: one for each piece.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
