@@ -150,7 +150,8 @@ def moving_anomaly(daily: DataFrame, key: str, day: str, n: str, before: int, k:
     """Days whose count lies more than ``k`` deviations from the mean of the days before."""
     w = Window.partitionBy(key).orderBy(day).rowsBetween(-before, -1)
     scored = daily.withColumn("mean", F.avg(n).over(w)).withColumn("deviation", F.stddev_samp(n).over(w))
-    return scored.filter(F.abs(F.col(n) - F.col("mean")) > k * F.col("deviation"))
+    # Rounded, so that a count right on the limit is one on every machine.
+    return scored.filter(F.round(F.abs(F.col(n) - F.col("mean")), 9) > F.round(k * F.col("deviation"), 9))
 
 
 def illegal_transitions(df: DataFrame, key: str, state: str, order: list[str], allowed: set[tuple[str, str]]) -> DataFrame:

@@ -229,7 +229,7 @@ def f20(jobs):
 
 @query("f22_volume_anomaly", "events", """WITH g AS (SELECT DISTINCT user_id FROM events), c AS (SELECT CAST(unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS DATE) AS day FROM events),
 d AS (SELECT g.user_id, c.day, count(e.event_id) AS n FROM g CROSS JOIN c LEFT JOIN events e ON e.user_id = g.user_id AND CAST(e.ts AS DATE) = c.day GROUP BY 1, 2)
-SELECT user_id, day, n FROM (SELECT *, avg(n) OVER w AS m, stddev_samp(n) OVER w AS s FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) WHERE abs(n - m) > 1.5 * s""")
+SELECT user_id, day, n FROM (SELECT *, avg(n) OVER w AS m, stddev_samp(n) OVER w AS s FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) WHERE round(abs(n - m), 9) > round(1.5 * s, 9)""")
 def f22(events):
     """Every day of every source is in the grid, so that a day without events counts 0."""
     day = F.to_date("ts")
