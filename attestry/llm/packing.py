@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.text import slices
 from attestry.llm.tokens import WordTokens, tokenizer_path
-from attestry.runtime import saved
+from attestry.runtime import broadcast_if_small, saved
 from attestry.sources.tables import read_table
 
 CAPACITY = 2048
@@ -33,6 +33,8 @@ ROUNDS, PRICINGS, BATCH = 6, 60, 1024
 #: Share of a length's count that one step covers, the rate of the weights, and
 #: how far from the best a configuration of the same pricing may lie.
 STEP, RATE, SLACK = 0.2, 1.0, 0.1
+#: Ranks in a bin in which pieces and slots meet.
+RANKS = 256
 #: Most room that a rounded configuration may leave.
 ROOM = 16
 #: Pieces of a rounded configuration, as a multiple of the mean number in a sequence.
@@ -206,11 +208,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             taken[length] += n
             offset += length
         first += n
-    # Bounded by the configurations of the program, whatever the input.
+    # Slots are dealt to bins of ranks, so that a piece meets only those near its own rank.
     slots = spark.createDataFrame(slots, "length long, low long, high long, first long, offset long")
+    slots = slots.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / RANKS), F.floor((F.col("high") - 1) / RANKS))))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = cut.join(counts.select("task", "length", before.alias("before")), ["task", "length"]).withColumn("at", F.col("before") + F.col("rank"))
-    placed = ranked.join(F.broadcast(slots), (ranked.length == slots.length) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).drop(slots.length)
+    ranked = ranked.withColumn("bin", F.floor(F.col("at") / RANKS))
+    placed = ranked.join(broadcast_if_small(saved(slots)), ["length", "bin"]).filter((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
     return placed.select("id", "piece", "start", "length", "crc", (F.col("first") + F.col("at") - F.col("low")).alias("sequence_id"), "offset")
 
 
