@@ -8,9 +8,10 @@ share a shingle among the first n - ceil(t n) + 1 of each, so texts that are
 not connected yet meet by those and are verified as well. Shingles that are
 common in a part of the texts come last in the order; this changes the cost and
 not the result. In each bucket all texts are first held against one; pairs that
-are connected by then need no check, all others are checked. Before the sets
-themselves meet, counts of their shingles by ranges of the hash bound what two
-of them can share, which leaves out most pairs and none at the limit.
+are connected by then need no check, all others are compared inside the bucket's
+task by bit maps of their shingles. Bit maps, and counts of shingles by ranges
+of the hash, bound what two sets can share: only pairs that may be at the limit
+leave a task and meet with their sets, and none at the limit is left out.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ COMMON, MAX_COMMON = 8, 2_000_000
 SPAN = 256
 #: Least and most ranges of the hash in which shingles are counted; a set has about half as many as shingles.
 RANGES = (128, 1 << 15)
+#: Least and most bits of the map of a set; it has some eight times as many as shingles.
+BITS = (256, 2048)
+#: Rows of a bucket that meet in one task, and rows that are compared with all of those at a time.
+CHUNK, ROWS = 2048, 32
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -79,11 +84,77 @@ def most_shared(a: np.ndarray, b: np.ndarray) -> float:
     return math.inf if (full.any(axis=1) | (b == 255)).any() else float(least.sum())
 
 
+def bit_map(own: np.ndarray) -> np.ndarray:
+    """A bit for each value of the low bits of the shingles, as bytes; the bits are a power of two."""
+    bits = BITS[0]
+    while bits < min(8 * len(own), BITS[1]):
+        bits *= 2
+    out = np.zeros(bits, np.uint8)
+    out[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little")
+
+
+def possible_pairs(n: np.ndarray, maps: list[bytes], limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j or i of the smaller map, of sets of sizes ``n`` that may reach the similarity by their bit maps.
+
+    A bit that only one map has stands for a shingle that the other set lacks.
+    """
+    width = np.array([len(m) for m in maps])
+    for w in np.unique(width):
+        one = np.flatnonzero(width == w)
+        x = np.stack([np.frombuffer(maps[i], np.uint64) for i in one])
+        wide = np.flatnonzero(width == 2 * w)
+        both, y = one, x
+        if len(wide):  # a map of twice the bits folds to this one
+            z = np.stack([np.frombuffer(maps[i], np.uint64) for i in wide])
+            both, y = np.r_[one, wide], np.concatenate([x, z[:, : z.shape[1] // 2] | z[:, z.shape[1] // 2 :]])
+        for at in range(0, len(one), ROWS):
+            rows = np.arange(at, min(at + ROWS, len(one)))
+            own, other = n[one[rows]][:, None], n[both][None, :]
+            shared = np.bitwise_count(x[rows][:, None, :] & y[None]).sum(axis=2, dtype=np.int64)
+            lacks = np.bitwise_count(x[rows]).sum(axis=1, dtype=np.int64)[:, None] - shared
+            misses = np.bitwise_count(y).sum(axis=1, dtype=np.int64)[None, :] - shared
+            most = np.minimum(own - lacks, other - misses)
+            i, j = np.nonzero((most * (1 + limit) >= limit * (own + other) - 1e-6) & (np.arange(len(both))[None, :] > rows[:, None]))
+            yield one[rows[i]], both[j]
+
+
+def _bucket_pairs(limit: float):
+    """(a, b, n, p, q) of the pairs of each bucket that may be at the limit and whose parts differ; batches are sorted by bucket."""
+
+    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        cls, n, part = (rows.column(c).to_numpy() for c in ("cls", "n", "part"))
+        for i, j in possible_pairs(n, rows.column("bits").to_pylist(), limit):
+            differ = part[i] != part[j]
+            i, j = i[differ], j[differ]
+            yield pa.record_batch([pa.array(x) for x in (cls[i], cls[j], (n[i] + n[j]).astype(np.int32), part[i], part[j])], names=["a", "b", "n", "p", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and tuple(key[a]) != last:
+                    yield from pairs(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(key[a])
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
 def _signs(common, width: int, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = common.value
         for batch in slices(batches):
-            cls, prints, size, counts, first = [], [], [], [], []
+            cls, prints, size, counts, bits, first = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, width)
                 own = np.unique(hashes)
@@ -91,14 +162,15 @@ def _signs(common, width: int, limit: float):
                 prints.append(fingerprint_of(hashes))
                 size.append(len(own))
                 counts.append(range_counts(own).tobytes())
+                bits.append(bit_map(own).tobytes())
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.searchsorted(known, own).clip(max=len(known) - 1)
                     weight = np.where(known[at] == own, times[at], 0)
                 first.append(own[np.lexsort((own, weight))[: prefix_size(len(own), limit)]].view(np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, prints)]
-            rest = [pa.array(size, pa.int32()), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), *signed, *rest], names=["key", "cls", "fp", "n", "counts", "first"])
+            rest = [pa.array(size, pa.int32()), pa.array(counts, pa.binary()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), *signed, *rest], names=["key", "cls", "fp", "n", "counts", "bits", "first"])
 
     return run
 
@@ -158,27 +230,22 @@ def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text",
     kind = texts.schema["key"].dataType.simpleString()
     common = spark.sparkContext.broadcast(_common(texts, width))
     # Equal sets are one class (cls).
-    signs = saved(texts.mapInArrow(_signs(common, width, limit), f"key {kind}, cls long, fp long, n int, counts binary, first array<long>"))
+    signs = saved(texts.mapInArrow(_signs(common, width, limit), f"key {kind}, cls long, fp long, n int, counts binary, bits binary, first array<long>"))
     counts = signs.groupBy("cls").agg(F.min("counts").alias("counts"))
 
     def alike(m: Column, n: Column) -> Column:
         return F.least(m, n) >= limit * F.greatest(m, n) - 1e-9
 
-    def with_part(rows: DataFrame, parts: DataFrame | None, name: str) -> DataFrame:
-        """``rows`` with the connected part of the class in the struct ``name``; its own if it has no link."""
-        cls = F.col(f"{name}.cls")
-        if parts is None:
-            return rows.withColumn(f"{name}_part", cls)
-        moved = parts.select(F.col("node").alias("__node"), "component")
-        return rows.join(moved, cls == F.col("__node"), "left").withColumn(f"{name}_part", F.coalesce("component", cls)).drop("__node", "component")
-
-    def links(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
-        """(p, q): parts of the pairs (x, y) of classes that reach the similarity and are not connected yet."""
-        pairs = pairs.filter((F.col("x.cls") != F.col("y.cls")) & alike(F.col("x.n"), F.col("y.n")))
-        pairs = with_part(with_part(pairs, parts, "x"), parts, "y").filter("x_part != y_part")
-        pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x_part").alias("p"), F.col("y_part").alias("q")).distinct()
+    def named(pairs: DataFrame) -> DataFrame:
+        """(a, b, n, p, q) of pairs (x, y) of classes: both classes, the sum of their sizes, and their parts before any link."""
+        open_ = pairs.filter((F.col("x.cls") != F.col("y.cls")) & alike(F.col("x.n"), F.col("y.n")))
+        a, b = F.col("x.cls"), F.col("y.cls")
+        return open_.select(a.alias("a"), b.alias("b"), (F.col("x.n") + F.col("y.n")).alias("n"), a.alias("p"), b.alias("q"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """(p, q): parts of the pairs that reach the similarity."""
         one, other = (counts.select(F.col("cls").alias(c), F.col("counts").alias(f"counts_{c}")) for c in "ab")
-        pairs = saved(pairs.join(one, "a").join(other, "b").mapInArrow(_possible(limit), "a long, b long, p long, q long"))
+        pairs = saved(pairs.distinct().join(one, "a").join(other, "b").mapInArrow(_possible(limit), "a long, b long, p long, q long"))
         used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         # The texts are shuffled only for many keys.
         keys = broadcast_if_small(saved(signs.select("cls", "key").join(used, "cls").groupBy("cls").agg(F.min("key").alias("key"))))
@@ -196,21 +263,24 @@ def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text",
     prints = saved(signs.groupBy("fp").agg(F.min(entry).alias("x")))
     linked = fingerprint_links(prints.select("fp"), radius).join(prints.select(F.col("fp").alias("a"), "x"), "a").join(prints.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
     equal = signs.select("fp", entry.alias("y")).join(prints, "fp")
-    found = links(linked.select("x", "y").union(equal.select("x", "y")), None)
-    parts = connected_components(found, "p", "q")
-    # The exact rest: buckets of shingles in which several classes meet.
+    # The exact rest: buckets of shingles in which several classes meet, each held against one of the bucket.
     rows = signs.select("cls", "n", F.explode("first").alias("h"))
     shared = broadcast_if_small(saved(rows.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("h")))
     rows = saved(rows.join(shared, "h", "left_semi").distinct().select("h", entry.alias("x")))
-    for star in (True, False):
-        placed = with_part(rows, parts, "x")
-        open_ = placed.groupBy("h").agg(F.min("x").alias("y"), F.min("x_part").alias("low"), F.max("x_part").alias("high")).filter("low < high").select("h", "y")
-        placed = placed.join(open_, "h")
-        if not star:
-            placed = saved(placed.select("h", "x", "x_part"))
-            other = placed.select("h", F.col("x").alias("y"), F.col("x_part").alias("y_part"))
-            placed = placed.join(other, "h").filter("x.cls < y.cls AND x_part != y_part")
-        found = found.union(links(placed.select("x", "y"), parts))
-        parts = connected_components(found, "p", "q")
-    named = signs.select("key", "cls").join(parts, F.col("cls") == F.col("node"), "left")
-    return named.select("key", F.coalesce("component", "cls").alias("component"))
+    centres = rows.groupBy("h").agg(F.min("x").alias("y"))
+    met = linked.select("x", "y").union(equal.select("x", "y")).union(rows.join(centres, "h").select("x", "y"))
+    found = links(named(met))
+    parts = connected_components(found, "p", "q")
+    # Then all pairs of a bucket whose parts are not connected yet; a large bucket is dealt to several tasks.
+    moved = parts.select(F.col("node").alias("cls"), "component")
+    placed = rows.select("h", "x.*").join(moved, "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
+    mixed = placed.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("c")).filter("low < high").select("h", "c")
+    maps = signs.groupBy("cls").agg(F.min("bits").alias("bits"))
+    placed = placed.join(mixed, "h").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int"))
+    other = F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, c - 1), x -> x != i)"))
+    placed = placed.withColumn("other", F.explode(other)).select("h", "cls", "n", "part", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j")).join(maps, "cls")
+    dealt = placed.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    more = links(dealt.mapInArrow(_bucket_pairs(limit), "a long, b long, n int, p long, q long"))
+    parts = connected_components(found.union(more), "p", "q")
+    all_ = signs.select("key", "cls").join(parts, F.col("cls") == F.col("node"), "left")
+    return all_.select("key", F.coalesce("component", "cls").alias("component"))

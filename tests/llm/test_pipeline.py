@@ -128,3 +128,26 @@ def test_stages_on_null_and_empty_tables(spark, tmp_path):
         assert docs.count() == left
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
         assert all(r.length == 2048 for r in pieces if r.piece < len(pieces) - 1) and (len(pieces) > 15) == bool(left)
+
+
+def test_bit_maps_and_range_counts_leave_out_no_pair_at_the_limit():
+    import numpy as np
+
+    from attestry.llm.neardup import bit_map, most_shared, possible_pairs, range_counts, similarity
+
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, rng.choice([0, 1, 3, 30, 60, 250, 600]), dtype=np.uint64)
+        for _ in range(3):
+            own = base.copy()
+            own[rng.random(len(own)) < rng.choice([0, 0.05, 0.1, 0.3])] += np.uint64(1 << 40)
+            sets.append(np.unique(own))
+    n, maps = np.array([len(x) for x in sets]), [bit_map(x).tobytes() for x in sets]
+    found = {tuple(sorted(p)) for i, j in possible_pairs(n, maps, 0.8) for p in zip(i.tolist(), j.tolist())}
+    every = [(i, j) for j in range(len(sets)) for i in range(j)]
+    near = {(i, j) for i, j in every if similarity(sets[i], sets[j]) >= 0.8}
+    assert near <= found and len(found) < 0.2 * len(every)
+    for i, j in every:
+        both = len(np.intersect1d(sets[i], sets[j]))
+        assert most_shared(range_counts(sets[i]), range_counts(sets[j])) >= both
