@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from attestry.llm import decontaminate, dialogue, divergence, edits, fixity, langid, packing, pii, quality, simhash, substrings, urls
+from attestry.llm import decontaminate, dialogue, divergence, edits, fixity, langid, packing, pii, pivots, quality, simhash, substrings, urls
 
-MODULES = [edits, decontaminate, pii, packing, quality, langid, substrings, simhash, urls, fixity, dialogue, divergence]
+MODULES = [edits, decontaminate, pii, packing, quality, langid, substrings, simhash, urls, fixity, dialogue, pivots, divergence]
 
 
 def queries() -> dict[str, Callable]:
