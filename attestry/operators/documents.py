@@ -71,13 +71,6 @@ def chunk_violations(chunks: DataFrame, keys: list[str], size: int = 800, overla
     return chunks.withColumn("dense", dense).filter(~F.col("dense") | ~fits)
 
 
-def line_diff(old: Column, new: Column) -> Column:
-    """Array of (page, old, new) of the lines of two texts by their place; the side that a text lacks is null."""
-    a, b = F.split(old, "\n"), F.split(new, "\n")
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("old"), y.alias("new")))
-    return F.transform(pairs, lambda p, i: F.struct((i + 1).alias("page"), p["old"].alias("old"), p["new"].alias("new")))
-
-
 def near_candidates(docs: DataFrame, id_col: str, text: str, bands: int = 8, rows: int = 4) -> DataFrame:
     """(id, rep): documents with one whose MinHash over three-word shingles equals theirs in a band; candidates for review.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from attestry.plans import checks, evidence, health, records, retrieval, streams, telemetry, values
+from attestry.plans import checks, evidence, health, records, retrieval, streams, telemetry, values, versions
 
-MODULES = [records, telemetry, health, checks, values, evidence, retrieval, streams]
+MODULES = [records, telemetry, health, checks, values, evidence, retrieval, versions, streams]
 
 
 def queries() -> dict[str, Callable]:

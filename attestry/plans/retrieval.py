@@ -138,34 +138,6 @@ def k17(benchmark, documents):
     return found.select("item_id", "doc_id", "rank", F.lit("VECTORS_UNAVAILABLE").alias("warning"))
 
 
-NORM = "trim(regexp_replace(translate(lower({t}), 'áéíóúüñ', 'aeiouun'), '[^a-z0-9]+', ' ', 'g'))"
-LABEL = f"CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' WHEN o = n THEN 'same' WHEN {NORM.format(t='o')} = {NORM.format(t='n')} THEN 'noise' WHEN string_split(o, ' ')[1] = string_split(n, ' ')[1] THEN 'uncertain' ELSE 'changed' END"
-DIFF = f"""p AS (SELECT a.document_id, a.seq, string_split(b.text, chr(10)) AS ol, string_split(a.text, chr(10)) AS nl FROM fx_revisions a JOIN fx_revisions b ON a.document_id = b.document_id AND a.seq = b.seq + 1),
-x AS (SELECT document_id, seq, page, ol[page] AS o, nl[page] AS n FROM (SELECT *, unnest(range(1, greatest(len(ol), len(nl)) + 1)) AS page FROM p)), y AS (SELECT document_id, seq, page, {LABEL} AS label FROM x)"""
-
-
-def _compared(revisions):
-    """Lines of each revision beside those of the one before, by their place."""
-    pairs = D.supersedes(revisions, "document_id", "seq", ["text"]).filter("previous_text IS NOT NULL")
-    lines = pairs.select("document_id", "seq", F.explode(K.line_diff(F.col("previous_text"), F.col("text"))).alias("x")).select("document_id", "seq", "x.*")
-    norm = lambda c: F.trim(F.regexp_replace(F.translate(F.lower(c), "áéíóúüñ", "aeiouun"), "[^a-z0-9]+", " "))
-    first = lambda c: F.element_at(F.split(c, " "), 1)
-    label = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "same").when(norm("old") == norm("new"), "noise").when(first("old") == first("new"), "uncertain").otherwise("changed")
-    return lines.select("document_id", "seq", F.col("page").cast("long").alias("page"), label.alias("label"))
-
-
-@query("k18_compare_versions", "fx_revisions", f"WITH {DIFF} SELECT * FROM y")
-def k18(revisions):
-    return _compared(revisions)
-
-
-@query("k19_noise_class", "fx_revisions", f"WITH {DIFF} SELECT document_id, seq, count(*) FILTER (WHERE label = 'noise') AS noise, count(*) FILTER (WHERE label IN ('added', 'removed', 'changed', 'uncertain')) AS substance FROM y GROUP BY 1, 2")
-def k19(revisions):
-    """Changes of form apart from changes of substance."""
-    n = lambda *labels: F.count_if(F.col("label").isin(*labels))
-    return _compared(revisions).groupBy("document_id", "seq").agg(n("noise").alias("noise"), n("added", "removed", "changed", "uncertain").alias("substance"))
-
-
 @query("k20_near_candidates", "documents")
 def k20(documents):
     return K.near_candidates(documents, "doc_id", "text")

@@ -189,21 +189,6 @@ def j3(documents):
     return spark.sql("SELECT doc_id, ordinal, md5(chunk) AS chunk_md5 FROM {docs} d, LATERAL chunks(d.text, 800, 100)", docs=documents)
 
 
-@query("j4_diff_versions", "fx_revisions", """WITH l AS (SELECT DISTINCT document_id, seq, line FROM (SELECT document_id, seq, unnest(string_split(text, chr(10))) AS line FROM fx_revisions)), p AS (SELECT a.document_id, a.seq FROM fx_revisions a JOIN fx_revisions b ON a.document_id = b.document_id AND a.seq = b.seq + 1)
-SELECT p.document_id, p.seq, (SELECT count(*) FROM l WHERE l.document_id = p.document_id AND l.seq = p.seq AND NOT EXISTS (SELECT 1 FROM l o WHERE o.document_id = l.document_id AND o.seq = l.seq - 1 AND o.line = l.line)) AS added,
-(SELECT count(*) FROM l WHERE l.document_id = p.document_id AND l.seq = p.seq - 1 AND NOT EXISTS (SELECT 1 FROM l o WHERE o.document_id = l.document_id AND o.seq = l.seq + 1 AND o.line = l.line)) AS removed FROM p""")
-def j4(revisions):
-    """Lines that a revision adds and removes; a group is the two texts of a pair."""
-    before = revisions.select("document_id", (F.col("seq") + 1).alias("seq"), F.col("text").alias("old"))
-    pairs = revisions.select("document_id", "seq", F.col("text").alias("new")).join(before, ["document_id", "seq"])
-
-    def diff(pair: pd.DataFrame) -> pd.DataFrame:
-        old, new = (set(pair[c].iloc[0].split("\n")) for c in ("old", "new"))
-        return pd.DataFrame({"document_id": pair.document_id[:1], "seq": pair.seq[:1], "added": [len(new - old)], "removed": [len(old - new)]})
-
-    return pairs.groupBy("document_id", "seq").applyInPandas(diff, "document_id long, seq long, added long, removed long")
-
-
 @query("j6_sql_functions", "customer lineitem", "SELECT 'name' AS kind, regexp_replace(translate(lower(trim(c_name)), 'áéíóúüñ', 'aeiouun'), '\\s+', ' ', 'g') AS value, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'vote', CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'N' THEN 'no' ELSE 'other' END, count(*) FROM lineitem GROUP BY 2")
 def j6(customer, lineitem):
     spark = customer.sparkSession
