@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.runtime import broadcast_if_small, saved
 
-#: Vectors that a task compares with a block of queries at a time.
-SLICE = 1024
 #: A line that is a heading: short and without a full stop.
 HEADING = r"^[^.]{1,40}$"
 
@@ -130,84 +124,6 @@ def top(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def _best(shared, id_col: str, vector: str, k: int):
-    """(query_id, id, score) of each slice's vectors that may be among the ``k`` nearest of a query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, units = shared.value
-        least = np.full(len(ids), -np.inf)
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                x = np.stack(part.column(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
-                own = part.column(id_col).to_numpy()
-                scores = np.round(units @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-                scores[ids[:, None] == own[None, :]] = -np.inf
-                if len(own) >= k:
-                    least = np.maximum(least, np.partition(scores, len(own) - k, axis=1)[:, len(own) - k])
-                q, v = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-                yield pa.record_batch([pa.array(ids[q]), pa.array(own[v]), pa.array(scores[q, v])], names=["query_id", id_col, "score"])
-
-    return run
-
-
-def vector_top(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int = 30, block: int = 8192) -> DataFrame:
-    """The ``k`` nearest vectors of each query (a stated set) by exact cosine, rounded to 6 places; ids are longs.
-
-    Queries go to the tasks in blocks of about ``block`` vectors, each against
-    all rows; a task gives out only what may be among the nearest. Vectors of
-    another dimension, without length or null are not compared.
-    """
-    spark, found = queries.sparkSession, None
-    length = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v)
-    fit = lambda df, n: df.filter((F.size(vector) == n) & (length(F.col(vector)) > 0) & F.col(id_col).isNotNull()).select(id_col, vector)
-    sizes = {r[0]: r[1] for r in queries.groupBy(F.size(vector)).agg(F.count(F.lit(1))).collect() if r[0] and r[0] > 0}
-    for n, count in sorted(sizes.items()):
-        blocks = -(-count // block)
-        for i in range(blocks):
-            part = fit(queries, n).filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i).toArrow()
-            if not len(part):
-                continue
-            x = np.stack(part.column(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
-            shared = spark.sparkContext.broadcast((part.column(id_col).to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)))
-            near = fit(vectors, n).mapInArrow(_best(shared, id_col, vector, k), f"query_id long, {id_col} long, score double")
-            found = near if found is None else found.unionByName(near)
-    if found is None:
-        found = spark.createDataFrame([], f"query_id long, {id_col} long, score double")
-    return top(found, "query_id", [F.col("score").desc(), id_col], k)
-
-
-def vector_ann(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int = 10, cells: int = 16, probes: int = 8, sample: int = 20_000) -> DataFrame:
-    """The ``k`` nearest vectors of each query among the cells nearest to it, by cosine.
-
-    Centres are fitted on ``sample`` vectors at most; every vector is in the
-    cell of its nearest centre, and a query meets ``probes`` of the ``cells``.
-    Vectors of another dimension than the queries' are an error.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = F.transform(F.col(vector), lambda v: v.cast("double") / F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
-    rows = saved(vectors.select(id_col, unit.alias("u")))
-    fitted = rows.orderBy(F.xxhash64(id_col)).limit(sample).select(array_to_vector("u").alias("features"))
-    centres = np.stack(KMeans(k=cells, seed=7, maxIter=10).fit(fitted).clusterCenters())
-
-    def nearest(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = np.stack(batch.column("u").to_numpy(zero_copy_only=False)) if len(batch) else np.zeros((0, centres.shape[1]))
-                order = np.argsort(((x[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1)[:, :n]
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(order.tolist(), pa.list_(pa.int32()))], names=[id_col, "u", "cells"])
-
-        return run
-
-    dealt = lambda df, n: df.mapInArrow(nearest(n), f"{id_col} long, u array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
-    asked = dealt(queries.select(id_col, unit.alias("u")), probes).select(F.col(id_col).alias("query_id"), F.col("u").alias("q"), "cell")
-    pairs = dealt(rows, 1).join(asked, "cell").filter(F.col("query_id") != F.col(id_col))
-    score = F.round(F.aggregate(F.zip_with("u", "q", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v), 6)
-    return top(pairs.select("query_id", id_col, score.alias("score")), "query_id", [F.col("score").desc(), id_col], k)
-
-
 def rank_fusion(*lists: DataFrame, query_id: str, id_col: str, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists."""
     union = lists[0].select(query_id, id_col, "rank")

@@ -9,6 +9,7 @@ from attestry.operators import documents as K
 from attestry.operators import filters as C
 from attestry.operators import joins as D
 from attestry.operators import projections as B
+from attestry.operators import vectors as N
 from attestry.operators import windows as W
 from attestry.operators.graph import connected_components
 from attestry.plans.fixtures import Registry
@@ -374,7 +375,7 @@ def k10(benchmark, docs):
 
 @query("k11_vector_topk", "embeddings", "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 30")
 def k11(embeddings):
-    return K.vector_top(embeddings.filter("vec_id % 20 = 0"), embeddings, "vec_id", "embedding")
+    return N.vector_top(embeddings.filter("vec_id % 20 = 0"), embeddings, "vec_id", "embedding")
 
 
 @query("k21_exact_duplicates", "documents", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id, count(*) OVER (PARTITION BY text) AS copies FROM documents QUALIFY copies > 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import documents as K
 from attestry.operators import joins as D
+from attestry.operators import vectors as N
 from attestry.operators import windows as W
 from attestry.plans.fixtures import Registry
 
@@ -66,7 +67,7 @@ def k8(documents):
 @query("k12_vector_ann", "embeddings")
 def k12(embeddings):
     """Approximate neighbours of the stated queries; a test measures their recall against the exact ones."""
-    return K.vector_ann(embeddings.filter("vec_id % 20 = 0"), embeddings, "vec_id", "embedding")
+    return N.vector_ann(embeddings.filter("vec_id % 20 = 0"), embeddings, "vec_id", "embedding")
 
 
 def _search_sql(docs: str) -> str:
@@ -91,7 +92,7 @@ def _lists(benchmark, embeddings, documents):
     lexical = K.lexical(asked, documents, "item_id", "doc_id", "text")
     queries = embeddings.join(asked.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     scope = embeddings.join(documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    near = K.vector_top(queries, scope, "vec_id", "embedding").select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
+    near = N.vector_top(queries, scope, "vec_id", "embedding").select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
     return lexical, near
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import values as V
 from attestry.operators import documents as K
+from attestry.operators import vectors as N
 from attestry.operators import joins as D
 from attestry.operators import metrics as E
 from attestry.operators import windows as W
@@ -33,27 +34,52 @@ def test_merged_quantiles_lie_within_a_rank_error(spark):
             assert abs(np.searchsorted(own, r[name], "right") / len(own) - q) <= 0.03
 
 
-def test_ann_recall_against_exact_neighbours(spark):
-    near = catalogue.queries()["k12_vector_ann"](spark, SF).collect()
-    exact = [r for r in catalogue.queries()["k11_vector_topk"](spark, SF).collect() if r["rank"] <= 10]
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ann_recall_against_exact_neighbours(spark, sf):
+    vectors = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    near = catalogue.queries()["k12_vector_ann"](spark, f"/root/testdata/{sf}").collect()
+    exact = [r for r in catalogue.queries()["k11_vector_topk"](spark, f"/root/testdata/{sf}").collect() if r["rank"] <= 10]
     want, got = ({(r.query_id, r.vec_id) for r in rows} for rows in (exact, near))
     assert len(want & got) >= 0.9 * len(want)
+    rows = N.unit_rows(vectors, "vec_id", "embedding")
+    asked = rows.filter("id % 20 = 0")
+    index = N.CodeIndex.of(rows, 64, 10)
+    index.calibrate(asked)
+    assert index.comparisons(asked) < 0.2 * rows.count() * asked.count()
+
+
+def test_ann_leaves_far_cells_out(spark):
+    """Tight clusters: a query's neighbours are in its own cell."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 5
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.2).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    units = N.unit_rows(df, "vec_id", "embedding")
+    index = N.CodeIndex.of(units, 16, 10)
+    index.calibrate(units.filter("id % 20 = 0"))
+    assert len(index.centres) == 23 and index.probes <= 3
+    near = {(r.query_id, r.vec_id) for r in N.vector_ann(df.filter("vec_id % 20 = 0"), df, "vec_id", "embedding").collect()}
+    exact = {(r.query_id, r.vec_id) for r in N.vector_top(df.filter("vec_id % 20 = 0"), df, "vec_id", "embedding", 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert N.vector_ann(df.limit(0), df, "vec_id", "embedding").count() == 0
 
 
 @pytest.mark.parametrize("block", [8192, 3])
-def test_vector_top_matches_plain_cosines(spark, block):
+def test_vector_top_matches_plain_cosines(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "SHARE", block)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(120)] + [(200, [1.0, 0.0, 0.0, 0.0]), (201, [2.0, 0.0, 0.0, 0.0]), (202, [0.0] * 4), (203, [1.0, 2.0]), (204, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in K.vector_top(df.filter("vec_id % 20 = 0"), df, "vec_id", "embedding", 5, block).collect():
+    for r in N.vector_top(df.filter("vec_id % 20 = 0"), df, "vec_id", "embedding", 5).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     full = [(i, np.array(x)) for i, x in rows if x and len(x) == 4 and any(x)]
     for i, x in full:
         if i % 20 == 0:
             scored = sorted((-round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6), j) for j, y in full if j != i)
             assert sorted(got[i]) == [(k + 1, j) for k, (_, j) in enumerate(scored[:5])]
-    assert K.vector_top(df.limit(0), df, "vec_id", "embedding").count() == 0
+    assert N.vector_top(df.limit(0), df, "vec_id", "embedding").count() == 0
 
 
 def test_near_candidates_hold_close_texts_only(spark):
