@@ -1,11 +1,15 @@
-"""Benchmark decontamination by word and pair counts and Smith-Waterman alignment.
-
-The words and word pairs that a window of a document shares with a test item
-bound the score of every alignment in it, so windows that could reach the score
-are found wherever a copy was edited. They are aligned word by word; the score
-is the share of the item's best possible score. Items too many to broadcast are
-joined to documents by their rarest words and pairs, by document frequency in
-the corpus: as many as make sure that a document at the score holds one.
+"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+
+The n-grams are words and word pairs. Any alignment at the score shares so many
+n-grams with its item that it holds some of the item's rarest, by document
+frequency in the corpus: these are the item's seeds. Documents are cut into
+overlapping passages, and the seeds in a passage lead through an inverted index
+to the items that it may hold; a passage meets no other item. What shares as
+many n-grams as an alignment at the score must share is aligned word by word;
+the score is the share of the item's best possible score.
+
+The bound holds however a copy was edited, so no pair at the score is lost.
+Items are worked in groups of a bounded number of words, each broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.text import ASCII_LOWER, slices
@@ -24,10 +28,8 @@ from attestry.sources.tables import read_table
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
-#: Items are broadcast up to this many words, joined by shuffle beyond.
-BROADCAST_SEEDS = 4_000_000
-#: Items are broadcast up to this many bytes of text, joined by shuffle beyond.
-BROADCAST_BYTES = 64 << 20
+#: Words of the items that are searched for at once, about: what is broadcast.
+GROUP_WORDS = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TRIM = b".,;:!?\"'()[]{}|"
@@ -69,72 +71,105 @@ def needed(n_words: int, min_score: float) -> int:
 
 
 class _Items:
-    """Items as words and word pairs that are counted in windows of a document.
+    """Items as words and word pairs ("features"), and the index of their seeds.
 
     An alignment with m matches, c of them right after another, has a mismatch
     or gap before each of its other m - c - 1 later matches, so its score is at
     most m + c + 1, and at most 2m; its words in the document are at most 3m
-    less the score. Neither m nor c exceeds what the window and the item have in
-    common, so no window that holds a sufficient alignment is passed over.
+    less the score. Neither m nor c exceeds what the passage and the item have
+    in common. So of an item's 2n - 1 features at least ``low`` are shared, and
+    of any 2n - low + t at least 1 + t.
     """
 
     def __init__(self, texts: list[str | None], min_score: float):
-        self.tokens = [words(x) for x in texts]
-        self.at = np.array([i for i, x in enumerate(self.tokens) if x], np.int64)
-        hashes = [word_hashes(self.tokens[i]) for i in self.at]
+        tokens = [words(x) for x in texts]
+        self.at = np.array([i for i, x in enumerate(tokens) if x], np.int64)
+        hashes = [word_hashes(tokens[i]) for i in self.at]
         self.size = np.array([len(h) for h in hashes], np.int64)
         self.need = np.array([needed(n, min_score) for n in self.size.tolist()], np.int64)
         self.span = 3 * self.size - self.need
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        codes = [np.searchsorted(self.vocabulary, h) for h in hashes]
-        pairs = [x[:-1] * len(self.vocabulary) + x[1:] for x in codes]
+        self.codes = [np.searchsorted(self.vocabulary, h) for h in hashes]
+        pairs = [x[:-1] * len(self.vocabulary) + x[1:] for x in self.codes]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        features = [np.r_[x, len(self.vocabulary) + np.searchsorted(self.pairs, y)] for x, y in zip(codes, pairs, strict=True)]
+        features = [np.r_[x, len(self.vocabulary) + np.searchsorted(self.pairs, y)] for x, y in zip(self.codes, pairs, strict=True)]
         self.starts = np.cumsum([0, *map(len, features)])
         self.feature = np.concatenate(features) if features else np.zeros(0, np.int64)
         self.nth = np.concatenate([_nth(x) for x in features]) if features else np.zeros(0, np.int64)
         self.chunk = max(512, 4 * int(self.span.max())) if features else 0
 
-    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Feature of each word and of each pair from that word on, -1 if no item has it."""
-        n = len(self.vocabulary)
-        code = np.searchsorted(self.vocabulary, hashes).clip(max=n - 1)
-        code = np.where(self.vocabulary[code] == hashes, code, -1)
-        pair = np.full(len(code), -1)
+    def index_seeds(self, df: np.ndarray) -> None:
+        """Chooses each item's seeds by ``df``, the documents that hold each feature, and indexes them."""
+        low = np.maximum(-(-self.need // MATCH), self.need - 1)
+        spare = np.minimum(self.size // 4, low - 1)
+        self.hits = 1 + spare
+        owner = np.repeat(np.arange(len(self.size)), np.diff(self.starts))
+        order = np.lexsort((self.feature, df[self.feature], owner))
+        place = np.arange(len(order)) - self.starts[owner[order]]
+        seeds = order[place < (2 * self.size - low + spare)[owner[order]]]
+        seeds = seeds[np.argsort(self.feature[seeds], kind="stable")]
+        self.posting, self.posting_nth = owner[seeds], self.nth[seeds]
+        self.seeds, begin = np.unique(self.feature[seeds], return_index=True)
+        self.begin = np.r_[begin, len(seeds)]
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """The code of each word, -1 if no item has it."""
+        code = np.searchsorted(self.vocabulary, hashes).clip(max=len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[code] == hashes, code, -1)
+
+    def _pairs_of(self, code: np.ndarray) -> np.ndarray:
+        """The feature of the pair from each word on, -1 if no item has it."""
+        n, pair = len(self.vocabulary), np.full(len(code), -1)
         if len(self.pairs):
             at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
             both = code[at] * n + code[at + 1]
             place = np.searchsorted(self.pairs, both).clip(max=len(self.pairs) - 1)
             pair[at] = np.where(self.pairs[place] == both, n + place, -1)
-        return code, pair
-
-    def _counts(self, code: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        held = np.r_[code, pair[:-1]]
-        return np.bincount(held[held >= 0], minlength=len(self.vocabulary) + len(self.pairs))
-
-    def _enough(self, counts: np.ndarray, i: int) -> bool:
+        return pair
+
+    def features(self, code: np.ndarray, pair: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The features in a run of words and how often each is there."""
+        held = np.r_[code, (self._pairs_of(code) if pair is None else pair)[:-1]]
+        return np.unique(held[held >= 0], return_counts=True)
+
+    def _met(self, held: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Items of which enough seeds are among the features ``held``, as often as the item has them."""
+        if not len(held) or not len(self.seeds):
+            return np.zeros(0, np.int64)
+        at = np.searchsorted(self.seeds, held).clip(max=len(self.seeds) - 1)
+        is_seed = self.seeds[at] == held
+        at, counts = at[is_seed], counts[is_seed]
+        size = self.begin[at + 1] - self.begin[at]
+        where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        where = where[self.posting_nth[where] <= np.repeat(counts, size)]
+        item, hits = np.unique(self.posting[where], return_counts=True)
+        return item[hits >= self.hits[item]]
+
+    def _enough(self, held: np.ndarray, counts: np.ndarray, i: int) -> bool:
+        if not len(held):
+            return False
         own = slice(self.starts[i], self.starts[i + 1])
-        shared = counts[self.feature[own]] >= self.nth[own]
+        at = np.searchsorted(held, self.feature[own]).clip(max=len(held) - 1)
+        shared = (held[at] == self.feature[own]) & (counts[at] >= self.nth[own])
         m = int(shared[: self.size[i]].sum())
         return min(MATCH * m, int(shared.sum()) + 1) >= self.need[i]
 
-    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first, end): passages that hold every sufficient alignment of the document."""
-        if not len(self.at) or not len(hashes):
+    def candidates(self, code: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, end): passages that hold every sufficient alignment of the document, given by its words' codes."""
+        if not len(self.at) or not len(code):
             return
-        code, pair = self._known(hashes)
+        pair = self._pairs_of(code)
         step = self.chunk - int(self.span.max())
-        for a in range(0, max(1, len(hashes) - self.chunk + step), step):
-            b = min(a + self.chunk, len(hashes))
-            counts = self._counts(code[a:b], pair[a:b])
-            shared = np.add.reduceat(counts[self.feature] >= self.nth, self.starts[:-1], dtype=np.int64)
-            for i in np.flatnonzero(shared + 1 >= self.need).tolist():
-                if not self._enough(counts, i):
+        for a in range(0, max(1, len(code) - self.chunk + step), step):
+            b = min(a + self.chunk, len(code))
+            held, counts = self.features(code[a:b], pair[a:b])
+            for i in self._met(held, counts).tolist():
+                if not self._enough(held, counts, i):
                     continue
                 width, first, end = int(self.span[i]), -1, -1
                 for x in range(a, max(a + 1, b - width), width):
                     y = min(x + 2 * width, b)
-                    if not self._enough(self._counts(code[x:y], pair[x:y]), i):
+                    if not self._enough(*self.features(code[x:y], pair[x:y]), i):
                         continue
                     if first >= 0 and x > end:
                         yield i, first, end
@@ -154,31 +189,8 @@ def _nth(features: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(text: str | None) -> np.ndarray:
-    """Signed hashes of the words and then of the word pairs of a text."""
-    hashes = word_hashes(words(text))
-    return np.r_[hashes.view(np.int64), gram_hashes(hashes, 2)]
-
-
-def _feature_rows(distinct: bool):
-    """(key, size, h) for the features of each text; ``size`` is its number of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = _features(text)
-                size = (len(h) + 1) // 2
-                h = np.unique(h) if distinct else h
-                yield pa.record_batch([pa.array(np.full(len(h), key, np.int64)), pa.array(np.full(len(h), size, np.int64)), pa.array(h)], names=["key", "size", "h"])
-
-    return run
-
-
-def align(item: list[bytes], passage: list[bytes]) -> tuple[int, int, int]:
-    """Best local alignment of two word lists: score, first and end word in the passage."""
-    codes: dict[bytes, int] = {}
-    a = np.array([codes.setdefault(w, len(codes)) for w in item])
-    b = np.array([codes.get(w, -1) for w in passage])
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment of an item's words with a passage's, as codes: score, first and end word in the passage."""
     above = np.zeros(len(b) + 1, np.int64)
     above_from = np.arange(len(b) + 1)
     slope = -GAP * np.arange(len(b) + 1)
@@ -202,99 +214,96 @@ def align(item: list[bytes], passage: list[bytes]) -> tuple[int, int, int]:
     return best
 
 
-def _aligned(items: _Items, tokens: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(item, score, first, end) of each passage that reaches the score of its item."""
-    for i, a, b in items.candidates(hashes):
-        s, first, end = align(items.tokens[items.at[i]], tokens[a:b])
-        if s >= items.need[i]:
-            yield i, s, a + first, a + end
+def _coded(shared):
+    """Documents (id, text) as (id, codes): each word's code among the items' words, 4 bytes each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: _Items = shared.value
+        for batch in slices(batches):
+            codes = [items.known(word_hashes(words(text))).astype("<i4").tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("id"), pa.array(codes, pa.binary())], names=["id", "codes"])
+
+    return run
 
-def _found(ids: pa.Array, items: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    row, item, score, first, end = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.record_batch(
-        [ids.take(pa.array(row, pa.int32())), items.take(pa.array(item, pa.int32())), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())],
-        names=["id", "item", "score", "first_word", "end_word"],
-    )
 
+def _frequencies(shared):
+    """(feature, n): how many of a task's documents hold each feature."""
 
-def _score_all(shared, names: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: _Items = shared.value
+        total = np.zeros(len(items.vocabulary) + len(items.pairs), np.int64)
         for batch in slices(batches):
-            rows = []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                tokens = words(text)
-                for i, s, a, b in _aligned(items, tokens, word_hashes(tokens)):
-                    rows.append((row, int(items.at[i]), s / (MATCH * int(items.size[i])), a, b))
-            yield _found(batch.column("id"), names, rows)
+            for codes in batch.column(0).to_pylist():
+                total[items.features(np.frombuffer(codes, "<i4").astype(np.int64))[0]] += 1
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(found), pa.array(total[found])], names=["feature", "n"])
 
     return run
 
 
-def _score_pairs(min_score: float):
+def _score(shared, names: pa.Array):
+    """(id, item, score, first_word, end_word) of each passage that reaches the score of an item it met."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: _Items = shared.value
         for batch in slices(batches):
             rows = []
-            for row, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
-                tokens, items = words(text), _Items([item], min_score)
-                for i, s, a, b in _aligned(items, tokens, word_hashes(tokens)):
-                    rows.append((row, row, s / (MATCH * int(items.size[i])), a, b))
-            yield _found(batch.column("id"), batch.column("item"), rows)
+            for row, codes in enumerate(batch.column("codes").to_pylist()):
+                code = np.frombuffer(codes, "<i4").astype(np.int64)
+                for i, a, b in items.candidates(code):
+                    s, first, end = align(items.codes[i], code[a:b])
+                    if s >= items.need[i]:
+                        rows.append((row, int(items.at[i]), s / (MATCH * int(items.size[i])), a + first, a + end))
+            row, item, score, first, end = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.record_batch(
+                [batch.column("id").take(pa.array(row, pa.int32())), names.take(pa.array(item, pa.int32())), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())],
+                names=["id", "item", "score", "first_word", "end_word"],
+            )
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, group_words: int = GROUP_WORDS) -> DataFrame:
     """(id, item, score, first_word, end_word): the best alignment of every document and item from the score on.
 
-    Words are as in :func:`words`. Every pair at the score is found, however
-    its edits lie. Items and documents without words, null or empty, match
-    nothing. Repeated rows of an id give one row for each item. Of passages with
-    equal scores the first stands. Texts are searched whole, however long, and
-    columns other than the four named are not read. Empty tables give no rows.
+    Words are as in :func:`words`, compared by hashes of 64 bits. Every pair at
+    the score is found, however its edits lie. Items and documents without
+    words, null or empty, match nothing. Repeated rows of an id give one row
+    for each item. Of passages with equal scores the first stands. Texts are
+    searched whole, however long, and columns other than the four named are not
+    read. Empty tables give no rows. Each group of items reads the documents
+    once; their words' codes are written and read for the frequencies and the
+    search.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull())
     kind, item_kind = (x.schema.fields[0].dataType.simpleString() for x in (docs, items))
     schema = f"id {kind}, item {item_kind}, score double, first_word long, end_word long"
-    size = items.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).first()
-    if (size.words or 0) <= broadcast_seeds and (size.bytes or 0) <= broadcast_bytes:
-        table = items.toArrow()
-        shared = spark.sparkContext.broadcast(_Items(table.column("text").to_pylist(), min_score))
-        names = table.column("item").combine_chunks()
-        scored = docs.mapInArrow(_score_all(shared, names), schema)
-    else:
-        scored = _candidates(docs, items, min_score).mapInArrow(_score_pairs(min_score), schema)
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    groups = max(1, -(-total // group_words))
+    scored = None
+    for group in range(groups):
+        table = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == group).toArrow()
+        own = _Items(table.column("text").to_pylist(), min_score)
+        if not len(own.at):
+            continue
+        bare = spark.sparkContext.broadcast(own)
+        coded = saved(docs.mapInArrow(_coded(bare), f"id {kind}, codes binary"))
+        counts = coded.select("codes").mapInArrow(_frequencies(bare), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+        df = np.zeros(len(own.vocabulary) + len(own.pairs), np.int64)  # as long as the group's features
+        df[counts.column("feature").to_numpy()] = counts.column("n").to_numpy()
+        own.index_seeds(df)
+        found = coded.mapInArrow(_score(spark.sparkContext.broadcast(own), table.column("item").combine_chunks()), schema)
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        return spark.createDataFrame([], schema)
     best = F.max_by(F.struct("first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("place")
     return scored.groupBy("id", "item").agg(F.max("score").alias("score"), best).select("id", "item", "score", "place.first_word", "place.end_word")
 
 
-def _candidates(docs: DataFrame, items: DataFrame, min_score: float) -> DataFrame:
-    """(id, text, item, item_text): documents with a seed of the item.
-
-    Of the 2n - 1 words and pairs of an item at least its needed score less one
-    are in a document that reaches it, so one of any 2n + 1 less that score is:
-    the rarest are the seeds.
-    """
-    docs = docs.withColumn("key", F.xxhash64("id", "text"))
-    items = items.withColumn("key", F.xxhash64("item", "text"))
-    kind = "key long, size long, h long"
-    own = saved(items.select("key", "text").dropDuplicates(["key"]).mapInArrow(_feature_rows(False), kind))
-    held = docs.select("key", "text").dropDuplicates(["key"]).mapInArrow(_feature_rows(True), kind).select("key", "h")
-    held = saved(held.join(own.select("h").distinct(), "h"))
-    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = own.join(counts, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    need = F.greatest(F.lit(1), F.ceil(F.lit(min_score) * MATCH * F.col("size") - 1e-9))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("df", "h")))
-    seeds = ranked.filter((F.col("r") <= F.greatest(2 * F.col("size") + 1 - need, F.col("size"))) & (F.col("df") > 0))
-    pairs = saved(held.join(seeds.select(F.col("key").alias("item_key"), "h").distinct(), "h").select("key", "item_key").distinct())
-    named = items.select(F.col("key").alias("item_key"), "item", F.col("text").alias("item_text"))
-    return docs.join(pairs, "key").join(named, "item_key").select("id", "text", "item", "item_text")
-
-
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that each document of the table holds a copy of, with the passage."""
     found = leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 

@@ -36,7 +36,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits host and path; of equals the first."""
     rule = verdict = F.lit(None).cast("string")
-    for what, text in sorted(rules, key=lambda r: len(r[1]))[::1]:
+    for what, text in sorted(reversed(rules), key=lambda r: len(r[1])):
         name, slash, rest = text.partition("/")
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(slash + rest)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)

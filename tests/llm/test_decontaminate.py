@@ -1,6 +1,9 @@
 import random
+import time
 
-from attestry.llm.decontaminate import GAP, MATCH, MIN_SCORE, MISMATCH, align, leaks, words
+import numpy as np
+
+from attestry.llm.decontaminate import GAP, MATCH, MIN_SCORE, MISMATCH, _Items, align, leaks, word_hashes, words
 
 
 def slow_score(a, b):
@@ -24,12 +27,13 @@ def test_alignment_matches_the_recurrence():
     for _ in range(200):
         a, b = sample(rng, rng.randrange(1, 12), 6), sample(rng, rng.randrange(1, 30), 6)
         a, b = ([w.encode() for w in x] for x in (a, b))
-        s, first, end = align(a, b)
+        codes = {w: i for i, w in enumerate(dict.fromkeys(a))}
+        s, first, end = align(*(np.array([codes.get(w, -1) for w in x]) for x in (a, b)))
         assert s == slow_score(a, b)
         assert not s or slow_score(a, b[first:end]) == s
 
 
-def test_leaks_match_brute_force_on_both_paths(spark):
+def test_leaks_match_brute_force_in_one_group_and_in_several(spark):
     rng = random.Random(8)
     items = [(i, " ".join(sample(rng, rng.randrange(20, 40)))) for i in range(12)] + [(50, None), (51, ""), (52, "lone"), (53, "Two words")]
     docs, planted = [], set()
@@ -53,7 +57,7 @@ def test_leaks_match_brute_force_on_both_paths(spark):
             w = words(item)
             if w and slow_score(w, words(text)) >= MIN_SCORE * MATCH * len(w):
                 want[i, k] = slow_score(w, words(text)) / (MATCH * len(w))
-    for limits in ({}, {"broadcast_seeds": 0, "broadcast_bytes": 0}):
+    for limits in ({}, {"group_words": 100}):
         got = {(r.id, r.item): r.score for r in leaks(d, b, **limits).collect()}
         # Exact scores, and nothing missed that keeps a run of words in one piece.
         assert all(want[k] == s for k, s in got.items()) and planted <= set(got)
@@ -92,5 +96,30 @@ def test_every_pair_at_the_score_is_found_however_edits_lie(spark):
                 want[i, k] = s / (MATCH * len(w))
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
-    for limits in ({}, {"broadcast_seeds": 0, "broadcast_bytes": 0}):
+    for limits in ({}, {"group_words": 100}):
         assert {(r.id, r.item): r.score for r in leaks(d, b, **limits).collect()} == want
+
+
+def test_search_grows_slowly_with_the_benchmark():
+    """Passages meet items through their seeds only: 16 times the items are far from 16 times the work."""
+    share = 1 / np.arange(1, 20_001)  # words by rank, as in prose
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{w}" for w in rng.choice(20_000, n, p=share / share.sum()))
+    texts, benchmark = [text(1000) for _ in range(60)], [text(40) for _ in range(3200)]
+
+    def seconds(n):
+        items = _Items(benchmark[:n], MIN_SCORE)
+        codes = [items.known(word_hashes(words(t))) for t in texts]
+        df = np.zeros(len(items.vocabulary) + len(items.pairs), np.int64)
+        for c in codes:
+            df[items.features(c)[0]] += 1
+        items.index_seeds(df)
+        start = time.process_time()
+        for c in codes:
+            list(items.candidates(c))
+        return time.process_time() - start
+
+    seconds(200)
+    few, many = seconds(200), seconds(3200)
+    print(few, many)
+    assert many < 4 * few
