@@ -88,37 +88,6 @@ def select_context(ranked: DataFrame, query_id: str, order: list, tokens: str, m
     return placed.filter((F.col("place") <= most) & (F.col("used") <= budget))
 
 
-def _words(text: str) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf): lower-case terms of letters and digits."""
-    return df.select(id_col, F.explode(_words(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def lexical(queries: DataFrame, docs: DataFrame, query_id: str, id_col: str, text: str, k: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 top ``k`` documents of each query; scores rounded to 6 places, of equals the least id.
-
-    Documents are split twice, for their lengths and for the terms that some
-    query asks for; only those are counted and shuffled.
-    """
-    words = docs.select(id_col, _words(text).alias("w")).withColumn("dl", F.size("w"))
-    n = F.count_if(F.col("dl") > 0)
-    total = words.agg(n.alias("n"), (F.sum("dl") / n).alias("avg_dl"))
-    wanted = saved(terms(queries.select(query_id, F.col(text).alias("q")), query_id, "q").select(query_id, "term"))
-    asked = broadcast_if_small(saved(wanted.select("term").distinct()))
-    hits = words.select(id_col, "dl", F.explode("w").alias("term")).join(asked, "term", "left_semi")
-    hits = saved(hits.groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(total)).select(id_col, "term", weight.alias("w"))
-    scored = weighed.join(wanted, "term").groupBy(query_id, id_col).agg(F.round(F.sum("w"), 6).alias("score"))
-    return top(scored, query_id, [F.col("score").desc(), id_col], k)
-
-
 def top(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     """The first ``k`` rows of each key with their ``rank``."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)

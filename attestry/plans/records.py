@@ -9,6 +9,7 @@ from attestry.operators import documents as K
 from attestry.operators import filters as C
 from attestry.operators import joins as D
 from attestry.operators import projections as B
+from attestry.operators import search as X
 from attestry.operators import vectors as N
 from attestry.operators import windows as W
 from attestry.operators.graph import connected_components
@@ -360,9 +361,8 @@ def k4(docs):
 
 @query("k9_inverted_index", "documents", r"SELECT doc_id, term, tf, CAST(count(*) OVER (PARTITION BY term) AS BIGINT) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2)")
 def k9(docs):
-    """The index is written; document frequencies come from it, summed before they are shuffled."""
-    index = saved(K.terms(docs, "doc_id", "text"))
-    return index.join(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    """The index is written in blocks; document frequencies come from their heads."""
+    return X.Postings.build(docs, "doc_id", "text").rows("doc_id")
 
 
 @query("k10_lexical", "benchmark documents", r"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS dl FROM t GROUP BY 1), n AS (SELECT count(*) AS n, avg(dl) AS a FROM l), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
@@ -370,7 +370,8 @@ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM q JOIN t USING (term) JOIN d USING (term) JOIN l USING (doc_id) CROSS JOIN n GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 30""")
 def k10(benchmark, docs):
-    return K.lexical(benchmark.filter("item_id % 20 = 0"), docs, "item_id", "doc_id", "text")
+    """A search over the blocks of k9."""
+    return X.lexical(benchmark.filter("item_id % 20 = 0"), docs, "item_id", "doc_id", "text")
 
 
 @query("k11_vector_topk", "embeddings", "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 30")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import documents as K
 from attestry.operators import joins as D
+from attestry.operators import search as X
 from attestry.operators import vectors as N
 from attestry.operators import windows as W
 from attestry.plans.fixtures import Registry
@@ -89,7 +90,7 @@ SEARCH = _search_sql("documents")
 def _lists(benchmark, embeddings, documents):
     """The lexical and the vector list of each query; a document's vector has its id."""
     asked = benchmark.filter("item_id % 20 = 0")
-    lexical = K.lexical(asked, documents, "item_id", "doc_id", "text")
+    lexical = X.lexical(asked, documents, "item_id", "doc_id", "text")
     queries = embeddings.join(asked.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     scope = embeddings.join(documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     near = N.vector_top(queries, scope, "vec_id", "embedding").select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
@@ -135,7 +136,7 @@ def k16(benchmark, embeddings, documents):
 @query("k17_lexical_only", "benchmark documents", f"WITH {SEARCH} SELECT item_id, doc_id, r AS rank, 'VECTORS_UNAVAILABLE' AS warning FROM lex".replace("FROM embeddings a JOIN embeddings b", "FROM embeddings a JOIN embeddings b"))
 def k17(benchmark, documents):
     """Search without vectors says so."""
-    found = K.lexical(benchmark.filter("item_id % 20 = 0"), documents, "item_id", "doc_id", "text")
+    found = X.lexical(benchmark.filter("item_id % 20 = 0"), documents, "item_id", "doc_id", "text")
     return found.select("item_id", "doc_id", "rank", F.lit("VECTORS_UNAVAILABLE").alias("warning"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import values as V
 from attestry.operators import documents as K
+from attestry.operators import search as X
 from attestry.operators.metrics import fingerprint
 from attestry.plans.fixtures import Registry
 
@@ -166,7 +167,7 @@ def j2(benchmark, documents):
         return pd.Series([round(len(q & t) / max(1, len(q)), 6) for q, t in sets])
 
     asked = benchmark.filter("item_id % 20 = 0")
-    hits = K.lexical(asked, documents, "item_id", "doc_id", "text").select("item_id", "doc_id")
+    hits = X.lexical(asked, documents, "item_id", "doc_id", "text").select("item_id", "doc_id")
     texts = documents.select("doc_id", "text")
     scored = hits.join(texts, "doc_id").join(asked.select("item_id", F.col("text").alias("q")), "item_id").select("item_id", "doc_id", overlap("q", "text").alias("score"))
     return K.top(scored, "item_id", [F.col("score").desc(), "doc_id"], 8)
