@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.runtime import saved
+from attestry.runtime import hot_keys, join_split, saved
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every end of an edge; the component is its least node.
 
     Each round takes the least label among neighbours and then the label of
-    that label, so the rounds grow with the logarithm of the diameter. Rows
-    with a null end are ignored; loops only add their node.
+    that label, so the rounds grow with the logarithm of the diameter. Nodes
+    with very many edges and labels with very many nodes are not shuffled to
+    one task: what they join is broadcast. Rows with a null end are ignored;
+    loops only add their node.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     links = saved(ends.union(ends.select("v", "u")).distinct())
+    hubs = hot_keys(links, "v")
     labels = saved(links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"), F.lit(True).alias("moved")))
     for _ in range(max_rounds):
-        near = links.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
+        near = join_split(links, labels.select(F.col("node").alias("v"), "component"), "v", hubs).groupBy("u").agg(F.min("component").alias("near"))
         step = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         step = saved(step)
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        labels = saved(step.join(jump, "new").select("node", F.least("new", "further").alias("component"), (F.least("new", "further") != F.col("old")).alias("moved")))
+        jumped = join_split(step, jump, "new", hot_keys(step, "new"))
+        labels = saved(jumped.select("node", F.least("new", "further").alias("component"), (F.least("new", "further") != F.col("old")).alias("moved")))
         if labels.filter("moved").isEmpty():
             return labels.select("node", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -42,3 +42,25 @@ def saved(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` (saved, of a few narrow columns) marked for broadcast if it has at most so many rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """The values of ``key`` that more than a thousandth of the rows of ``df`` (saved) have, if any: fewer than a thousand."""
+    least = max(1000, df.count() // 1000)
+    hot = saved(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select(key))
+    return None if hot.isEmpty() else hot
+
+
+def join_split(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``big.join(small, key, how)`` where ``small`` has each key once and few keys of ``big`` may have most rows.
+
+    Rows with a hot key (of :func:`hot_keys`) stay where they are and meet a
+    broadcast of fewer than a thousand rows; the others are shuffled. Keys are
+    not null.
+    """
+    if hot is None:
+        return big.join(small, key, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(saved(small.join(hot, key, "left_semi")))
+    rest = big.join(hot, key, "left_anti").join(small.join(hot, key, "left_anti"), key, how)
+    return big.join(hot, key, "left_semi").join(few, key, how).unionByName(rest)
