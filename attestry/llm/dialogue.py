@@ -184,7 +184,7 @@ def _block_span(rows: list[tuple]) -> Span:
     return Span(*counts, illegal, len(set(numbers)), numbers[0] if numbers else None, numbers[-1] if numbers else None, rows[0][1], rows[-1][1], parse([(r[1], r[2]) for r in rows]))
 
 
-def _blocks(schema: pa.Schema):
+def _blocks(schema: pa.Schema, size: int):
     """Rows come in the order of conversations and turns; a block is one span with the order of its first turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def _blocks(schema: pa.Schema):
         for batch in batches:
             out = []
             for conv, turn, role, h, fault, again, copies in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if begin is None or len(held) >= BLOCK or begin[0] != conv:
+                if begin is None or len(held) >= size or begin[0] != conv:
                     if held:
                         out.append(span())
                     held, begin = [], (conv, turn, role, h)
@@ -255,7 +255,7 @@ def repair_plans(rows: DataFrame) -> DataFrame:
     schema = f"{kinds}, {counts}, first string, last string, {_CELL}"
     keys = ["conv", "turn", "role", "h"]
     dealt = flagged.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    spans = saved(dealt.mapInArrow(_blocks(to_arrow_schema(StructType.fromDDL(schema))), schema))
+    spans = saved(dealt.mapInArrow(_blocks(to_arrow_schema(StructType.fromDDL(schema)), BLOCK), schema))
     while True:
         long = spans.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("conv").alias("c"))
         if long.isEmpty():

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from attestry.llm.simhash import RADIUS, SEED, fingerprint_links, fingerprint_of, shingle_hashes
 from attestry.llm.text import slices
 from attestry.operators.graph import connected_components
-from attestry.runtime import broadcast_if_small, saved
+from attestry.runtime import broadcast_if_small, hot_keys, join_split, saved
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -262,13 +262,13 @@ def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text",
     # Links of the fingerprints, and of what shares one.
     prints = saved(signs.groupBy("fp").agg(F.min(entry).alias("x")))
     linked = fingerprint_links(prints.select("fp"), radius).join(prints.select(F.col("fp").alias("a"), "x"), "a").join(prints.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
-    equal = signs.select("fp", entry.alias("y")).join(prints, "fp")
+    equal = join_split(signs.select("fp", entry.alias("y")), prints, "fp", hot_keys(signs, "fp"))
     # The exact rest: buckets of shingles in which several classes meet, each held against one of the bucket.
     rows = signs.select("cls", "n", F.explode("first").alias("h"))
     shared = broadcast_if_small(saved(rows.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("h")))
     rows = saved(rows.join(shared, "h", "left_semi").distinct().select("h", entry.alias("x")))
     centres = rows.groupBy("h").agg(F.min("x").alias("y"))
-    met = linked.select("x", "y").union(equal.select("x", "y")).union(rows.join(centres, "h").select("x", "y"))
+    met = linked.select("x", "y").union(equal.select("x", "y")).union(join_split(rows, centres, "h", hot_keys(rows, "h")).select("x", "y"))
     found = links(named(met))
     parts = connected_components(found, "p", "q")
     # Then all pairs of a bucket whose parts are not connected yet; a large bucket is dealt to several tasks.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.text import ASCII_LOWER, slices
 from attestry.operators.graph import connected_components
-from attestry.runtime import saved
+from attestry.runtime import hot_keys, join_split, saved
 from attestry.sources.tables import read_table
 
 RADIUS = 3
@@ -247,14 +247,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = saved(fingerprints(docs, id_col, text_col))
     distinct = saved(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     links = saved(fingerprint_links(distinct.select("fp"), radius))
-    joined = connected_components(links).join(distinct, F.col("node") == F.col("fp"))
+    joined = saved(connected_components(links).join(distinct, F.col("node") == F.col("fp")).select("fp", "component", "rep"))
     least = joined.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = joined.select("fp", "component").join(least, "component").select("fp", "least")
+    linked = join_split(joined, least, "component", hot_keys(joined, "component")).select("fp", "least")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component"))
-    return prints.join(classes, "fp").select("id", "fp", "component")
+    return join_split(prints, classes, "fp", hot_keys(prints, "fp")).select("id", "fp", "component")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document of the table."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
