@@ -1,10 +1,10 @@
-"""Exact repeated-substring removal by distributed prefix doubling.
+"""Exact repeated-substring removal by hash refinement over anchors.
 
-Positions are ranked by the strings that start near them, at growing lengths,
-until a string is unique or has the full length. Ranking every byte would move
-many times the input, so only anchors are ranked: in each window of the full
-length the position whose 8-byte gram hashes lowest. Equal strings of the full
-length have their anchors at equal places, so none is missed.
+It stands in for prefix doubling, which ranks a string at every byte and so
+moves many times the input (:func:`doubled_positions`; figures in README). Only
+anchors are looked at: in each window of the full length the position whose
+8-byte gram hashes lowest. Equal strings of the full length have their anchors
+at equal places, so none is missed.
 
 The full-length string that starts d bytes before its anchor p belongs to p
 alone. For an anchor p a node [a, b] stands for the full-length strings that start
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.text import slices
-from attestry.runtime import saved
+from attestry.runtime import saved, shared_dir
 from attestry.sources.tables import read_table
 
 LENGTH = 400
@@ -243,14 +243,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every byte is removed that a string of ``length`` bytes covers which also
     starts elsewhere, in the same document or another. A null text counts as
     empty. Repeated rows are documents of their own and repeat each other. An
-    empty table gives no rows. The texts stay in a table of the warehouse.
+    empty table gives no rows. Texts may be of any length, and columns other
+    than the two named are not read. The texts stay in a table whose files are
+    in the shared folder.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # Every round joins nodes to texts by key: bucketed once, the texts are not shuffled again.
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"attestry_{uuid.uuid4().hex}"
-    narrow.select("id", F.xxhash64("id", "text").alias("key"), "text").repartition(buckets, "key").write.bucketBy(buckets, "key").saveAsTable(table)
+    narrow.select("id", F.xxhash64("id", "text").alias("key"), "text").repartition(buckets, "key").write.bucketBy(buckets, "key").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     narrow = spark.table(table)
     ranges = repeated_ranges(narrow, length, split).distinct()
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("id", "first", "last")).alias("ranges")).withColumnRenamed("key", "k")
@@ -260,6 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document of the table without its repeated strings of 400 bytes."""
     found = remove_repeats(read_table(spark, sf_dir, "documents"), with_bytes=False)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
