@@ -9,6 +9,7 @@ from attestry.operators import windows as W
 from attestry.plans.fixtures import Registry
 from attestry.sources import contracts as A
 from attestry.sources import sinks as S
+from attestry.sources.projections import Projection
 from attestry.sources.tables import SCHEMAS
 from attestry.streaming import events as I
 from attestry.streaming import runs as R
@@ -129,10 +130,10 @@ def a7(events):
 @query("a8_publish_version", "documents", "SELECT doc_id, source, 2 AS version FROM documents")
 def a8(documents):
     """A second version replaces the first as a whole."""
-    path = R.folder(documents, "published")
-    S.publish_version(documents.filter("lang = 'en'").select("doc_id", "source"), path, 1)
-    S.publish_version(documents.select("doc_id", "source"), path, 2)
-    return S.read_published(documents.sparkSession, path, "doc_id long, source string")
+    table = Projection(documents.sparkSession, R.folder(documents, "published"), "doc_id long, source string", "doc_id")
+    table.replace(documents.filter("lang = 'en'").select("doc_id", "source"))
+    table.replace(documents.select("doc_id", "source"))
+    return table.read().withColumn("version", F.lit(table.manifest()["version"]).cast("long"))
 
 
 @query("a9_export_canonical", "orders", "SELECT o_orderkey, sha256(o_custkey || '|' || o_orderstatus || '|' || strftime(o_orderdate, '%Y-%m-%d')) AS canonical_key FROM orders")
@@ -291,22 +292,16 @@ def i12(events):
 
 @query("i13_projection_upsert", "fx_ops_events", f"SELECT resource_id, event_type, resource_version FROM fx_ops_events QUALIFY {LATEST}")
 def i13(events):
-    """The projection is merged with each batch and published as a version; a batch that runs again changes nothing."""
-    path, spark = R.folder(events, "projection"), events.sparkSession
-    schema = "resource_id long, event_type string, resource_version long"
-
-    def upsert(batch, number):
-        rows = batch.select("resource_id", "event_type", F.col("resource_version").cast("long"))
-        if S.published(spark, path) is not None:
-            rows = rows.unionByName(S.read_published(spark, path, schema).drop("version"))
-        S.publish_version(W.latest_state(rows, "resource_id", "resource_version"), path, (S.published(spark, path) or 0) + 1)
+    """Each batch rewrites the buckets it touches and is published as a version; a batch that runs again adds none."""
+    table = Projection(events.sparkSession, R.folder(events, "projection"), "resource_id long, event_type string, resource_version long", "resource_id")
 
     def twice(batch, number):
-        upsert(batch, number)
-        upsert(batch, number)
+        rows = batch.select("resource_id", "event_type", F.col("resource_version").cast("long"))
+        for _ in range(2):
+            table.merge(rows, lambda both: W.latest_state(both, "resource_id", "resource_version"), "events", number)
 
     R.batches(_by_arrival(_timed(events)), twice)
-    return S.read_published(spark, path, schema).drop("version")
+    return table.read()
 
 
 @query("i14_snapshot_replay", "fx_ops_events", f"SELECT resource_id, event_type, resource_version FROM fx_ops_events QUALIFY {LATEST}")

@@ -1,8 +1,8 @@
-"""Sinks: dated appends, published versions, idempotent batches and exports."""
+"""Sinks: dated appends, idempotent batches and exports."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,27 +11,6 @@ def append_events(df: DataFrame, path: str, at: str) -> None:
     df.withColumn("event_date", F.to_date(at)).write.partitionBy("event_date").mode("append").parquet(path)
 
 
-def publish_version(df: DataFrame, path: str, version: int) -> None:
-    """Writes a whole version, then moves the pointer: readers see the old one or the new one."""
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    df.sparkSession.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{path}/_pointer")
-
-
-def published(spark: SparkSession, path: str) -> int | None:
-    """The greatest version that the pointer names."""
-    try:
-        return spark.read.schema("version long").parquet(f"{path}/_pointer").agg(F.max("version")).first()[0]
-    except Exception as error:  # nothing is published yet
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-
-
-def read_published(spark: SparkSession, path: str, schema) -> DataFrame:
-    version = published(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/version={version}").withColumn("version", F.lit(version).cast("long"))
-
-
 def write_batch(path: str):
     """A function for foreachBatch: a batch that runs again replaces what it wrote before."""
 
