@@ -16,6 +16,8 @@ from attestry.streaming import runs as R
 
 query = Registry()
 DELAY = "20 minutes"
+#: Seconds after which a key without events is let go; longer than the tables' month.
+KEEP = 60 * 86400
 
 
 def _timed(events):
@@ -204,7 +206,8 @@ def i2(events):
 SELECT *, max(resource_version) OVER (PARTITION BY resource_id ORDER BY occurred_at + to_seconds(delay_s), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM fx_ops_events)""")
 def i3(events):
     timed = _timed(events).withColumn("received_us", F.unix_micros("at") + F.col("delay_s") * 1_000_000)
-    return R.appended(R.arrivals(timed, F.col("received_us").cast("double")), lambda s: I.versioned_state(s.select("resource_id", "resource_version", "received_us", "event_id"), "resource_id", "resource_version", ["received_us", "event_id"]))
+    rows = timed.select("resource_id", "resource_version", "received_us", "event_id", "at")
+    return R.appended(R.arrivals(rows, F.col("received_us").cast("double")), lambda s: I.versioned_state(s, "resource_id", "resource_version", ["received_us", "event_id"], "at", DELAY, KEEP))
 
 
 CLOSED = "(SELECT max(ts) - INTERVAL 20 MINUTE FROM events)"
@@ -287,7 +290,7 @@ SELECT user_id, event_id, CASE phase WHEN 0 THEN 'resolved' WHEN 1 THEN 'pending
 def i12(events):
     """Two errors in a row fire, two other events in a row resolve."""
     rows = _timed(events).select("user_id", "event_id", F.unix_micros("at").alias("us"), (F.col("event_type") == "error").alias("bad"), "at")
-    return R.appended(_by_event(rows), lambda s: I.alert_states(s, "user_id", ["us", "event_id"], "bad"))
+    return R.appended(_by_event(rows), lambda s: I.alert_states(s, "user_id", ["us", "event_id"], "bad", "at", DELAY, KEEP))
 
 
 @query("i13_projection_upsert", "fx_ops_events", f"SELECT resource_id, event_type, resource_version FROM fx_ops_events QUALIFY {LATEST}")
