@@ -9,6 +9,7 @@ from attestry.operators import windows as W
 from attestry.plans.fixtures import Registry
 from attestry.sources import contracts as A
 from attestry.sources import sinks as S
+from attestry.sources.cursors import Cursor
 from attestry.sources.projections import Projection
 from attestry.sources.tables import SCHEMAS
 from attestry.streaming import events as I
@@ -89,12 +90,26 @@ def a3(events):
     return good.select("event_id", F.lit(None).cast("string").alias("reason")).union(bad.select(known.alias("event_id"), "reason"))
 
 
-@query("a4_incremental_read", "fx_ops_events", "SELECT event_id FROM fx_ops_events WHERE occurred_at > TIMESTAMP '2024-01-20' - INTERVAL 15 MINUTE AND occurred_at + to_seconds(delay_s) > TIMESTAMP '2024-01-20'")
-def a4(events):
-    """Rows since the cursor and late ones of the quarter hour before it; what had arrived by the cursor was seen."""
+PULLS = ("2024-01-10", "2024-01-20", "2030-01-01")
+
+
+def _pulls(events):
+    """The table as it stood at each pull: what had arrived by then."""
     received = F.unix_seconds(F.to_timestamp("occurred_at")) + F.col("delay_s")
-    seen = events.filter(received <= F.unix_seconds(F.lit("2024-01-20").cast("timestamp")))
-    return A.read_incremental(events, seen, "occurred_at", "2024-01-20", "'15' MINUTE", "event_id").select("event_id")
+    return [events.filter(received <= F.unix_seconds(F.lit(at).cast("timestamp"))).select("event_id", "occurred_at", "event_type") for at in PULLS]
+
+
+def _cursor(events, name):
+    return Cursor(events.sparkSession, R.folder(events, name), "event_id long, occurred_at timestamp_ntz, event_type string", "event_id", "occurred_at", 900)
+
+
+@query("a4_incremental_read", "fx_ops_events", f"SELECT event_id, CASE WHEN occurred_at + to_seconds(delay_s) <= TIMESTAMP '{PULLS[0]}' THEN 1 WHEN occurred_at + to_seconds(delay_s) <= TIMESTAMP '{PULLS[1]}' THEN 2 ELSE 3 END AS pull FROM fx_ops_events")
+def a4(events):
+    """Three pulls, each from the stored cursor less a quarter hour for late rows, without those seen before."""
+    cursor = _cursor(events, "pulled")
+    for source in _pulls(events):
+        cursor.pull(source)
+    return cursor.committed().select("event_id", "pull")
 
 
 @query("a5_one_pipeline", "events", "SELECT mode, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,6))) AS total FROM events, (VALUES ('backfill'), ('incremental')) m(mode) GROUP BY 1, 2")
@@ -106,18 +121,15 @@ def a5(events):
     return both.groupBy("mode", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
 
 
-@query("a6_idempotent_sink", "events", "SELECT event_id, event_type FROM events")
+@query("a6_idempotent_sink", "fx_ops_events", "SELECT event_id, event_type FROM fx_ops_events")
 def a6(events):
-    """Every batch is written twice, as after a crash before its commit; each event is there once."""
-    path = R.folder(events, "sink")
-    write = S.write_batch(path)
-
-    def twice(batch, number):
-        write(batch, number)
-        write(batch, number)
-
-    R.batches(_by_event(_timed(events)), twice)
-    return events.sparkSession.read.schema(SCHEMAS["events"]).parquet(path).select("event_id", "event_type")
+    """Each pull breaks once between its write and its commit, where more rows arrive; every event is there once."""
+    cursor = _cursor(events, "broken")
+    pulls = _pulls(events)
+    for source, more in zip(pulls, [*pulls[1:], pulls[-1]]):
+        cursor.write(source)
+        cursor.pull(more)
+    return cursor.committed().select("event_id", "event_type")
 
 
 @query("a7_append_dated", "events", "SELECT CAST(ts AS DATE) AS event_date, event_type, count(*) AS n FROM events GROUP BY 1, 2")

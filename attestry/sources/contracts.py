@@ -39,10 +39,3 @@ def read_with_contract(spark: SparkSession, path: str, schema: str, checks: dict
     """
     rows = judged(spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path), checks)
     return rows.filter("reason IS NULL").drop(CORRUPT, "reason"), rows.filter("reason IS NOT NULL")
-
-
-def read_incremental(events: DataFrame, seen: DataFrame, at: str, cursor: str, overlap: str, key: str) -> DataFrame:
-    """Rows after the cursor less an overlap for late changes, without those seen before."""
-    low = F.lit(cursor).cast("timestamp_ntz") - F.expr(f"INTERVAL {overlap}")
-    known = seen.filter(F.col(at) > low).select(key)
-    return events.filter(F.col(at) > low).join(known, key, "left_anti")

@@ -10,64 +10,28 @@ before adds none.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.sources.manifests import Manifests
+
 
 class Projection:
     """A published table at ``path`` with rows of ``schema``, in buckets by the hash of ``key``."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 16):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
-        jvm = spark._jvm
-        self._fs_path = jvm.org.apache.hadoop.fs.Path
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._fs_path(self.path).getFileSystem(self._conf)
-
-    # Manifests
-
-    def _numbers(self) -> list[int]:
-        folder = self._fs_path(f"{self.path}/manifests")
-        if not self._fs.exists(folder):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        self.manifests = Manifests(spark, f"{self.path}/manifests")
 
     def manifest(self, version: int | None = None) -> dict | None:
         """The manifest of a version, by default of the latest; null before the first."""
-        if version is None:
-            numbers = self._numbers()
-            if not numbers:
-                return None
-            version = numbers[-1]
-        stream = self._fs.open(self._fs_path(f"{self.path}/manifests/v{version:010d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.manifests.read(version)
 
     def _commit(self, manifest: dict) -> bool:
-        """Creates the manifest whole or, if another writer has made this version, not at all."""
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        target, draft = (self._fs_path(f"{self.path}/manifests/{name}") for name in (f"v{manifest['version']:010d}.json", f".{uuid.uuid4().hex}"))
-        out = self._fs.create(draft)
-        out.write(bytearray(json.dumps(manifest), "utf-8"))
-        out.close()
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        options = gateway.new_array(rename, 1)
-        options[0] = rename.NONE
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf).rename(draft, target, options)
-        except Exception as error:
-            self._fs.delete(draft, False)
-            if "FileAlreadyExistsException" in str(error):
-                return False
-            raise
-        return True
+        return self.manifests.create(manifest["version"], manifest)
 
     # Reading
 
@@ -90,8 +54,7 @@ class Projection:
         """A new folder for each bucket that has rows."""
         folder = uuid.uuid4().hex
         self._bucketed(rows).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/data/{folder}")
-        held = self._fs.listStatus(self._fs_path(f"{self.path}/data/{folder}"))
-        names = [f.getPath().getName() for f in held if f.isDirectory()]
+        names = self.manifests.names(self.manifests.path(f"../data/{folder}"))
         return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("__bucket=")}
 
     def replace(self, df: DataFrame) -> int:
@@ -130,11 +93,11 @@ class Projection:
 
         For times without a writer: a folder that is being written is not named yet.
         """
-        numbers = self._numbers()
+        numbers = self.manifests.numbers()
         named = {f.split("/")[0] for n in numbers[-keep:] for f in self.manifest(n)["buckets"].values()}
         for n in numbers[:-keep]:
-            self._fs.delete(self._fs_path(f"{self.path}/manifests/v{n:010d}.json"), False)
-        gone = [f.getPath() for f in self._fs.listStatus(self._fs_path(f"{self.path}/data")) if f.getPath().getName() not in named]
-        for folder in gone:
-            self._fs.delete(folder, True)
+            self.manifests.delete(n)
+        gone = [n for n in self.manifests.names(self.manifests.path("../data")) if n not in named]
+        for name in gone:
+            self.manifests.fs.delete(self.manifests.path(f"../data/{name}"), True)
         return len(gone)
