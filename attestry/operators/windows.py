@@ -111,27 +111,6 @@ def concurrency(df: DataFrame, key: str, start: str, end: str, most: int) -> Dat
     return total.withColumn("running", running).filter(F.col("running") > most).select(key, "at", "running")
 
 
-def admitted(df: DataFrame, keys: list[str], order: list[str], amount: str, limit) -> DataFrame:
-    """``df`` with ``admitted``: whether a reservation fits under the limit beside those admitted before it.
-
-    A rejected one leaves its room to later ones, so the rows of a budget are
-    folded in their order; keys should hold a period, which bounds a group.
-    """
-    row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    kind = df.schema[amount].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("decimal(38,6)").alias("used"), F.array().cast("array<boolean>").alias("yes"))
-
-    def step(acc: Column, r: Column) -> Column:
-        fits = acc["used"] + r[amount] <= F.lit(limit).cast(kind)
-        used = F.when(fits, acc["used"] + r[amount]).otherwise(acc["used"]).cast("decimal(38,6)")
-        return F.struct(used.alias("used"), F.concat(acc["yes"], F.array(fits)).alias("yes"))
-
-    folded = rows.withColumn("__yes", F.aggregate("__rows", start, step)["yes"])
-    each = folded.select(F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__yes").alias("y"))).alias("z"))
-    return each.select("z.r.*", F.col("z.y").alias("admitted"))
-
-
 def rate_violations(df: DataFrame, key: str, at: str, n: int, seconds: int) -> DataFrame:
     """Events with more than ``n`` of their key in the seconds up to them."""
     second = F.floor(F.unix_micros(F.to_timestamp(at)) / 1_000_000)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators import folds as P
 from attestry.operators import joins as D
 from attestry.operators import metrics as E
 from attestry.operators import windows as W
@@ -349,13 +350,26 @@ def f10(events):
     return W.recovered(events, "user_id", ["ts", "event_id"], F.col("value") < 30, 2).select("event_id")
 
 
-@query("f15_admission", "fx_ledger", """WITH RECURSIVE r AS (SELECT entry_id, provider, currency, CAST(seen_at AS DATE) AS day, amount, row_number() OVER (PARTITION BY provider, currency, CAST(seen_at AS DATE) ORDER BY seen_at, entry_id) AS i FROM fx_ledger),
-a AS (SELECT provider, currency, day, i, entry_id, amount <= 100 AS admitted, CAST(CASE WHEN amount <= 100 THEN amount ELSE 0 END AS DECIMAL(38,6)) AS used FROM r WHERE i = 1
-UNION ALL SELECT r.provider, r.currency, r.day, r.i, r.entry_id, a.used + r.amount <= 100, CAST(a.used + CASE WHEN a.used + r.amount <= 100 THEN r.amount ELSE 0 END AS DECIMAL(38,6)) FROM a JOIN r ON r.provider = a.provider AND r.currency = a.currency AND r.day = a.day AND r.i = a.i + 1)
-SELECT entry_id, admitted FROM a""")
+def _admission_sql(keys: str, limit: int) -> str:
+    """The fold row by row; ``keys`` name a budget."""
+    same = " AND ".join(f"r.{k} = a.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY seen_at, entry_id) AS i FROM (SELECT entry_id, provider, currency, seen_at, CAST(seen_at AS DATE) AS day, amount FROM fx_ledger)),
+a AS (SELECT {keys}, i, entry_id, amount <= {limit} AS admitted, CAST(CASE WHEN amount <= {limit} THEN amount ELSE 0 END AS DECIMAL(38,6)) AS used FROM r WHERE i = 1
+UNION ALL SELECT {", ".join("r." + k for k in keys.split(", "))}, r.i, r.entry_id, a.used + r.amount <= {limit}, CAST(a.used + CASE WHEN a.used + r.amount <= {limit} THEN r.amount ELSE 0 END AS DECIMAL(38,6)) FROM a JOIN r ON {same} AND r.i = a.i + 1)
+SELECT entry_id, admitted FROM a"""
+
+
+@query("f15_admission", "fx_ledger", _admission_sql("provider, currency", 2000))
 def f15(ledger):
-    """Reservations of a provider's day in their order under a limit of 100."""
-    return W.admitted(ledger.withColumn("day", F.to_date("seen_at")), ["provider", "currency", "day"], ["seen_at", "entry_id"], "amount", 100).select("entry_id", "admitted")
+    """Reservations of a provider's whole budget, over all its days, in their order under a limit of 2000."""
+    return P.admitted(ledger, ["provider", "currency"], ["seen_at", "entry_id"], "amount", 2000).select("entry_id", "admitted")
+
+
+@query("j5_admission_fold", "fx_ledger", _admission_sql("provider, currency, day", 100))
+def j5(ledger):
+    """The fold for budgets of a day, which begin anew."""
+    daily = ledger.withColumn("day", F.to_date("seen_at"))
+    return P.ordered_fold(daily, ["provider", "currency", "day"], ["seen_at", "entry_id"], ["amount"], 0, lambda used, x: (used + x, (True,)) if used + x <= 100 else (used, (False,)), "admitted boolean").select("entry_id", "admitted")
 
 
 @query("f17_concurrency", "fx_jobs", "WITH p AS (SELECT worker, enqueued_at AS moment, 1 AS step FROM fx_jobs UNION ALL SELECT worker, enqueued_at + INTERVAL 8 HOUR, -1 FROM fx_jobs), t AS (SELECT worker, moment, sum(step) AS step FROM p GROUP BY 1, 2) SELECT * FROM (SELECT worker, moment, CAST(sum(step) OVER (PARTITION BY worker ORDER BY moment) AS BIGINT) AS running FROM t) WHERE running > 2")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import values as V
 from attestry.operators import documents as K
+from attestry.operators import folds
 from attestry.operators import vectors as N
 from attestry.operators import joins as D
 from attestry.operators import metrics as E
@@ -137,7 +138,7 @@ def test_running_totals_and_admission_fold(spark):
         fits[i] = used[k] + n <= 500
         used[k] += n if fits[i] else 0
     assert {r.id: int(r.running) for r in W.running_total(df, ["k"], ["at", "id"], "n").collect()} == want
-    assert {r.id: r.admitted for r in W.admitted(df, ["k"], ["at", "id"], "n", 500).collect()} == fits
+    assert {r.id: r.admitted for r in folds.admitted(df, ["k"], ["at", "id"], "n", 500).collect()} == fits
 
 
 def test_lexical_scores_match_the_formula(spark):
