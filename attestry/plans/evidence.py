@@ -313,9 +313,10 @@ def e48(conversations):
 SELECT user_id, round(loaded, 6) AS loaded, round(idle, 6) AS idle, round((loaded - idle) / nullif(idle, 0), 6) AS rise FROM q""")
 def e50(events):
     """p95 of each user in busy hours and in others, and its relative rise."""
-    busy = F.hour("ts").between(8, 19)
-    p95 = lambda c: F.expr("percentile(v, 0.95)") if c is None else F.percentile(F.when(c, F.col("value")), 0.95)
-    found = events.groupBy("user_id").agg(p95(busy).alias("a"), p95(~busy).alias("b"))
+    marked = events.withColumn("busy", F.hour("ts").between(8, 19))
+    found = E.percentiles(marked, ["user_id", "busy"], "value", (0.95,))
+    of = lambda busy: F.max(F.when(F.col("busy") == busy, F.col("p95")))
+    found = found.groupBy("user_id").agg(of(True).alias("a"), of(False).alias("b"))
     return found.select("user_id", F.round("a", 6).alias("loaded"), F.round("b", 6).alias("idle"), F.round(F.try_divide(F.col("a") - F.col("b"), F.col("b")), 6).alias("rise"))
 
 
