@@ -108,18 +108,6 @@ def enrich_secondary(official: DataFrame, secondary: DataFrame, key: str, value:
     return official.join(right, key, "left").withColumn("disagrees", F.col(value) != F.col(f"secondary_{value}"))
 
 
-def lineage(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth): all that ``start`` (column node) leads to in up to ``depth`` steps. Each step is written."""
-    from attestry.runtime import saved
-
-    reached = start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
-    found = reached
-    for k in range(1, depth + 1):
-        reached = saved(reached.join(edges, F.col("node") == F.col("from_id")).select("start", F.col("to_id").alias("node"), F.lit(k).alias("depth")).distinct())
-        found = found.unionByName(reached)
-    return found.groupBy("start", "node").agg(F.min("depth").alias("depth"))
-
-
 def covered(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width_s: int) -> DataFrame:
     """``points`` with ``covered``: whether an interval of their key holds their time (half-open).
 
@@ -136,21 +124,3 @@ def covered(points: DataFrame, intervals: DataFrame, key: str, at: str, start: s
     w = Window.partitionBy(key, "__bin").orderBy("__t", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("covered", F.coalesce(F.max("__end").over(w) > F.col("__t"), F.lit(False)))
     return seen.filter("__row IS NOT NULL").select("__row.*", "covered")
-
-
-def cycle_rest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Edges (flow, a, b) that are left when nodes without a way in or out are taken away again and again.
-
-    None are left of a flow without a cycle. Each round is written.
-    """
-    from attestry.runtime import saved
-
-    left = saved(edges.select("flow", "a", "b").dropna().distinct())
-    n = left.count()
-    for _ in range(max_rounds):
-        into, out = left.select("flow", F.col("b").alias("a")).distinct(), left.select("flow", F.col("a").alias("b")).distinct()
-        left = saved(left.join(into, ["flow", "a"], "left_semi").join(out, ["flow", "b"], "left_semi").select("flow", "a", "b"))
-        was, n = n, left.count()
-        if n == was:
-            return left
-    raise RuntimeError(f"edges did not settle in {max_rounds} rounds")

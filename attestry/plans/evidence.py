@@ -9,6 +9,7 @@ from attestry.operators import folds as P
 from attestry.operators import joins as D
 from attestry.operators import metrics as E
 from attestry.operators import windows as W
+from attestry.operators.graph import cycle_rest, lineage
 from attestry.operators.projections import metric_row
 from attestry.plans.fixtures import Registry
 
@@ -149,7 +150,7 @@ def d22(events):
     """Stages of a flow (the first six events of a user) that follow in circles."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = events.select(F.col("user_id").alias("flow"), F.col("event_type").alias("a"), F.lead("event_type").over(w).alias("b"), F.row_number().over(w).alias("i"))
-    return D.cycle_rest(steps.filter("i <= 6"))
+    return cycle_rest(steps.filter("i <= 6"))
 
 
 @query("d24_affected", "orders lineitem supplier", """WITH c AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'), s AS (SELECT DISTINCT l_suppkey FROM lineitem JOIN c ON l_orderkey = o_orderkey)
@@ -159,7 +160,7 @@ def d24(orders, lineitem, supplier):
     id_ = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     edges = lineitem.select(id_("o", "l_orderkey").alias("from_id"), id_("s", "l_suppkey").alias("to_id")).distinct().union(supplier.select(id_("s", "s_suppkey"), id_("n", "s_nationkey")))
     withdrawn = orders.filter("o_orderstatus = 'P'").select(id_("o", "o_orderkey").alias("node"))
-    return D.lineage(edges, withdrawn, 2).filter("depth > 0").select("node").distinct()
+    return lineage(edges, withdrawn).filter("depth > 0").select("node").distinct()
 
 
 @query("d25_rebuild_answer", "conversations documents", "SELECT q.conv_id, q.turn, md5(q.text) AS question, md5(a.text) AS answer, d.source AS evidence FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' JOIN documents d ON d.doc_id = q.conv_id WHERE q.role = 'user'")

@@ -12,7 +12,7 @@ from attestry.operators import projections as B
 from attestry.operators import search as X
 from attestry.operators import vectors as N
 from attestry.operators import windows as W
-from attestry.operators.graph import connected_components
+from attestry.operators.graph import connected_components, lineage
 from attestry.plans.fixtures import Registry
 from attestry.runtime import saved
 
@@ -261,7 +261,7 @@ SELECT 'o' || o_orderkey AS start, 'o' || o_orderkey AS node, 0 AS depth FROM or
 def d20(orders, lineitem, supplier, nation):
     """From every order to its suppliers, their nations and regions."""
     starts = orders.select(_node("o", "o_orderkey").alias("node"))
-    return D.lineage(_flow_edges(lineitem, supplier, nation), starts, 4)
+    return lineage(_flow_edges(lineitem, supplier, nation), starts)
 
 
 @query("f1_status_projection", "fx_observations", f"WITH p AS (SELECT subject_id, value, row_number() OVER (PARTITION BY subject_id ORDER BY {RULE}) AS r FROM fx_observations) SELECT subject_id, p.value, considered, conflict FROM p JOIN (SELECT subject_id, count(*) AS considered, count(DISTINCT value) > 1 AS conflict FROM fx_observations GROUP BY 1) USING (subject_id) WHERE r = 1")
