@@ -62,6 +62,19 @@ def merged_quantiles(sketches: DataFrame, keys: list[str], points=(0.5, 0.95, 0.
     return merged.select(*keys, "sample_count", *quantiles)
 
 
+def distinct_sketches(df: DataFrame, at: str, size: str, keys: list[str], value: str) -> DataFrame:
+    """(bucket, keys, sketch): a mergeable sketch of the distinct values of each window, some 4 KB at most, to be stored."""
+    return tumbling(df, at, size, keys, F.hll_sketch_agg(value, 14).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, size: str, keys: list[str]) -> DataFrame:
+    """(bucket, keys, estimate): about how many distinct values there are in longer windows, from stored sketches alone.
+
+    The relative error is under 3 % for 99 windows in 100.
+    """
+    return tumbling(sketches, "bucket", size, keys, F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def tumbling(df: DataFrame, at: str, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
     """Aggregates by window and keys."""
     return df.groupBy(F.window(F.to_timestamp(at), size).alias("w"), *keys).agg(*aggregates).withColumn("bucket", F.to_timestamp_ntz(F.col("w.start").cast("string"))).drop("w")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.runtime import saved
+
 
 def latest_by(df: DataFrame, keys: list[str], value: str, order: list[Column]) -> DataFrame:
     """(keys, value, considered, conflict): the value that comes first in ``order``, by one aggregation without a sort."""
@@ -53,10 +55,39 @@ def islands(df: DataFrame, key: str, order: list[str], holds: Column) -> DataFra
     return marked.withColumn("__turn", turned).withColumn("island", F.sum("__turn").over(w)).drop("__turn")
 
 
-def consecutive(df: DataFrame, key: str, order: list[str], holds: Column, n: int) -> DataFrame:
-    """Runs of at least ``n`` rows in which ``holds``: key, first, last, length."""
-    runs = islands(df, key, order, holds).filter("holds").groupBy(key, "island")
-    return runs.agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"), F.count(F.lit(1)).alias("length")).filter(F.col("length") >= n).drop("island")
+def runs(df: DataFrame, key: str, order: list[str], holds: Column, keep: int = 1, width_s: int = 86_400) -> DataFrame:
+    """Runs of rows of a key in which ``holds``: key, first_at, last_at, length, head (the first ``keep`` rows' order), preceded.
+
+    The first column of ``order`` is a time; a null ``holds`` does not hold.
+    Rows are dealt by key and time bin, so that no task sorts the history of a
+    key. Runs inside a bin are whole; those at its edges are stitched with
+    those of the next bin that has rows, by one row or two for each bin.
+    ``preceded`` tells whether the key has a row before the run.
+    """
+    place = F.struct(*order)
+    bins = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (width_s * 1_000_000))
+    rows = df.select(F.col(key), F.coalesce(holds, F.lit(False)).alias("__holds"), place.alias("__at"), bins.alias("__bin"))
+    inside = Window.partitionBy(key, "__bin").orderBy("__at")
+    turned = F.when(F.lag("__holds").over(inside) == F.col("__holds"), 0).otherwise(1)
+    rows = rows.withColumn("__turn", turned).withColumn("__island", F.sum("__turn").over(inside))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__bin", "__island").orderBy("__at")))
+    parts = rows.groupBy(key, "__bin", "__island", "__holds").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.count(F.lit(1)).alias("length"), F.array_sort(F.collect_list(F.when(F.col("__n") <= keep, F.col("__at")))).alias("head"))
+    parts = saved(parts.withColumn("__edge", (F.col("__island") == 1) | (F.col("__island") == F.max("__island").over(Window.partitionBy(key, "__bin")))))
+    shown = [F.col(key), F.col("first")[order[0]].alias("first_at"), F.col("last")[order[0]].alias("last_at"), "length", "head", "preceded"]
+    closed = parts.filter("NOT __edge AND __holds").withColumn("preceded", F.lit(True)).select(*shown)
+    along = Window.partitionBy(key).orderBy("__bin", "__island")
+    goes_on = (F.lag("__holds").over(along) == F.col("__holds")) & (F.lag("__bin").over(along) != F.col("__bin"))
+    edges = parts.filter("__edge").withColumn("__new", F.when(goes_on, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(along))
+    before = F.sum("length").over(Window.partitionBy(key, "__run").orderBy("__bin", "__island").rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.withColumn("__early", F.coalesce(before, F.lit(0)) < keep).filter("__holds")
+    heads = F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("__early"), F.col("head"))))), 1, keep)
+    stitched = edges.groupBy(key, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"), heads.alias("head"))
+    return closed.unionByName(stitched.withColumn("preceded", F.col("__run") > 1).select(*shown))
+
+
+def consecutive(df: DataFrame, key: str, order: list[str], holds: Column, n: int, width_s: int = 86_400) -> DataFrame:
+    """Runs of at least ``n`` rows in which ``holds``: key, first_at, last_at, length."""
+    return runs(df, key, order, holds, 1, width_s).filter(F.col("length") >= n).drop("head", "preceded")
 
 
 def to_intervals(df: DataFrame, key: str, at: str, order: list[str]) -> DataFrame:
@@ -96,11 +127,10 @@ def sustained(df: DataFrame, key: str, order: list[str], holds: Column, seconds:
     return runs.filter(F.unix_micros(F.to_timestamp("last_at")) - F.unix_micros(F.to_timestamp("first_at")) >= seconds * 1_000_000)
 
 
-def recovered(df: DataFrame, key: str, order: list[str], good: Column, k: int) -> DataFrame:
-    """Rows at which ``good`` holds for the ``k``-th time in a row after it had not."""
-    w = Window.partitionBy(key).orderBy(*order)
-    last = F.sum(good.cast("int")).over(w.rowsBetween(-k + 1, 0))
-    return df.withColumn("__n", last).withColumn("__before", F.lag(good, k).over(w)).filter((F.col("__n") == k) & ~F.col("__before")).drop("__n", "__before")
+def recovered(df: DataFrame, key: str, order: list[str], good: Column, k: int, width_s: int = 86_400) -> DataFrame:
+    """(key, order): rows at which ``good`` holds for the ``k``-th time in a row after it had not."""
+    found = runs(df, key, order, good, k, width_s).filter((F.col("length") >= k) & F.col("preceded"))
+    return found.select(key, F.get("head", F.lit(k - 1)).alias("__at")).select(key, *[F.col("__at")[c].alias(c) for c in order])
 
 
 def concurrency(df: DataFrame, key: str, start: str, end: str, most: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.operators import metrics as E
 from attestry.operators import windows as W
 from attestry.plans.fixtures import Registry
+from attestry.runtime import saved
 
 query = Registry()
 ENDED = "state IN ('succeeded', 'failed', 'dead_letter', 'cancelled')"
@@ -44,6 +45,15 @@ def e7(events):
     return E.tumbling(events, "ts", "1 hour", ["event_type"], F.countDistinct("user_id").alias("objects"))
 
 
+@query("e7_merged_distinct", "events", "SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(DISTINCT user_id) AS objects, true AS close FROM events GROUP BY 1, 2")
+def e7_merged(events):
+    """Weeks from stored sketches of quarter hours, beside the exact count; ``close`` if they differ by 5 % at most."""
+    stored = saved(E.distinct_sketches(events, "ts", "15 minutes", ["event_type"], "user_id"))
+    exact = E.tumbling(events, "ts", "7 days", ["event_type"], F.countDistinct("user_id").alias("objects"))
+    found = exact.join(E.merged_distinct(stored, "7 days", ["event_type"]), ["bucket", "event_type"])
+    return found.select("bucket", "event_type", "objects", (F.abs(F.col("estimate") - F.col("objects")) <= 0.05 * F.col("objects")).alias("close"))
+
+
 @query("e8_attempt_failure", "fx_jobs", "SELECT queue, count(*) FILTER (WHERE state IN ('succeeded', 'failed', 'dead_letter')) AS n, count(*) FILTER (WHERE state IN ('failed', 'dead_letter')) / nullif(count(*) FILTER (WHERE state IN ('succeeded', 'failed', 'dead_letter')), 0) AS rate FROM fx_jobs GROUP BY 1")
 def e8(jobs):
     return E.rate(jobs, ["queue"], F.col("state").isin("failed", "dead_letter"), F.col("state").isin("succeeded", "failed", "dead_letter"))
