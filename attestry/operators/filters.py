@@ -49,8 +49,15 @@ def url_allowed(url: str, domains: list[str]) -> Column:
     return (host != "") & domain.isin(*domains) & ~private
 
 
-def retain(df: DataFrame, at: str, now: str, days: int) -> DataFrame:
-    return df.filter(F.col(at) >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL '{days}' DAY"))
+#: Days that each class of data is kept.
+RETENTION_DAYS = {"chat_context": 1, "heartbeat": 7, "query_text": 30, "aggregate": 90, "audit": 365}
+
+
+def retain(df: DataFrame, cls: Column, at: str, now: str, days: dict[str, int] = RETENTION_DAYS) -> DataFrame:
+    """Rows whose class ``cls`` still keeps them at ``now``; a class without a period, or none, keeps its rows."""
+    period = F.coalesce(*[F.when(cls == name, F.lit(n)) for name, n in days.items()])
+    age = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(period)
+    return df.filter(period.isNull() | (F.col(at) >= age))
 
 
 def apply_tombstones(df: DataFrame, tombstones: DataFrame, key: str, content: list[str]) -> DataFrame:

@@ -148,10 +148,14 @@ def rate_violations(df: DataFrame, key: str, at: str, n: int, seconds: int) -> D
     return df.withColumn("__second", second).withColumn("in_window", F.count(F.lit(1)).over(w)).filter(F.col("in_window") > n).drop("__second")
 
 
-def backoff(df: DataFrame, key: str, order: list[str], base: int = 30, most: int = 3600, tries: int = 5) -> DataFrame:
-    """Seconds to wait after each attempt, doubled up to the limit; the last try leads to dead letter."""
+def backoff(df: DataFrame, key: str, order: list[str], retry_after: str | None = None, base: int = 30, most: int = 3600, tries: int = 5) -> DataFrame:
+    """Seconds to wait after each attempt, doubled up to the limit; the last try leads to dead letter.
+
+    A column ``retry_after`` of seconds that the server asked for wins over the schedule where it is set.
+    """
     attempt = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     wait = F.least(F.lit(base) * F.pow(F.lit(2), F.least(F.col("attempt"), F.lit(20)) - 1), F.lit(most)).cast("long")
+    wait = F.coalesce(F.col(retry_after).cast("long"), wait) if retry_after else wait
     return df.withColumn("attempt", attempt).withColumn("dead_letter", F.col("attempt") >= tries).withColumn("wait_s", F.when(~F.col("dead_letter"), wait))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators import folds as P
@@ -110,12 +110,17 @@ def d12_binned(part, supplier):
     return D.binned_range_join(points, supplier.select("s_suppkey", low.alias("low"), (low + 2000).alias("high")), "cents", "low", "high", 2000).select("p_partkey", "s_suppkey")
 
 
-@query("d14_project_chunks", "orders lineitem", "SELECT DISTINCT o_orderkey AS project_id, l_linenumber AS segment, l_partkey AS chunk FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
-def d14(orders, lineitem):
-    """Chunks of a gazette that holds several dossiers reach a project through their segment's link, never through the gazette."""
-    chunks = lineitem.select(F.col("l_linenumber").alias("segment"), F.col("l_partkey").alias("chunk"), F.col("l_orderkey").alias("segment_of"))
-    links = orders.select(F.col("o_orderkey").alias("segment_of"), F.col("o_orderkey").alias("project_id"))
-    return chunks.join(links, "segment_of").select("project_id", "segment", "chunk").distinct()
+LINKED = "SELECT l_orderkey // 5 AS gazette, l_orderkey * 10 + l_linenumber AS segment, l_orderkey AS project_id FROM lineitem UNION SELECT l_orderkey // 5, l_orderkey * 10 + l_linenumber, l_orderkey // 5 * 5 FROM lineitem WHERE l_linenumber = 7"
+
+
+@query("d14_project_chunks", "lineitem", f"WITH l AS ({LINKED}), c AS (SELECT DISTINCT l_orderkey // 5 AS gazette, l_orderkey * 10 + l_linenumber AS segment, l_partkey AS chunk FROM lineitem) SELECT project_id, gazette, segment, chunk FROM c JOIN l USING (gazette, segment)")
+def d14(lineitem):
+    """Five dossiers share a gazette: chunks reach a project through the links of their segment, of which some have two, never through the gazette."""
+    parts = lineitem.select(F.expr("l_orderkey DIV 5").alias("gazette"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("segment"), "l_linenumber", "l_orderkey", F.col("l_partkey").alias("chunk"))
+    first = F.when(F.col("l_linenumber") == 7, F.array("l_orderkey", F.col("gazette") * 5)).otherwise(F.array("l_orderkey"))
+    links = parts.select("gazette", "segment", F.explode(first).alias("project_id")).distinct()
+    chunks = parts.select("gazette", "segment", "chunk").distinct()
+    return chunks.join(links, ["gazette", "segment"]).select("project_id", "gazette", "segment", "chunk")
 
 
 def _claims(conversations: DataFrame) -> DataFrame:
@@ -188,14 +193,18 @@ def d27(lineitem):
     return month.select(F.col("l_orderkey").alias("project_id"), F.to_date("l_shipdate").alias("day"), (F.col("l_linestatus") == "F").alias("held"))
 
 
-@query("d28_votings", "orders fx_vote_obs", """WITH c AS (SELECT voting_id, count(DISTINCT person_id) AS persons, count(*) AS n FROM fx_vote_obs GROUP BY 1)
-SELECT o_custkey AS session, CAST(extract(year FROM o_orderdate) AS BIGINT) AS year, count(*) AS votings, coalesce(sum(persons), 0) AS votes, count(c.voting_id) / count(*) AS coverage FROM orders LEFT JOIN c ON o_orderkey = voting_id GROUP BY 1, 2""")
+@query("d28_votings", "orders fx_vote_obs", """WITH s AS (SELECT o_custkey AS session, CAST(extract(year FROM o_orderdate) AS BIGINT) AS year, o_orderkey AS voting_id, o_orderkey % 300 AS project FROM orders), t AS (SELECT session, year, count(*) AS held, count(DISTINCT project) AS projects FROM s GROUP BY 1, 2)
+SELECT session, year, person_id, any_value(projects) AS session_projects, count(DISTINCT voting_id) AS votings, count(DISTINCT project) AS projects, count(DISTINCT voting_id) / any_value(held) AS coverage FROM s JOIN t USING (session, year) LEFT JOIN fx_vote_obs USING (voting_id) GROUP BY 1, 2, 3""")
 def d28(orders, votes):
-    """Votings by session and year; coverage is the share with nominal votes."""
-    counted = votes.groupBy("voting_id").agg(F.countDistinct("person_id").alias("persons"))
-    found = orders.join(counted, F.col("o_orderkey") == F.col("voting_id"), "left")
-    n = F.count(F.lit(1))
-    return found.groupBy(F.col("o_custkey").alias("session"), F.year("o_orderdate").cast("long").alias("year")).agg(n.alias("votings"), F.coalesce(F.sum("persons"), F.lit(0)).alias("votes"), (F.count("voting_id") / n).alias("coverage"))
+    """Votings by session, year, project and person; coverage is the share of the session's votings with a vote of the person.
+
+    Votings without nominal votes stay, under no person.
+    """
+    held = orders.select(F.col("o_custkey").alias("session"), F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderkey").alias("voting_id"), (F.col("o_orderkey") % 300).alias("project"))
+    totals = held.groupBy("session", "year").agg(F.count(F.lit(1)).alias("held"), F.countDistinct("project").alias("session_projects"))
+    cast = held.join(votes.select("voting_id", "person_id").distinct(), "voting_id", "left")
+    found = cast.groupBy("session", "year", "person_id").agg(F.count(F.lit(1)).alias("votings"), F.countDistinct("project").alias("projects"))
+    return found.join(totals, ["session", "year"]).select("session", "year", "person_id", "session_projects", "votings", "projects", (F.col("votings") / F.col("held")).alias("coverage"))
 
 
 @query("d29_attendance", "lineitem", "SELECT r.l_orderkey AS session, r.l_suppkey AS person_id, CASE WHEN a.l_suppkey IS NULL THEN 'not_recorded' ELSE 'present' END AS attendance FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) r LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_tax < 0.04) a ON r.l_orderkey = a.l_orderkey AND r.l_suppkey = a.l_suppkey")
@@ -213,9 +222,13 @@ def d31(alerts):
     return D.covered(alerts, parents, "rule", "seen_at", "starts", "ends", 1800).select("alert_id", F.col("covered").alias("inhibited"))
 
 
-@query("d33_participants", "fx_observations", "SELECT subject_id, stage, authority, count(DISTINCT source_id) AS participants FROM fx_observations GROUP BY 1, 2, 3")
+@query("d33_participants", "fx_observations", """SELECT subject_id, stage, CASE value WHEN 'A' THEN 'author' WHEN 'N' THEN 'speaker' ELSE 'coauthor' END AS role, count(DISTINCT source_id) FILTER (WHERE source_id % 3 > 0) AS persons, count(DISTINCT source_id) FILTER (WHERE source_id % 3 = 0) AS organizations, count(DISTINCT source_id) FILTER (WHERE authority = 'primary') AS by_primary, count(DISTINCT source_id) FILTER (WHERE authority <> 'primary') AS by_secondary FROM fx_observations GROUP BY 1, 2, 3""")
 def d33(obs):
-    return obs.groupBy("subject_id", "stage", "authority").agg(F.countDistinct("source_id").alias("participants"))
+    """Persons and organizations by role and stage; what primary and secondary sources name is counted apart."""
+    role = F.when(F.col("value") == "A", "author").when(F.col("value") == "N", "speaker").otherwise("coauthor")
+    n = lambda c: F.countDistinct(F.when(c, F.col("source_id")))
+    person, primary = F.col("source_id") % 3 > 0, F.col("authority") == "primary"
+    return obs.groupBy("subject_id", "stage", role.alias("role")).agg(n(person).alias("persons"), n(~person).alias("organizations"), n(primary).alias("by_primary"), n(~primary).alias("by_secondary"))
 
 
 @query("e13_three_clocks", "fx_checks", "SELECT source_id, max(checked_at) AS last_attempt, max(checked_at) FILTER (WHERE ok) AS last_success, max(checked_at) FILTER (WHERE content_hash IS DISTINCT FROM previous) AS last_change FROM (SELECT *, lag(content_hash) OVER (PARTITION BY source_id ORDER BY checked_at, check_id) AS previous FROM fx_checks) GROUP BY 1")
@@ -235,11 +248,16 @@ def e14(orders, lineitem):
     return found.select("o_orderkey", F.when(published.isNull(), "first_detection").otherwise("published").alias("basis"), F.datediff(F.to_date("available"), F.to_date(F.coalesce(published, "detected"))).cast("long").alias("days"))
 
 
-@query("e17_query_duration", "events", f"SELECT user_id, CAST(ts AS DATE) AS day, {_duck_s('min(ts)', 'max(ts)')} AS seconds, {_duck_s('min(ts)', 'max(ts) FILTER (WHERE event_type = ' + chr(39) + 'view' + chr(39) + ')')} AS to_last_view FROM events GROUP BY 1, 2")
+@query("e17_query_duration", "events", """WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type AS stage, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id))
+SELECT user_id, day, stage, CAST(coalesce(sum(us), 0) AS BIGINT) // 1000 AS stage_ms, CAST(sum(coalesce(sum(us), 0)) OVER (PARTITION BY user_id, day) AS BIGINT) // 1000 AS query_ms FROM s GROUP BY 1, 2, 3""")
 def e17(events):
-    """A query is a user's day: its duration, and that of its stage up to the last view."""
-    spans = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("v"))
-    return spans.select("user_id", "day", _seconds("a", "b").alias("seconds"), _seconds("a", "v").alias("to_last_view"))
+    """A query is a user's day: its duration and that of each of its stages, which last until the next begins."""
+    day = events.withColumn("day", F.to_date("ts"))
+    us = lambda c: F.unix_micros(F.to_timestamp(c))
+    steps = day.withColumn("us", us(F.lead("ts").over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id"))) - us("ts"))
+    stages = steps.groupBy("user_id", "day", F.col("event_type").alias("stage")).agg(F.coalesce(F.sum("us"), F.lit(0)).alias("us"))
+    total = F.sum("us").over(Window.partitionBy("user_id", "day"))
+    return stages.select("user_id", "day", "stage", F.expr("us DIV 1000").alias("stage_ms"), F.call_function("div", total, F.lit(1000).cast("long")).alias("query_ms"))
 
 
 @query("e36_reviewer_agreement", "labels documents", "SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1 - toxic) / count(*) AS agreement, count(*) FILTER (WHERE quality <> 1 - toxic) AS to_adjudicate FROM labels JOIN documents USING (doc_id) GROUP BY 1")
@@ -270,10 +288,14 @@ def e39(jobs):
     return jobs.filter("state = 'running'").join(rate, ["queue", "stage"], "left").select("job_id", F.when(F.col("rate") > 0, left).cast("long").alias("rounds_left"))
 
 
-@query("e40_review_cases", "labels documents", "SELECT source, count(*) AS cases, count(*) FILTER (WHERE toxic = 1) AS urgent, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS reverted, max(n_chars) AS largest FROM labels JOIN documents USING (doc_id) GROUP BY 1")
-def e40(labels, documents):
-    cases = labels.join(documents.select("doc_id", "source", "n_chars"), "doc_id")
-    return cases.groupBy("source").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("toxic") == 1).alias("urgent"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("reverted"), F.max("n_chars").alias("largest"))
+@query("e40_review_cases", "labels documents events", f"SELECT source, count(*) AS cases, count(*) FILTER (WHERE toxic = 1) AS urgent, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS reverted, {_duck_s('min(ts)', 'TIMESTAMP ' + chr(39) + NOW + chr(39))} AS oldest_s, {_duck_s('min(ts) FILTER (WHERE toxic = 1)', 'TIMESTAMP ' + chr(39) + NOW + chr(39))} AS oldest_urgent_s FROM labels JOIN documents USING (doc_id) LEFT JOIN events ON event_id = doc_id GROUP BY 1")
+def e40(labels, documents, events):
+    """Cases of each source with the age of the oldest; a case is opened by the event of its number."""
+    opened = events.select(F.col("event_id").alias("doc_id"), "ts")
+    cases = labels.join(documents.select("doc_id", "source"), "doc_id").join(opened, "doc_id", "left")
+    urgent = F.col("toxic") == 1
+    found = cases.groupBy("source").agg(F.count(F.lit(1)).alias("cases"), F.count_if(urgent).alias("urgent"), F.count_if((F.col("quality") == 0) & ~urgent).alias("reverted"), F.min("ts").alias("a"), F.min(F.when(urgent, F.col("ts"))).alias("u")).withColumn("now", _ntz(NOW))
+    return found.select("source", "cases", "urgent", "reverted", _seconds("a", "now").alias("oldest_s"), _seconds("u", "now").alias("oldest_urgent_s"))
 
 
 @query("e41_convert_currency", "fx_ledger events", """WITH r AS (SELECT CAST(ts AS DATE) AS day, CAST(3900 + max(event_id) % 100 AS DECIMAL(18,0)) AS rate FROM events GROUP BY 1), l AS (SELECT * FROM fx_ledger)
@@ -321,10 +343,15 @@ def e50(events):
     return found.select("user_id", F.round("a", 6).alias("loaded"), F.round("b", 6).alias("idle"), F.round(F.try_divide(F.col("a") - F.col("b"), F.col("b")), 6).alias("rise"))
 
 
-@query("e51_incident_times", "fx_alerts", f"SELECT rule, resource_id, {_duck_s('min(seen_at)', 'min(seen_at) FILTER (WHERE severity = ' + chr(39) + 'critical' + chr(39) + ')')} AS to_acknowledge_s, {_duck_s('min(seen_at)', 'max(seen_at)')} AS to_resolve_s, count(*) - 1 AS reopened FROM fx_alerts GROUP BY 1, 2")
-def e51(alerts):
-    times = alerts.groupBy("rule", "resource_id").agg(F.min("seen_at").alias("a"), F.min(F.when(F.col("severity") == "critical", F.col("seen_at"))).alias("k"), F.max("seen_at").alias("z"), (F.count(F.lit(1)) - 1).alias("reopened"))
-    return times.select("rule", "resource_id", _seconds("a", "k").alias("to_acknowledge_s"), _seconds("a", "z").alias("to_resolve_s"), "reopened")
+@query("e51_incident_times", "fx_alerts events", f"""WITH i AS (SELECT rule, resource_id, min(seen_at) AS a, max(seen_at) AS z, count(*) - 1 AS reopened FROM fx_alerts GROUP BY 1, 2)
+SELECT rule, resource_id, {_duck_s('a', "min(ts) FILTER (WHERE event_type = 'view' AND ts > a)")} AS to_acknowledge_s, {_duck_s('a', "min(ts) FILTER (WHERE event_type = 'purchase' AND ts > z)")} AS to_resolve_s, any_value(reopened) AS reopened FROM i LEFT JOIN events ON user_id = resource_id GROUP BY rule, resource_id, a""")
+def e51(alerts, events):
+    """An incident begins with its first alert; the next view acknowledges it, the first purchase after its last alert resolves it."""
+    times = alerts.groupBy("rule", "resource_id").agg(F.min("seen_at").alias("a"), F.max("seen_at").alias("z"), (F.count(F.lit(1)) - 1).alias("reopened"))
+    acts = events.filter("event_type IN ('view', 'purchase')").select(F.col("user_id").alias("resource_id"), "event_type", "ts")
+    first = lambda kind, after: F.min(F.when((F.col("event_type") == kind) & (F.col("ts") > F.col(after)), F.col("ts")))
+    found = times.join(acts, "resource_id", "left").groupBy("rule", "resource_id", "a", "reopened").agg(first("view", "a").alias("k"), first("purchase", "z").alias("r"))
+    return found.select("rule", "resource_id", _seconds("a", "k").alias("to_acknowledge_s"), _seconds("a", "r").alias("to_resolve_s"), "reopened")
 
 
 LINES = "l_linenumber, l_partkey, l_extendedprice"
@@ -389,15 +416,26 @@ def f18(jobs):
     return last.filter((F.col("last_beat") >= _ntz("2024-01-29")) & behind)
 
 
-SIGNAL = "CASE WHEN age <= 86400 THEN 'fresh' WHEN age <= 172800 THEN 'stale' ELSE 'disconnected' END"
+AGED = "SELECT worker, boot_id, (epoch_us((SELECT max(enqueued_at) + INTERVAL 1 MINUTE FROM fx_jobs)) - epoch_us(max(enqueued_at))) // 1000000 AS age, count(*) FILTER (WHERE state = 'running') AS assigned FROM fx_jobs"
+
+
+def worker_signals(jobs: DataFrame, keys: list[str], now: Column, stale_s: int = 45, gone_s: int = 90) -> DataFrame:
+    """(keys, age, assigned, signal): fresh, stale or disconnected by the last beat, and the work that runs."""
+    last = jobs.groupBy(*keys).agg(F.max("enqueued_at").alias("last"), F.count_if(F.col("state") == "running").alias("assigned"))
+    aged = last.withColumn("now", now).withColumn("age", _seconds("last", "now"))
+    signal = F.when(F.col("age") <= stale_s, "fresh").when(F.col("age") <= gone_s, "stale").otherwise("disconnected")
+    return aged.select(*keys, "age", "assigned", signal.alias("signal"))
+
+
+def _minute_later(jobs: DataFrame) -> Column:
+    """A minute after the last beat of the table."""
+    return F.lit(jobs.agg((F.max("enqueued_at") + F.expr("INTERVAL '1' MINUTE")).alias("now")).first()[0]).cast("timestamp_ntz")
 
 
-@query("f19_worker_signal", "fx_jobs", f"SELECT worker, boot_id, {SIGNAL} AS signal FROM (SELECT worker, boot_id, {_duck_s('max(enqueued_at)', chr(84) + 'IMESTAMP ' + chr(39) + NOW + chr(39))} AS age FROM fx_jobs GROUP BY 1, 2)")
+@query("f19_worker_signal", "fx_jobs", f"SELECT worker, boot_id, CASE WHEN age <= 45 THEN 'fresh' WHEN age <= 90 THEN 'stale' ELSE 'disconnected' END AS signal FROM ({AGED} GROUP BY 1, 2)")
 def f19(jobs):
-    """Signal of each boot of a worker; the limits are a day and two in these data."""
-    last = jobs.groupBy("worker", "boot_id").agg(F.max("enqueued_at").alias("last")).withColumn("now", _ntz(NOW))
-    age = _seconds("last", "now")
-    return last.select("worker", "boot_id", F.when(age <= 86400, "fresh").when(age <= 172800, "stale").otherwise("disconnected").alias("signal"))
+    """Signal of each boot of a worker a minute after the last beat of all."""
+    return worker_signals(jobs, ["worker", "boot_id"], _minute_later(jobs)).select("worker", "boot_id", "signal")
 
 
 @query("f24_alert_lifecycle", "events", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, bool_or(event_type = 'error') AS bad FROM events GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - row_number() OVER (PARTITION BY user_id, bad ORDER BY day) AS g FROM d),
@@ -530,13 +568,12 @@ def l4(jobs):
     return _alert(runs.groupBy("worker").agg(F.count(F.lit(1)).alias("occurrences")), "l4", "worker", "occurrences")
 
 
-@query("l5_worker_silent", "fx_jobs", """SELECT sha256('l5:' || worker) AS fingerprint, worker, CASE WHEN last < TIMESTAMP '2024-01-31' - INTERVAL 36 HOUR AND assigned > 0 THEN 'incident' ELSE 'warning' END AS severity
-FROM (SELECT worker, max(enqueued_at) AS last, count(*) FILTER (WHERE state = 'running') AS assigned FROM fx_jobs GROUP BY 1) WHERE last < TIMESTAMP '2024-01-31' - INTERVAL 12 HOUR""")
+@query("l5_worker_silent", "fx_jobs", f"SELECT sha256('l5:' || worker) AS fingerprint, worker, CASE WHEN age > 90 AND assigned > 0 THEN 'incident' ELSE 'warning' END AS severity FROM ({AGED.replace(', boot_id', '')} GROUP BY 1) WHERE age > 45")
 def l5(jobs):
-    """Silent for 12 hours: warning; for 36 with work assigned: incident (limits for these data)."""
-    last = jobs.groupBy("worker").agg(F.max("enqueued_at").alias("last"), F.count_if(F.col("state") == "running").alias("assigned"))
-    gone = (F.col("last") < _ntz("2024-01-29 12:00:00")) & (F.col("assigned") > 0)
-    return _alert(last.filter(F.col("last") < _ntz("2024-01-30 12:00:00")), "l5", "worker", F.when(gone, "incident").otherwise("warning").alias("severity"))
+    """Silent for 45 s: warning; for 90 s with work assigned: incident."""
+    silent = worker_signals(jobs, ["worker"], _minute_later(jobs)).filter("signal <> 'fresh'")
+    gone = (F.col("signal") == "disconnected") & (F.col("assigned") > 0)
+    return _alert(silent, "l5", "worker", F.when(gone, "incident").otherwise("warning").alias("severity"))
 
 
 @query("l6_no_advance", "fx_jobs", "SELECT sha256('l6:' || job_id) AS fingerprint, job_id, stage FROM fx_jobs WHERE state = 'running' AND enqueued_at < TIMESTAMP '2024-01-31' - to_days(CASE stage WHEN 'view' THEN 5 WHEN 'click' THEN 10 ELSE 20 END)")

@@ -27,12 +27,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view or a test table."""
+    """A fixture view or a test table, read under its declared schema."""
     if name not in VIEWS:
-        return read_table(spark, sf_dir, name)
+        return read_table(spark, sf_dir, name, declared=True)
     text = VIEWS[name].replace("sha256(text)", "sha2(text, 256)").replace("event_id // 3", "event_id DIV 3").replace("doc_id // 4", "doc_id DIV 4")
     table = re.search(r"FROM (\w+)(?: WHERE .*)?$", text)[1]
-    return spark.sql(re.sub(rf"FROM {table}\b", "FROM {source}", text), source=read_table(spark, sf_dir, table))
+    return spark.sql(re.sub(rf"FROM {table}\b", "FROM {source}", text), source=read_table(spark, sf_dir, table, declared=True))
 
 
 def with_views(sql: str) -> str:

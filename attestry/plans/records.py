@@ -14,6 +14,7 @@ from attestry.operators import vectors as N
 from attestry.operators import windows as W
 from attestry.operators.graph import connected_components, lineage
 from attestry.plans.fixtures import Registry
+from attestry.plans.retrieval import QUALITY
 from attestry.runtime import saved
 
 query = Registry()
@@ -124,12 +125,12 @@ def c7(projects):
     return projects.select("project_id", C.date_match("filed_on", "date_precision", "1996-03-15", "1997-06-01").alias("match"))
 
 
-@query("c10_retention", "events", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - to_days(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 7 ELSE 30 END)")
+@query("c10_retention", "events", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-02-05' - to_days(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 7 WHEN 'error' THEN 30 WHEN 'signup' THEN 90 ELSE 365 END)")
 def c10(events):
-    """A retention period for each class of data."""
-    days = {"click": 1, "view": 7}
-    kept = [C.retain(events.filter(F.col("event_type") == k), "ts", "2024-01-31", d) for k, d in days.items()]
-    return kept[0].union(kept[1]).union(C.retain(events.filter(~F.col("event_type").isin(*days)), "ts", "2024-01-31", 30)).select("event_id")
+    """The five retention periods, by the class of each type of event."""
+    classes = {"click": "chat_context", "view": "heartbeat", "error": "query_text", "signup": "aggregate", "purchase": "audit"}
+    cls = F.coalesce(*[F.when(F.col("event_type") == k, c) for k, c in classes.items()])
+    return C.retain(events, cls, "ts", "2024-02-05").select("event_id")
 
 
 @query("c11_url_allowed", "pages", r"SELECT page_id, regexp_extract(url, '^https?://([^/?#:]*)', 1) <> '' AND regexp_extract(regexp_extract(url, '^https?://([^/?#:]*)', 1), '([^.]+\.[^.]+)$', 1) IN ('example.org', 'example.com') AND NOT regexp_matches(regexp_extract(url, '^https?://([^/?#:]*)', 1), '^(127\.|10\.|192\.168\.|169\.254\.|localhost$)') AS ok FROM pages")
@@ -354,9 +355,12 @@ def k1(docs):
     return K.blobs(docs, "text")
 
 
-@query("k4_paginate", "documents", "SELECT doc_id, i AS page, md5(ls[i]) AS page_md5 FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))")
+@query("k4_paginate", "documents", f"SELECT doc_id, page, page_md5, quality, CASE WHEN quality = 'accepted' THEN 'native' ELSE 'ocr' END AS method FROM (SELECT doc_id, i AS page, md5(ls[i]) AS page_md5, {QUALITY.format(t='ls[i]')} AS quality FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))")
 def k4(docs):
-    return K.paginate(docs, "doc_id", "text").select("doc_id", F.col("page").cast("long").alias("page"), F.md5("page_text").alias("page_md5"))
+    """Pages from 1 with the quality of their text and the method that follows: what is not accepted natively is read by OCR."""
+    quality = K.text_quality(F.col("page_text"))
+    pages = K.paginate(docs, "doc_id", "text").select("doc_id", F.col("page").cast("long").alias("page"), F.md5("page_text").alias("page_md5"), quality.alias("quality"))
+    return pages.withColumn("method", F.when(F.col("quality") == "accepted", "native").otherwise("ocr"))
 
 
 @query("k9_inverted_index", "documents", r"SELECT doc_id, term, tf, CAST(count(*) OVER (PARTITION BY term) AS BIGINT) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2)")

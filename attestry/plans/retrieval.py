@@ -177,12 +177,19 @@ def k24(revisions):
     return revisions.select("revision_id", F.col("hash").alias("stored"), F.sha2(restored, 256).alias("found")).filter("stored <> found")
 
 
-@query("k25_topics", "documents labels", rf"SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN source ELSE lower(regexp_extract(text, '{WORDS}')) END AS topic, CASE WHEN l.doc_id IS NOT NULL THEN 'official' ELSE 'generated' END AS method FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id")
+@query("k25_topics", "documents labels", r"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM t), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+g AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln(n / df), 6) DESC, term) AS r FROM t JOIN d USING (term) CROSS JOIN n WHERE length(term) >= 4) WHERE r = 1)
+SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN source ELSE term END AS topic, CASE WHEN l.doc_id IS NOT NULL THEN 'official' ELSE 'generated' END AS method FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id LEFT JOIN g ON d.doc_id = g.doc_id""")
 def k25(documents, labels):
-    """An official label where there is one, else a generated one; the method stands beside it."""
+    """An official label where there is one, else the term that sets the document apart most; the method stands beside it."""
+    index = X.Postings.build(documents, "doc_id", "text")
+    n = index.blocks.filter("term IS NULL").agg(F.sum("n")).first()[0] or 0
+    rows = index.rows("doc_id").filter(F.length("term") >= 4)
+    weight = F.round(F.col("tf") * F.log(n / F.col("df")), 6)
+    best = rows.groupBy("doc_id").agg(F.min(F.struct((-weight).alias("w"), "term"))["term"].alias("term"))
     official = labels.filter("quality = 1").select("doc_id", F.lit(True).alias("official")).distinct()
-    found = documents.join(official, "doc_id", "left")
-    return found.select("doc_id", F.when(F.col("official"), F.col("source")).otherwise(F.lower(F.regexp_extract("text", WORDS, 0))).alias("topic"), F.when(F.col("official"), "official").otherwise("generated").alias("method"))
+    found = documents.join(official, "doc_id", "left").join(best, "doc_id", "left")
+    return found.select("doc_id", F.when(F.col("official"), F.col("source")).otherwise(F.col("term")).alias("topic"), F.when(F.col("official"), "official").otherwise("generated").alias("method"))
 
 
 @query("k26_norm_validity", "fx_memberships", "SELECT term_id, party FROM fx_memberships WHERE valid_from <= DATE '1998-01-01' AND (valid_to IS NULL OR DATE '1998-01-01' < valid_to)")

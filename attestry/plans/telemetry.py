@@ -169,9 +169,13 @@ def e33(jobs):
     return known.withColumn("share", F.col("completed") / F.col("total"))
 
 
-@query("e34_route_mix", "events", "SELECT event_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM events GROUP BY 1")
-def e34(events):
-    counts = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+@query("e34_route_mix", "conversations", r"""WITH r AS (SELECT CASE WHEN text LIKE '%?' THEN 'clarification' WHEN length(text) < 60 THEN 'abstention' WHEN regexp_matches(text, '[0-9]') AND text LIKE '%' || chr(10) || '%' THEN 'hybrid' WHEN regexp_matches(text, '[0-9]') THEN 'sql' ELSE 'document' END AS route FROM conversations WHERE role = 'assistant')
+SELECT route, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM r GROUP BY 1""")
+def e34(conversations):
+    """How answers came about: a question back, too short to be one, with numbers, with text, with both. None of these is an error."""
+    text, number = F.col("text"), F.col("text").rlike("[0-9]")
+    route = F.when(text.endswith("?"), "clarification").when(F.length(text) < 60, "abstention").when(number & text.contains("\n"), "hybrid").when(number, "sql").otherwise("document")
+    counts = conversations.filter("role = 'assistant'").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
@@ -232,9 +236,13 @@ def f16(events):
     return W.rate_violations(events, "user_id", "ts", 1, 3600).select("event_id", "in_window")
 
 
-@query("f20_backoff", "fx_jobs", "SELECT job_id, attempt, attempt >= 5 AS dead_letter, CASE WHEN attempt < 5 THEN CAST(least(30 * pow(2, attempt - 1), 3600) AS BIGINT) END AS wait_s FROM (SELECT job_id, row_number() OVER (PARTITION BY worker ORDER BY enqueued_at, job_id) AS attempt FROM fx_jobs WHERE state = 'retry_wait')")
+@query("f20_backoff", "fx_jobs", "SELECT job_id, attempt, attempt >= 5 AS dead_letter, wait_s, enqueued_at + to_seconds(wait_s) AS next_at FROM (SELECT *, CASE WHEN attempt < 5 THEN CASE WHEN job_id % 3 = 0 THEN 17 + job_id % 5000 ELSE CAST(least(30 * pow(2, attempt - 1), 3600) AS BIGINT) END END AS wait_s FROM (SELECT job_id, enqueued_at, row_number() OVER (PARTITION BY worker ORDER BY enqueued_at, job_id) AS attempt FROM fx_jobs WHERE state = 'retry_wait'))")
 def f20(jobs):
-    return W.backoff(jobs.filter("state = 'retry_wait'"), "worker", ["enqueued_at", "job_id"]).select("job_id", "attempt", "dead_letter", "wait_s")
+    """When each waiting job may be tried next; every third server named its own time."""
+    waiting = jobs.filter("state = 'retry_wait'").withColumn("retry_after", F.when(F.col("job_id") % 3 == 0, 17 + F.col("job_id") % 5000))
+    found = W.backoff(waiting, "worker", ["enqueued_at", "job_id"], "retry_after")
+    next_at = F.col("enqueued_at") + F.make_dt_interval(secs=F.col("wait_s").cast("decimal(18,6)"))
+    return found.select("job_id", "attempt", "dead_letter", "wait_s", next_at.alias("next_at"))
 
 
 @query("f22_volume_anomaly", "events", """WITH g AS (SELECT DISTINCT user_id FROM events), c AS (SELECT CAST(unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS DATE) AS day FROM events),

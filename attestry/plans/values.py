@@ -176,18 +176,12 @@ def j2(benchmark, documents):
 @query("j3_chunk_function", "documents", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0b]+') AS w FROM documents), o AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 100) / 700) AS BIGINT)))) AS ordinal FROM w WHERE len(w) > 0)
 SELECT doc_id, ordinal, md5(array_to_string(w[ordinal * 700 + 1 : ordinal * 700 + 800], ' ')) AS chunk_md5 FROM o""")
 def j3(documents):
-    """The chunker as a table function that SQL calls for each row."""
+    """The chunker as a function that SQL calls; its array is laid out as a table."""
     spark = documents.sparkSession
-
-    class Chunks:
-        def eval(self, text: str, size: int, overlap: int):
-            words = [w for w in __import__("re").split(r"[ \t\n\r\f\x0b]+", text or "") if w]
-            step = size - overlap
-            for k in range(max(1, -(-(len(words) - overlap) // step)) if words else 0):
-                yield k, " ".join(words[k * step : k * step + size])
-
-    spark.udtf.register("chunks", F.udtf(Chunks, returnType="ordinal long, chunk string"))
-    return spark.sql("SELECT doc_id, ordinal, md5(chunk) AS chunk_md5 FROM {docs} d, LATERAL chunks(d.text, 800, 100)", docs=documents)
+    spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION chunks(text STRING, size INT, overlap INT) RETURNS ARRAY<STRING>
+        RETURN (SELECT transform(filter(sequence(0, greatest(0, CAST(ceil((size(w) - overlap) / (size - overlap)) AS INT) - 1)), i -> size(w) > 0), i -> array_join(slice(w, i * (size - overlap) + 1, size), ' '))
+            FROM (SELECT filter(split(text, '[ \\t\\n\\r\\f\\x0b]+'), x -> x <> '') AS w))""")
+    return spark.sql("SELECT doc_id, CAST(ordinal AS LONG) AS ordinal, md5(chunk) AS chunk_md5 FROM (SELECT doc_id, chunks(text, 800, 100) AS parts FROM {docs}) LATERAL VIEW posexplode(parts) c AS ordinal, chunk", docs=documents)
 
 
 @query("j6_sql_functions", "customer lineitem", "SELECT 'name' AS kind, regexp_replace(translate(lower(trim(c_name)), 'áéíóúüñ', 'aeiouun'), '\\s+', ' ', 'g') AS value, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'vote', CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'N' THEN 'no' ELSE 'other' END, count(*) FROM lineitem GROUP BY 2")
