@@ -268,6 +268,7 @@ def cleaning_edits(text, source):
 
 
 def op1_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document of the table before and after a cleaning pass."""
     docs = read_table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     edited = docs.select("doc_id", "text", cleaning_edits(text, F.col("source")).alias("edits"))

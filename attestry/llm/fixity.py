@@ -51,7 +51,7 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     A null url is left out of the header, a null body is empty. Repeated rows
     have a record each. Columns other than the three named are not read. An
-    empty table gives no rows.
+    empty table gives no rows. Bodies are hashed whole, however long.
     """
     made = digests(warc_bodies(pages, id_col, url_col, body_col))
     return placed(made, file_bytes).select("file", "offset", "length", "id", "record")

@@ -176,6 +176,7 @@ def predict_language(docs: DataFrame, models: tuple[Machines, dict[str, Machines
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document of the table, learnt from four of five; a null doc_id is not learnt from and not held out."""
     docs = read_table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     models = train(docs.filter(fold != 0).select("lang", "text"))

@@ -231,6 +231,7 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document of the table in sequences of 2048 tokens."""
     packed = best_fit_packing(read_table(spark, sf_dir, "documents"))
     return packed.withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})
 

@@ -323,6 +323,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document of the table."""
     found = personal_data(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", "n_secret")
 

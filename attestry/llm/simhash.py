@@ -242,7 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that
     repeat are linked by their equal fingerprints. The component is null only
-    if no document in it has an id. An empty table gives no rows.
+    if no document in it has an id. An empty table gives no rows. Texts are
+    hashed whole, however long, and columns other than the two named are not
+    read.
     """
     prints = saved(fingerprints(docs, id_col, text_col))
     distinct = saved(prints.groupBy("fp").agg(F.min("id").alias("rep")))

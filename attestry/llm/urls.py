@@ -108,7 +108,7 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFram
     A rule decides where one fits. Else the score decides: allow from the
     threshold on. A null or empty url is blocked. Repeated rows get equal
     verdicts, an empty table gives an empty result; without ruled urls of both
-    kinds every score is compared with 0.
+    kinds every score is compared with 0. Urls are scored whole, however long.
     """
     host, path = host_and_path(F.col(url_col))
     rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
@@ -124,6 +124,7 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFram
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page of the table."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 

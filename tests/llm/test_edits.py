@@ -51,3 +51,11 @@ def test_rows_and_stored_trees(spark):
     more = spark.createDataFrame([(3, 2, 0, 0, "B"), (3, 1, 0, 0, "A ")], "id long, seq int, start long, end long, replacement string")
     assert [r.n_tokens for r in edit_trees(trees, more).collect()] == [len(tokens("BA new text"))]
     assert count_edited(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    text = "one two three, four! " * 60_000
+    df = spark.createDataFrame([(1, text, [(600_000, 600_003, "edited here"), (10**9, 10**9, " end")])], f"doc_id long, text string, edits {EDITS}")
+    row = count_edited(df, keep_tree=False).first()
+    whole = text[:600_000] + "edited here" + text[600_003:] + " end"
+    assert row.n_tokens == len(PreTokens.of(tokenizer_path("byte_bpe_50k.tiktoken")).encoding.encode_ordinary(whole)) and row.n_chars_encoded < len(text) * 1.1

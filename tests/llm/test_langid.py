@@ -18,3 +18,12 @@ def test_edge_rows(spark):
     empty = df.limit(0)
     assert predict_language(empty, train(empty.select("lang", "text"))).count() == 0
     assert {r.lang_pred for r in predict_language(df, train(empty.select("lang", "text"))).collect()} == {"und"}
+
+
+def test_very_long_and_repeated_rows(spark):
+    known = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog that sat", "en"), ("le chat et le chien qui dort", "fr"), ("der hund und die katze", "de"), ("el perro y el gato", "es")] * 5)]
+    models = train(spark.createDataFrame(known, "doc_id long, text string, lang string").select("lang", "text"))
+    rows = [(1, "the cat and the dog that sat " * 50_000), (2, "le chat et le chien"), (2, "le chat et le chien"), (3, "x" * 1_000_000)]
+    got = predict_language(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()
+    assert len(got) == 4 and [r.lang_pred for r in got if r.id == 1] == ["en"]
+    assert len({tuple(r) for r in got if r.id == 2}) == 1 and [r.lang_pred for r in got if r.id == 2] == ["fr", "fr"]
