@@ -1,6 +1,6 @@
 """Inverted index in blocks and lexical search that skips blocks.
 
-A task counts the terms of the documents it reads, some hundred at a time: such
+A task counts the terms of the documents it reads, some thousand at a time: such
 a range of documents gives one block of postings for each of its terms, so the
 tokens themselves are never shuffled. A block's head holds its documents, its
 greatest term frequency and its least length, which bound what the term can add
@@ -15,16 +15,17 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.operators.documents import top
-from attestry.runtime import broadcast_if_small, saved
+from attestry.runtime import broadcast_if_small, saved, spread
 
 #: Documents of a range and tokens at which it ends before, parts that a term's blocks are dealt to, and ranges that a query scores first.
-RANGE_DOCS, RANGE_TOKENS, PARTS, FIRST = 256, 1 << 20, 16, 4
+RANGE_DOCS, RANGE_TOKENS, PARTS, FIRST = 1024, 1 << 20, 16, 4
 #: Runs of letters and digits.
 TERM = re.compile(r"[^\W_]+")
 SCHEMA = "range long, term string, n long, total long, max_tf int, min_dl int, ids array<long>, tfs array<int>, dls array<int>"
@@ -36,35 +37,47 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(query_id, F.explode(words).alias("term")).distinct()
 
 
-def _blocks(range_docs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (id, text) as blocks; a row without a term has a range's documents and their tokens."""
-    names = ["range", "term", "n", "total", "max_tf", "min_dl", "ids", "tfs", "dls"]
+NAMES = ["range", "term", "n", "total", "max_tf", "min_dl", "ids", "tfs", "dls"]
+
+
+def _range_blocks(number: int, terms: list[str], code: list[int], tf: list[int], ids: list[int], sizes: list[int], distinct: list[int]) -> Iterator[pa.RecordBatch]:
+    """The blocks of one range of documents, and its row without a term: its documents and their tokens."""
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    first = TaskContext.get().partitionId() << 32
-    held: dict[str, list[tuple[int, int, int]]] = {}
-    number, docs, tokens = first, 0, 0
+    whole = [number, None, len(ids), sum(sizes), None, None, [], [], []]
+    yield pa.record_batch([pa.array([v], t) for v, t in zip(whole, types, strict=True)], names=NAMES)
+    codes = np.array(code, np.int32)
+    order = np.argsort(codes, kind="stable")
+    held, dl = np.repeat(np.array(ids, np.int64), distinct)[order], np.repeat(np.array(sizes, np.int32), distinct)[order]
+    tfs = np.array(tf, np.int32)[order]
+    first = np.searchsorted(codes[order], np.arange(len(terms)))  # every code is there
+    edges = pa.array(np.r_[first, len(order)].astype(np.int32))
+    numbers = [np.diff(np.r_[first, len(order)]), np.add.reduceat(tfs.astype(np.int64), first), np.maximum.reduceat(tfs, first), np.minimum.reduceat(dl, first)]
+    lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (held, tfs, dl)]
+    yield pa.record_batch([pa.array(np.full(len(terms), number)), pa.array(terms, pa.string()), *map(pa.array, numbers), *lists], names=NAMES)
 
-    def done() -> pa.RecordBatch:
-        rows = [(number, None, docs, tokens, None, None, [], [], [])]
-        for term, postings in held.items():
-            ids, tfs, dls = zip(*postings, strict=True)
-            rows.append((number, term, len(ids), sum(tfs), max(tfs), min(dls), ids, tfs, dls))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+def _blocks(range_docs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, text) as blocks."""
+    number, tokens = TaskContext.get().partitionId() << 32, 0
+    codes: dict[str, int] = {}
+    lists: tuple[list, ...] = ([], [], [], [], [])
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts = Counter(TERM.findall(text.lower())) if text else None
             if not counts:
                 continue
-            size = counts.total()
-            for term, tf in counts.items():
-                held.setdefault(term, []).append((i, tf, size))
-            docs, tokens = docs + 1, tokens + size
-            if docs >= range_docs or tokens >= RANGE_TOKENS:
-                yield done()
-                held, number, docs, tokens = {}, number + 1, 0, 0
-    if docs:
-        yield done()
+            code, tf, ids, sizes, distinct = lists
+            code += [codes.setdefault(term, len(codes)) for term in counts]
+            tf += counts.values()
+            ids.append(i)
+            sizes.append(counts.total())
+            distinct.append(len(counts))
+            tokens += sizes[-1]
+            if len(ids) >= range_docs or tokens >= RANGE_TOKENS:
+                yield from _range_blocks(number, list(codes), *lists)
+                number, tokens, codes, lists = number + 1, 0, {}, ([], [], [], [], [])
+    if lists[2]:
+        yield from _range_blocks(number, list(codes), *lists)
 
 
 class Postings:
@@ -76,7 +89,7 @@ class Postings:
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text: str, range_docs: int = RANGE_DOCS) -> Postings:
         """Indexes every document; ids are whole numbers, and each row is one document. Texts without a term are in no range."""
-        made = docs.select(F.col(id_col).cast("long"), text).mapInArrow(partial(_blocks, range_docs), SCHEMA)
+        made = spread(docs.select(F.col(id_col).cast("long"), text)).mapInArrow(partial(_blocks, range_docs), SCHEMA)
         # blocks of one term stand together; those of a frequent one in several parts
         dealt = made.repartition("term", F.pmod(F.col("range"), F.lit(PARTS))).sortWithinPartitions("term", "range")
         return cls(saved(dealt))

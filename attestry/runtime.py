@@ -44,6 +44,12 @@ def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores at least: a small file is one partition, however much work its rows are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     """The values of ``key`` that more than a thousandth of the rows of ``df`` (saved) have, if any: fewer than a thousand."""
     least = max(1000, df.count() // 1000)
