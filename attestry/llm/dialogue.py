@@ -390,4 +390,37 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_conversation_repair": op11_conversation_repair}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _add(state: str, cost: str, edit: str) -> str:
+    """SQL: a way, its cost in twelve digits and then its audit, with one more edit; least() of ways is the least by (cost, audit)."""
+    return f"(lpad(CAST(CAST({state}[1:12] AS BIGINT) + {cost} AS VARCHAR), 12, '0') || {state}[13:] || '{edit}')"
+
+
+def _sql() -> str:
+    """The contract turn by turn: the least way to each place of the pattern, then the way back over its audit."""
+    kept = "fault IN ('', 'truncated')"
+    take = lambda state, letter: f"CASE WHEN {kept} THEN CASE WHEN c = '{letter}' THEN {_add(state, 't', 'K')} ELSE {_add(state, '2 + t', 'R')} END END"
+    gone = lambda state: _add(state, "3", "D")
+    return f"""WITH RECURSIVE bits AS (SELECT i, i AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+coded AS (SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda k: CAST(unicode(s[k]) AS BIGINT))), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS kind FROM src, crc),
+rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded WHERE kind <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS e FROM rows_),
+turns AS (SELECT *, left(role, 1) AS c, CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM num),
+step AS (SELECT *, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t FROM turns),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM turns GROUP BY 1),
+way AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000000' AS w0, CAST(NULL AS VARCHAR) AS ws, '000000000002I' AS wu, '000000000004II' AS wa FROM facts
+UNION ALL SELECT conv_id, i, r0, rs, least(least(ru, {_add('least(r0, rs, ra)', '2', 'I')}), {_add(f"least(ra, {_add(f'least(ru, ' + _add('least(r0, rs, ra)', '2', 'I') + ')', '2', 'I')})", '2', 'I')}), least(ra, {_add("least(ru, " + _add('least(r0, rs, ra)', '2', 'I') + ")", '2', 'I')})
+FROM (SELECT s.conv_id, s.i, {gone('w0')} AS r0, least({gone('ws')}, CASE WHEN {kept} AND c = 's' THEN {_add('w0', 't', 'K')} END) AS rs, least({gone('wu')}, {take('least(w0, ws, wa)', 'u')}) AS ru, least({gone('wa')}, {take('wu', 'a')}) AS ra FROM way JOIN step s ON s.conv_id IS NOT DISTINCT FROM way.conv_id AND s.i = way.i + 1)),
+plan AS (SELECT f.*, CAST(least(w0, wa)[1:12] AS BIGINT) AS cost, least(w0, wa)[13:] AS audit FROM facts f JOIN way ON way.conv_id IS NOT DISTINCT FROM f.conv_id AND way.i = f.n),
+told AS (SELECT conv_id, audit, 0 AS k, CAST(0 AS BIGINT) AS i, '0' AS last, [] :: VARCHAR[] AS said FROM plan
+UNION ALL SELECT told.conv_id, audit, k + 1, CASE WHEN edit = 'I' THEN told.i ELSE told.i + 1 END, CASE WHEN edit = 'D' THEN last ELSE left(who, 1) END, CASE WHEN edit = 'D' THEN said ELSE list_append(said, who || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END) END
+FROM (SELECT told.*, audit[k + 1] AS edit, s.text, CASE WHEN audit[k + 1] = 'K' THEN s.role WHEN last = 'u' THEN 'assistant' ELSE 'user' END AS who FROM told LEFT JOIN turns s ON s.conv_id IS NOT DISTINCT FROM told.conv_id AND s.i = told.i + 1 WHERE k < length(audit)) told),
+ends AS (SELECT conv_id, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256 FROM told WHERE k = length(audit))
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) every LEFT JOIN plan p ON p.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM every.conv_id"""
+
+
+ORACLE_SQL = {"op11_conversation_repair": _sql()}
