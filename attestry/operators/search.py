@@ -90,13 +90,11 @@ class Postings:
     def build(cls, docs: DataFrame, id_col: str, text: str, range_docs: int = RANGE_DOCS) -> Postings:
         """Indexes every document; ids are whole numbers, and each row is one document. Texts without a term are in no range."""
         made = spread(docs.select(F.col(id_col).cast("long"), text)).mapInArrow(partial(_blocks, range_docs), SCHEMA)
-        # blocks of one term stand together; those of a frequent one in several parts
-        dealt = made.repartition("term", F.pmod(F.col("range"), F.lit(PARTS))).sortWithinPartitions("term", "range")
-        return cls(saved(dealt))
+        return cls(saved(made))
 
     def write(self, path: str) -> None:
-        """Writes the index to a new folder."""
-        self.blocks.sortWithinPartitions("term", "range").write.parquet(path)
+        """Writes the index to a new folder: blocks of one term stand together, those of a frequent one in several parts."""
+        self.blocks.repartition("term", F.pmod(F.col("range"), F.lit(PARTS))).sortWithinPartitions("term", "range").write.parquet(path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Postings:
