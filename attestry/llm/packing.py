@@ -4,8 +4,10 @@ A configuration is a multiset of lengths that fit one sequence. The program
 "fewest sequences whose configurations cover the length histogram" is solved
 by multiplicative weights: a length loses weight as it is covered, and a
 knapsack dynamic program over the capacity finds configurations of the largest
-weight. The solution is rounded, the program is solved again for what is left,
-and best fit places the last pieces. Only the histogram (one row for each
+weight. The solution is rounded and the program is solved again for what is
+left. A last program, in which each piece also costs a price, so that few long
+pieces go before many short ones, places the rest; best fit fills the gaps that
+its rounding leaves. Only the histogram (one row for each
 length) comes to the driver; pieces take their places by their rank among the
 pieces of their length, which Spark finds from counts for each task.
 """
@@ -29,10 +31,12 @@ from attestry.sources.tables import read_table
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 #: Rounds of the program, pricings in a round, configurations from one pricing.
-ROUNDS, PRICINGS, BATCH = 6, 60, 1024
+ROUNDS, PRICINGS, BATCH = 4, 60, 1024
 #: Share of a length's count that one step covers, the rate of the weights, and
 #: how far from the best a configuration of the same pricing may lie.
 STEP, RATE, SLACK = 0.2, 1.0, 0.1
+#: The same in the last program, rate and slack in tokens, and a piece's price in tokens.
+LAST_STEP, LAST_RATE, LAST_SLACK, PRICE = 0.1, 10.0, 42.0, 20.0
 #: Ranks in a bin in which pieces and slots meet.
 RANKS = 256
 #: Most room that a rounded configuration may leave.
@@ -100,35 +104,57 @@ def _filled(last: np.ndarray, capacity: int) -> list[int]:
     return found
 
 
-def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Configurations and how often each is used, nearly least in sum, that cover ``counts`` about once."""
+def fractional(counts: np.ndarray, capacity: int, last: bool = False) -> dict[tuple[int, ...], float]:
+    """Configurations and how often each is used, nearly least in sum, that cover ``counts`` about once.
+
+    In the last program coverage moves a length's weight by tokens, not by its
+    share, and each piece costs the price.
+    """
     present = np.flatnonzero(counts)
     if not len(present):
         return {}
+    step, slack = (LAST_STEP, LAST_SLACK * capacity / CAPACITY) if last else (STEP, SLACK)
     covered = np.zeros(capacity + 1)
     used: dict[tuple[int, ...], float] = {}
     for _ in range(PRICINGS):
         weights = np.zeros(capacity + 1)
-        weights[present] = present / capacity * np.exp(-RATE * (covered[present] - covered[present].mean()).clip(-4, 4))
-        best, last = _knapsack(weights, capacity)
+        ahead = covered[present] - covered[present].mean()
+        if last:
+            weights[present] = present * np.exp((-LAST_RATE * ahead / present).clip(-2, 2)) - PRICE * capacity / CAPACITY
+        else:
+            weights[present] = present / capacity * np.exp(-RATE * ahead.clip(-4, 4))
+        best, added = _knapsack(weights, capacity)
         worth = weights[present] + best[capacity - present]
+        least = worth.max() - slack if last else (1 - SLACK) * worth.max()
         taken = np.zeros(capacity + 1, bool)
         for k in np.lexsort((-present, -worth))[:BATCH]:
             length = int(present[k])
-            if taken[length] or worth[k] < (1 - SLACK) * worth.max():
+            if taken[length] or worth[k] < least:
                 continue
-            config = sorted([length, *_filled(last, capacity - length)], reverse=True)
+            config = sorted([length, *_filled(added, capacity - length)], reverse=True)
             if taken[config].any():
                 continue
             sizes, times = np.unique(config, return_counts=True)
             taken[sizes] = True
-            amount = STEP * float(np.min(counts[sizes] / times))
+            amount = step * float(np.min(counts[sizes] / times))
             used[tuple(config)] = used.get(tuple(config), 0.0) + amount
             covered[sizes] += amount * times / counts[sizes]
-    scale = max(np.median(covered[present]), STEP)
+    scale = max(np.median(covered[present]), step)
     return {config: amount / scale for config, amount in used.items()}
 
 
+def _last_program(rest: np.ndarray, capacity: int, groups: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], int]:
+    """``groups`` with all of ``rest``: the priced program, rounded down, fullest and longest first, then best fit."""
+    rest, groups = rest.copy(), dict(groups)
+    for config, amount in sorted(fractional(rest, capacity, last=True).items(), key=lambda x: (-sum(x[0]), len(x[0]), -x[1], x[0])):
+        sizes, times = np.unique(config, return_counts=True)
+        n = min(int(amount), int((rest[sizes] // times).min()))
+        if n:
+            groups[config] = groups.get(config, 0) + n
+            rest[sizes] -= n * times
+    return _best_fit(rest, capacity, groups)
+
+
 def _best_fit(rest: np.ndarray, capacity: int, groups: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], int]:
     """Places ``rest`` by best fit decreasing, first in the room that ``groups`` leave."""
     open_bins: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]
@@ -158,14 +184,14 @@ def _best_fit(rest: np.ndarray, capacity: int, groups: dict[tuple[int, ...], int
 def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Groups (configuration, number of sequences) that hold exactly ``counts[length]`` pieces of each length.
 
-    Best fit may place what is left after any round of the program; the round
-    after which the fewest sequences are needed is taken, of equals the last.
+    The last program may place what is left after any round; the round after
+    which the fewest sequences are needed is taken, of equals the last.
     """
     rest = counts.astype(np.int64).copy()
     groups: dict[tuple[int, ...], int] = {}
     full = int(rest[capacity])
     rest[capacity] = 0
-    packed = _best_fit(rest, capacity, groups)
+    packed = _last_program(rest, capacity, groups)
     for _ in range(ROUNDS):
         placed = 0
         # Configurations of many short pieces wait: those fill gaps best.
@@ -186,7 +212,7 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[t
                 placed += n
         if not placed:
             break
-        now = _best_fit(rest, capacity, groups)
+        now = _last_program(rest, capacity, groups)
         if sum(now.values()) <= sum(packed.values()):
             packed = now
     return [*packed.items(), *([((capacity,), full)] if full else [])]

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from attestry.llm.packing import best_fit_packing, pack_histogram
+from attestry.llm.packing import _best_fit, best_fit_packing, pack_histogram
 from attestry.llm.tokens import WordTokens, tokenizer_path
 
 
@@ -32,6 +32,26 @@ def test_histogram_is_packed_whole_and_close_to_the_bound():
         assert sum(n for _, n in groups) <= max(-(-int(lengths.sum()) // 100) * 1.03, len(lengths) / (100 // int(lengths.min())) + 1)
 
 
+def _least(counts, capacity):
+    """No packing needs fewer sequences: long pieces stand alone, what they leave holds no more than it can."""
+    k, best = np.arange(capacity + 1), 0
+    for a in range(capacity // 2 + 1):
+        alone, long = counts[capacity - a + 1 :].sum(), slice(capacity // 2 + 1, capacity - a + 1)
+        room = counts[long].sum() * capacity - (counts * k)[long].sum()
+        short = (counts * k)[a : capacity // 2 + 1].sum()
+        best = max(best, int(alone + counts[long].sum() + max(0, -(-(short - room) // capacity))))
+    return best
+
+
+def test_program_needs_fewer_sequences_than_best_fit_where_that_wastes_room():
+    rng = np.random.default_rng(5)
+    for lengths, over, share in ((rng.integers(1, 2048, 20000), 4, 1.0), (rng.integers(500, 1100, 20000), 1500, 0.98), (rng.integers(300, 700, 20000), 60, 0.97)):
+        counts = np.bincount(lengths, minlength=2049)
+        used = sum(n for _, n in pack_histogram(counts))
+        assert used <= _least(counts, 2048) + over
+        assert used <= share * sum(_best_fit(counts.astype(np.int64), 2048, {}).values())
+
+
 def test_pieces_fill_their_sequences_without_gaps(spark):
     rng = random.Random(7)
     texts = [" ".join("word" for _ in range(rng.choice([0, 1, 3, 10, 31, 32, 70]))) for _ in range(150)] + [None]
