@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -14,9 +13,10 @@ _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 #: Words of these characters only are cut into pieces here, others by the tokenizer.
 _SIMPLE = re.compile(r"(?:[!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ĩı-ɏ–-„€])+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-#: Some 200 bytes each; a worker that Spark uses again keeps them.
-CACHED_WORDS, CACHED_PIECES = 120_000, 60_000
+#: Special tokens begin so.
+_SPECIAL = "<|"
+#: Most cached words, some 200 bytes each; a worker that Spark uses again keeps them.
+CACHED_WORDS = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,14 +33,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordTokens:
     """Ids of a lower-casing word tokenizer, as little-endian unsigned 32-bit bytes.
 
     White space only parts words for this kind of tokenizer, so the ids of a
-    text are those of its words. Words and their pieces are cached.
+    text are those of its words. Words and their pieces, which are words too,
+    are cached in two generations: once the younger fills its half it becomes
+    the elder, and the elder goes.
     """
 
     _made: dict[str, WordTokens] = {}
@@ -51,8 +53,8 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -64,30 +66,32 @@ class WordTokens:
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.young.get(piece) or self.old.get(piece)
+        if ids is None:
+            mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = _packed([t.id for t in self.model.tokenize(mapped)])
+        self.young[piece] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
-        if not _SIMPLE.fullmatch(word) or any(s in word for s in _SPECIAL):
+        if word.isascii() and word.isalpha():
+            return self._piece(word.lower())
+        if _SPECIAL in word or not _SIMPLE.fullmatch(word):
             return self._whole(word)
-        found = []
-        for piece in _PIECE.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= CACHED_PIECES:
-                    self.pieces.clear()
-                mapped = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-                ids = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(mapped)])
-            found.append(ids)
-        return b"".join(found)
+        return b"".join(map(self._piece, _PIECE.findall(word.lower())))
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in _ODD_SPACES):
             return self._whole(text)
         words = text.split()
         try:
-            return b"".join(map(self.words.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
         except KeyError:
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-            for w in set(words):
-                if w not in self.words:
-                    self.words[w] = self._word(w)
-            return b"".join(map(self.words.__getitem__, words))
+            if len(self.young) >= CACHED_WORDS // 2:
+                self.young, self.old = {}, self.young
+            young, old = self.young, self.old
+            for w in set(words).difference(young):
+                ids = old.get(w)
+                young[w] = self._word(w) if ids is None else ids
+            return b"".join(map(young.__getitem__, words))
