@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from attestry.llm.simhash import RADIUS, SEED, fingerprint_links, fingerprint_of, shingle_hashes
 from attestry.llm.text import slices
 from attestry.operators.graph import connected_components
-from attestry.runtime import broadcast_if_small, hot_keys, join_split, saved
+from attestry.runtime import arrow_rows, broadcast_if_small, hot_keys, join_split, saved
 
 WIDTH = 5
 SIMILARITY = 0.8
 #: Texts of which common shingles are counted: one in so many.
 COUNTED = 16
-#: A shingle of so many counted texts is common; so many are broadcast (16 bytes each).
+#: A shingle of so many counted texts is common; so many are broadcast (12 bytes each).
 COMMON, MAX_COMMON = 8, 2_000_000
 #: Pairs of one text that a task verifies with one copy of it.
 SPAN = 256
@@ -44,6 +44,8 @@ RANGES = (128, 1 << 15)
 BITS = (256, 2048)
 #: Rows of a bucket that meet in one task, and rows that are compared with all of those at a time.
 CHUNK, ROWS = 2048, 32
+#: Rows of texts or sets that go to Python at once.
+BATCH = 1024
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -214,7 +216,7 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     counted = part.orderBy(F.col("c").desc(), "h").limit(MAX_COMMON).toArrow()
     known = np.array(counted.column("h"), np.int64).view(np.uint64)
     order = np.argsort(known)
-    return known[order], np.array(counted.column("c"), np.int64)[order]
+    return known[order], np.array(counted.column("c"), np.int32)[order]
 
 
 def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text", width: int = WIDTH, limit: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -225,12 +227,17 @@ def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text",
     copies of each other. Rows of an equal key and text repeat. An empty table
     gives no rows.
     """
+    with arrow_rows(texts.sparkSession, BATCH):
+        return _near_copies(texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")), width, limit, radius)
+
+
+def _near_copies(texts: DataFrame, width: int, limit: float, radius: int) -> DataFrame:
     spark = texts.sparkSession
-    texts = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     kind = texts.schema["key"].dataType.simpleString()
     common = spark.sparkContext.broadcast(_common(texts, width))
     # Equal sets are one class (cls).
     signs = saved(texts.mapInArrow(_signs(common, width, limit), f"key {kind}, cls long, fp long, n int, counts binary, bits binary, first array<long>"))
+    common.unpersist()
     counts = signs.groupBy("cls").agg(F.min("counts").alias("counts"))
 
     def alike(m: Column, n: Column) -> Column:

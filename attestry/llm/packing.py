@@ -64,6 +64,7 @@ def _cutter(path: str, capacity: int):
                     ranks[n] += 1
             numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, rank)]
             yield pa.record_batch([batch.column(0).take(pa.array(source, pa.int32())), pa.array(piece, pa.int32()), *numbers, pa.array([task] * len(piece), pa.int32())], names=["id", "piece", "start", "length", "crc", "rank", "task"])
+        tokens.clear()
 
     return cut
 

@@ -72,3 +72,20 @@ def test_pieces_fill_their_sequences_without_gaps(spark):
         want += [(i % 140, k, at // 4, len(ids[at : at + 128]) // 4, zlib.crc32(ids[at : at + 128])) for k, at in enumerate(range(0, len(ids), 128))]
     assert sorted((r.id, r.piece, r.start, r.length, r.crc) for r in rows) == sorted(want)
     assert best_fit_packing(df.limit(0)).count() == 0
+
+
+def test_a_task_leaves_no_words_in_its_worker(spark):
+    from attestry.llm.packing import pieces
+
+    df = spark.createDataFrame([(i, f"word{i} other{i}") for i in range(64)], "doc_id long, text string")
+    assert pieces(df).count() == 64
+
+    def held(batches):
+        import pyarrow as pa
+
+        from attestry.llm.tokens import WordTokens
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([sum(len(w.young) + len(w.old) for w in WordTokens._made.values())] * len(batch), pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}

@@ -151,3 +151,14 @@ def test_bit_maps_and_range_counts_leave_out_no_pair_at_the_limit():
     for i, j in every:
         both = len(np.intersect1d(sets[i], sets[j]))
         assert most_shared(range_counts(sets[i]), range_counts(sets[j])) >= both
+
+
+def test_near_copies_send_few_rows_to_python_at_once(spark, monkeypatch):
+    from attestry.llm import neardup
+
+    key, used, saved = "spark.sql.execution.arrow.maxRecordsPerBatch", [], neardup.saved
+    monkeypatch.setattr(neardup, "saved", lambda df: used.append(spark.conf.get(key)) or saved(df))
+    before = spark.conf.get(key)
+    df = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(9)], "key long, text string")
+    assert len({r.component for r in neardup.near_copies(df).collect()}) == 3
+    assert used and set(used) == {str(neardup.BATCH)} and spark.conf.get(key) == before
