@@ -189,8 +189,10 @@ def _nth(features: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment of an item's words with a passage's, as codes: score, first and end word in the passage."""
+def align(a: np.ndarray | list[bytes], b: np.ndarray | list[bytes]) -> tuple[int, int, int]:
+    """Best local alignment of an item's words with a passage's, as codes or plain words: score, first and end word in the passage."""
+    if not isinstance(b, np.ndarray):  # a list compares as a whole
+        b = np.array(b, object)
     above = np.zeros(len(b) + 1, np.int64)
     above_from = np.arange(len(b) + 1)
     slope = -GAP * np.arange(len(b) + 1)

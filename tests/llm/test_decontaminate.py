@@ -123,3 +123,14 @@ def test_search_grows_slowly_with_the_benchmark():
     few, many = seconds(200), seconds(3200)
     print(few, many)
     assert many < 4 * few
+
+
+def test_alignment_takes_plain_words_as_well_as_codes():
+    import numpy as np
+
+    from attestry.llm.decontaminate import align
+
+    item, passage = b"a b c d".split(), b"x a b d y".split()
+    codes = {w: i for i, w in enumerate(dict.fromkeys(item + passage))}
+    as_codes = [np.array([codes[w] for w in x]) for x in (item, passage)]
+    assert align(item, passage) == align(*as_codes) == (5, 1, 4)
