@@ -115,3 +115,10 @@ def html_text(html: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f\x0b]+", " "))
+
+
+def lexical(queries: DataFrame, docs: DataFrame, query_id: str, id_col: str, text: str, k: int = 30) -> DataFrame:
+    """See :func:`attestry.operators.search.lexical`."""
+    from attestry.operators import search  # it imports this module
+
+    return search.lexical(queries, docs, query_id, id_col, text, k)

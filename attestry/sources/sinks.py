@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.sources.manifests import Manifests
+
 
 def append_events(df: DataFrame, path: str, at: str) -> None:
     """Appends rows under their date; what is there is never changed."""
@@ -20,6 +22,11 @@ def write_batch(path: str):
     return write
 
 
+def published(spark: SparkSession, path: str) -> int | None:
+    """The version in force of a :class:`attestry.sources.projections.Projection` at ``path``, null before the first."""
+    return max(Manifests(spark, f"{path}/manifests").numbers(), default=None)
+
+
 def safe_cell(cell: Column) -> Column:
     """Text that a spreadsheet would take for a formula gets a quote in front."""
     return F.when(cell.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), cell)).otherwise(cell)
